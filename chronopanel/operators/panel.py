@@ -19,7 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..shared import BROADCAST_SERIES, key_join
+from ..shared import BROADCAST_SERIES, key_join, stage
 from ..spec import SeriesSpec
 
 MAX_BUCKETS = 65_536
@@ -75,6 +75,11 @@ class Panel:
         """Other rows: sizes are measured again."""
         return Panel(df, SeriesSpec(**{**self.spec.__dict__, **changes}))
 
+    def staged(self, name: str = "panel") -> "Panel":
+        """The panel written once to the shared folder.  Worth it for a computed target (a
+        roll-up): later passes read the small table, and all see the same float values."""
+        return self.derive(stage(self.df, name))
+
     # ---- per-series tables -------------------------------------------------------------
     def attach(self, df: DataFrame, per_key: DataFrame, how: str = "inner") -> DataFrame:
         """Add the columns of a one-row-per-series table to ``df``."""
