@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .autocorrelation import lag_products
-from .gram import gram, solve
+from ..shared import stage
+from .gram import gram, lag_sums, solve
 from .panel import Panel
 
 # MacKinnon (1994) response surface of the unit-root test with a constant.
@@ -104,35 +104,34 @@ def _adf_row(g: np.ndarray, head: np.ndarray, n: int):
     return t, unit_root_pvalue(t), best
 
 
-def kpss(p: Panel) -> DataFrame:
-    """T5: level-stationarity statistic; the number of Bartlett lags follows the automatic
-    rule of Hobijn et al.  Running sums cross block borders through block totals."""
+def kpss(p: Panel, lags: str = "auto") -> DataFrame:
+    """T5: level-stationarity statistic.  The number of Bartlett lags follows the automatic rule
+    of Hobijn et al., or with ``lags='short'`` 4*(n/100)^(1/4).  Running sums cross block
+    borders through block totals."""
     n = F.col("n").cast("double")
-    first = max(1, int(p.longest ** (2.0 / 9.0)))
-    c = lag_products(p, first)
-    cov = F.floor(F.pow(n, F.lit(2.0 / 9.0)) + 1e-9)
-    term = lambda k: F.when(F.lit(k) <= cov, F.coalesce(f"c{k}", F.lit(0.0)) * 2.0 / n).otherwise(0.0)
-    s0 = F.col("c0") / n
-    s1 = F.lit(0.0)
-    for k in range(1, first + 1):
-        s0, s1 = s0 + term(k), s1 + term(k) * k
-    shat = s1 / s0
-    auto = F.floor(1.1447 * F.pow(shat * shat, F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0)))
-    lags = F.least(auto, n - 1).cast("long")
-    plan = c.select(*p.keys, "n", F.coalesce(F.when(F.col("c0") > 0, lags), F.lit(0)).cast("long").alias("kpss_lags"),
-                    *[f"c{k}" for k in range(first + 1)])
-    need = plan.agg(F.max("kpss_lags")).first()[0] or 0
-    have = first
-    if need > first:
-        plan = p.attach(plan.select(*p.keys, "kpss_lags"), lag_products(p, int(need)))
-        have = int(need)
-    spread = F.col("c0")
-    for k in range(1, have + 1):
-        weight = F.when(F.lit(k) <= F.col("kpss_lags"), 1.0 - F.lit(float(k)) / (F.col("kpss_lags") + 1.0)).otherwise(0.0)
-        spread = spread + 2.0 * weight * F.coalesce(f"c{k}", F.lit(0.0))
     y = p.y.cast("double")
     base = p.df.select(*p.keys, p.spec.time, *p.spec.tie, y.alias("__y"))
-    centred = p.attach(base, base.groupBy(*p.keys).agg(F.avg("__y").alias("__mean"))).withColumn("__e", F.col("__y") - F.col("__mean"))
+    size = base.groupBy(*p.keys).agg(F.avg("__y").alias("__mean"), F.count(F.lit(1)).alias("n"))
+    centred = p.attach(base, size.drop("n")).select(*p.keys, p.spec.time, *p.spec.tie, (F.col("__y") - F.col("__mean")).alias("__e"))
+    if lags == "short":
+        plan = size.select(*p.keys, "n", F.floor(4 * F.pow(n / 100, F.lit(0.25))).cast("long").alias("kpss_lags"))
+        top = int(4 * (p.longest / 100) ** 0.25)
+    else:
+        first = max(1, int(p.longest ** (2.0 / 9.0) + 1e-9))
+        c = p.attach(size, lag_sums(p, centred, "__e", first))
+        cov = F.floor(F.pow(n, F.lit(2.0 / 9.0)) + 1e-9)
+        at = lambda k: F.when(F.lit(k) <= cov, F.get("sums", F.lit(k)) * 2.0 / n).otherwise(0.0)
+        s0 = sum((at(k) for k in range(1, first + 1)), F.get("sums", F.lit(0)) / n)
+        s1 = sum((at(k) * k for k in range(1, first + 1)), F.lit(0.0))
+        auto = F.floor(1.1447 * F.pow((s1 / s0) * (s1 / s0), F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0)))
+        varies = F.get("sums", F.lit(0)) > 0
+        plan = stage(c.select(*p.keys, "n", F.coalesce(F.when(varies, F.least(auto, n - 1)), F.lit(0)).cast("long").alias("kpss_lags")), "kpss-lags")
+        top = int(plan.agg(F.max("kpss_lags")).first()[0] or 0)
+    plan = p.attach(plan, lag_sums(p, centred, "__e", top))
+    m = F.col("kpss_lags") + 1.0
+    weighted = F.transform("sums", lambda v, k: F.when(k == 0, v).when(k <= F.col("kpss_lags"), 2.0 * (1.0 - k / m) * v).otherwise(0.0))
+    plan = plan.select(*p.keys, "n", "kpss_lags", F.get("sums", F.lit(0)).alias("c0"),
+                       F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v).alias("__spread"))
     d, w = p.blocked(df=centred)
     d = d.withColumn("__s", F.sum("__e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     blocks = d.groupBy(*p.keys, "__block").agg(
@@ -141,7 +140,7 @@ def kpss(p: Panel) -> DataFrame:
     blocks = blocks.withColumn("off", F.sum("total").over(along) - F.col("total"))
     eta = blocks.groupBy(*p.keys).agg(F.sum(F.col("s2") + 2 * F.col("off") * F.col("s1") + F.col("m") * F.col("off") * F.col("off")).alias("__eta"))
     stat = F.col("__eta") / (n * n) / (F.col("__spread") / n)
-    out = p.attach(plan.withColumn("__spread", spread), eta).withColumn("kpss_statistic", F.when(F.col("c0") > 0, stat))
+    out = p.attach(plan, eta).withColumn("kpss_statistic", F.when(F.col("c0") > 0, stat))
     return out.select(*p.keys, "kpss_statistic", kpss_pvalue(F.col("kpss_statistic")).alias("kpss_pvalue"), "kpss_lags")
 
 
