@@ -1,0 +1,6 @@
+"""Registered queries and the SQL each is checked against."""
+
+from . import series  # noqa: F401
+from .data import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

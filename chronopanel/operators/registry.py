@@ -94,6 +94,11 @@ def candidates(spark: SparkSession, model: Forecaster, limit: int = MAX_COMBINAT
     return combinations(spark, model.grid, limit) or [dict(model.defaults)]
 
 
+def _context(model: Forecaster, params: dict) -> int | None:
+    """Rows of history a fit needs (None: all)."""
+    return None if model.context is None else max(model.context, params.get("seasonal_period", 0), params.get("context", 0))
+
+
 def search(p: Panel, model: Forecaster, horizon: int, params: list[dict] | None = None, n_folds: int = 3) -> DataFrame:
     """V5: fold scores of all candidates: (params_id, keys, fold, mape, ...).
 
@@ -101,7 +106,7 @@ def search(p: Panel, model: Forecaster, horizon: int, params: list[dict] | None
     fit per candidate and fold, a few at a time."""
     params = params or candidates(p.df.sparkSession, model)
     if model.series is not None:
-        one = lambda i, q: cross_validate(p, model.series, horizon, q, n_folds, model.context).withColumn("params_id", F.lit(i))
+        one = lambda i, q: cross_validate(p, model.series, horizon, q, n_folds, _context(model, q)).withColumn("params_id", F.lit(i))
         return stage(reduce(DataFrame.unionByName, [one(i, q) for i, q in enumerate(params)]), "cv")
     multivariate = bool(p.spec.features) and model.multivariate
     f = stage(folds(p, horizon, n_folds, short=not multivariate), "folds")
