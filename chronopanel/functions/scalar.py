@@ -30,3 +30,10 @@ def clip(c: Column, lo: Column, hi: Column) -> Column:
 def present(c: Column) -> Column:
     """Neither null nor NaN."""
     return c.isNotNull() & ~F.isnan(c)
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate over complete pairs; 0 where it is undefined."""
+    both = present(x) & present(y)
+    a, b = F.when(both, x), F.when(both, y)
+    return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))

@@ -127,7 +127,7 @@ def channels(p: Panel, limit: int = MAX_CHANNELS) -> DataFrame:
     feats = list(p.spec.features)
     v = p.aggregate(*[F.var_pop(F.col(c).cast("double")).alias(f"__{i}") for i, c in enumerate(feats)])
     long = v.select(*p.keys, F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"__{i}").alias("variance"))
-                                                 for i, c in enumerate(feats)])).alias("r")).select(*p.keys, "r.*")
+                                                 for i, c in enumerate(feats)])).alias("__i")).select(*p.keys, "__i.*")
     w = Window.partitionBy(*p.keys).orderBy(F.col("variance").desc_nulls_last(), "channel")
     return long.withColumn("rank_no", F.row_number().over(w).cast("long")).where(F.col("rank_no") <= limit - 1)
 
@@ -137,7 +137,7 @@ def channel_flags(p: Panel, methods, params: dict | None = None) -> DataFrame:
     ``p.df`` must hold ``idx``; returns (keys, idx, flag_*)."""
     cols = [p.spec.target, *p.spec.features]
     long = p.df.select(*p.keys, "idx", F.explode(F.array(*[F.struct(F.lit(c).alias("__channel"), F.col(c).cast("double").alias("__value"))
-                                                          for c in cols])).alias("r")).select(*p.keys, "idx", "r.*")
+                                                          for c in cols])).alias("__i")).select(*p.keys, "idx", "__i.*")
     if len(p.spec.features) > MAX_CHANNELS - 1:
         keep = channels(p).select(*p.keys, F.col("channel").alias("__channel"))
         own = p.aggregate(F.lit(p.spec.target).alias("__channel"))

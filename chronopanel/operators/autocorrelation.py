@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalar import present
+from ..functions.scalar import correlation, present
 from .panel import Panel
 from .quantiles import quantiles
 
@@ -35,7 +35,7 @@ def acf(p: Panel, max_lag: int = ACF_MAX_LAG) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"),
                               (F.lit(1.0) if k == 0 else F.when(F.col("c0") > 0, F.coalesce(f"c{k}", F.lit(0.0)) / F.col("c0"))).alias("acf"))
                      for k in range(max_lag + 1)])
-    out = c.select(*p.keys, "n", F.explode(rows).alias("r")).select(*p.keys, "n", "r.*")
+    out = c.select(*p.keys, "n", F.explode(rows).alias("__i")).select(*p.keys, "n", "__i.*")
     return out.where(F.col("lag") <= F.floor(F.col("n") / 2))
 
 
@@ -56,12 +56,11 @@ def lag_correlations(p: Panel, lags=EXPLAIN_LAGS) -> DataFrame:
     y = p.y.cast("double")
     d = p.over(lambda w: {f"__l{k}": F.lag(y, k).over(w) for k in lags}, before=max(lags))
     got = d.groupBy(*p.keys).agg(F.max("n").alias("n"), *[
-        e for k in lags for e in (F.corr(y, F.col(f"__l{k}")).alias(f"__c{k}"),
+        e for k in lags for e in (correlation(y, F.col(f"__l{k}")).alias(f"__c{k}"),
                                   F.max(F.when(F.col("idx") == F.col("n") - k, y)).alias(f"__v{k}"))])
-    clean = lambda c: F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c)
-    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), clean(F.col(f"__c{k}")).alias("correlation"),
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"__c{k}").alias("correlation"),
                               F.col(f"__v{k}").alias("value")) for k in lags])
-    return got.select(*p.keys, "n", F.explode(rows).alias("r")).where(F.col("n") > F.col("r.lag")).select(*p.keys, "r.*")
+    return got.select(*p.keys, "n", F.explode(rows).alias("__i")).where(F.col("n") > F.col("__i.lag")).select(*p.keys, "__i.*")
 
 
 def lag_hints(corr: DataFrame) -> DataFrame:
@@ -138,6 +137,6 @@ def percentile_ranks(p: Panel, picked: DataFrame, limit: int = 5) -> DataFrame:
     item = lambda i: F.struct(
         F.lit(i).cast("long").alias("rank_no"), F.col(f"__v{i}").alias("value"),
         ((F.col(f"__lt{i}") + F.col(f"__le{i}") + (F.col(f"__le{i}") > F.col(f"__lt{i}")).cast("long")) * 50.0 / F.col("n")).alias("percentile"))
-    out = got.select(*p.keys, F.explode(F.array(*[item(i) for i in range(1, limit + 1)])).alias("r")).select(*p.keys, "r.*")
+    out = got.select(*p.keys, F.explode(F.array(*[item(i) for i in range(1, limit + 1)])).alias("__i")).select(*p.keys, "__i.*")
     tails = quantiles(p, p.spec.target, {"p95": 0.95, "p99": 0.99})
     return p.attach(out.where(F.col("value").isNotNull()), tails)

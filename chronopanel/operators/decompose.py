@@ -212,7 +212,7 @@ def strengths(p: Panel, period: int, method: str = "stl") -> DataFrame:
     """Trend and seasonal strength per series, max(0, 1 - var(r)/var(x + r)), ddof 1."""
     d = (classical if method == "classical" else stl)(p, period)
     r = F.col("resid")
-    ratio = lambda c: F.greatest(F.lit(0.0), 1 - F.var_samp(r) / F.var_samp(F.col(c) + r))
+    ratio = lambda c: F.greatest(F.lit(0.0), 1 - F.try_divide(F.var_samp(r), F.var_samp(F.col(c) + r)))
     return d.groupBy(*p.keys).agg(ratio("trend").alias("trend_strength"), ratio("seasonal").alias("seasonal_strength"))
 
 
@@ -251,7 +251,7 @@ def seasonal_period(p: Panel, periods=CANDIDATE_PERIODS, strength: float = 0.1)
         shares = grid.groupBy(*p.keys, "period").applyInArrow(run, schema)
     else:
         one = lambda x: stl(p, x).where(F.col("n") >= 2 * x).groupBy(*p.keys).agg(
-            (F.var_pop("seasonal") / F.var_pop(target)).alias("share")).withColumn("period", F.lit(x))
+            F.try_divide(F.var_pop("seasonal"), F.var_pop(target)).alias("share")).withColumn("period", F.lit(x))
         shares = reduce(DataFrame.unionByName, [one(x) for x in periods if p.longest >= 2 * x])
     best = shares.where(F.col("share") > strength).groupBy(*p.keys).agg(F.min("period").alias("__p"))
     base = p.attach(p.aggregate(F.count(F.lit(1)).alias("__n")), seasonality_flag(p))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.scalar import present
+from ..functions.scalar import correlation
 from ..shared import key_join
 from .autocorrelation import context_windows, lag_correlations, lag_hints, percentile_ranks, statistical_summary
 from .decompose import residual_summary, strengths
@@ -74,10 +74,9 @@ def explain_anomalies(p: Panel, voted: DataFrame, methods, period: int = 24, met
 def feature_correlations(p: Panel, columns=None) -> DataFrame:
     """Pearson correlation of each feature with the target (NaN -> 0): one aggregation."""
     cols = list(columns or p.spec.features)
-    c = p.aggregate(*[F.corr(F.col(f).cast("double"), p.y.cast("double")).alias(f"__c{i}") for i, f in enumerate(cols)])
-    clean = lambda x: F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x)
-    rows = F.array(*[F.struct(F.lit(f).alias("feature"), clean(F.col(f"__c{i}")).alias("correlation")) for i, f in enumerate(cols)])
-    return c.select(*p.keys, F.explode(rows).alias("r")).select(*p.keys, "r.*")
+    c = p.aggregate(*[correlation(F.col(f).cast("double"), p.y.cast("double")).alias(f"__c{i}") for i, f in enumerate(cols)])
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"__c{i}").alias("correlation")) for i, f in enumerate(cols)])
+    return c.select(*p.keys, F.explode(rows).alias("__i")).select(*p.keys, "__i.*")
 
 
 def top_features(importance: DataFrame, keys=(), n: int = 3) -> DataFrame:

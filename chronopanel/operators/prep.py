@@ -152,7 +152,7 @@ def future_frame(p: Panel, horizon: int, step_seconds: int | None = None) -> Dat
     if step_seconds is None:
         from .profile import frequency
         ends = p.attach(ends, frequency(p).select(*p.keys, "step_seconds"), "left")
-        mean = F.round((secs(F.col("__last")) - secs(F.col("__first"))) / (F.col("__n") - 1))
+        mean = F.round(F.try_divide(secs(F.col("__last")) - secs(F.col("__first")), F.col("__n") - 1))
         step = F.coalesce(F.col("step_seconds"), mean, F.lit(1)).cast("long")
     else:
         step = F.lit(step_seconds).cast("long")

@@ -29,13 +29,13 @@ def column_info(p: Panel, samples: int = 3, approx: bool = False) -> DataFrame:
                    *[distinct(value(c)).alias(f"__d{i}") for i, c in enumerate(cols)])
     stats = stats.select(F.explode(F.array(*[F.struct(
         F.lit(c).alias("column"), F.lit(kinds[c]).alias("dtype"),
-        F.round(F.col(f"__m{i}") / F.col("__n") * 100, 2).alias("missing_pct"),
+        F.round(F.try_divide(F.col(f"__m{i}"), F.col("__n")) * 100, 2).alias("missing_pct"),
         F.col(f"__d{i}").cast("long").alias("unique_count")) for i, c in enumerate(cols)])).alias("s")).select("s.*")
     order = [F.col(c).asc_nulls_last() for c in (p.spec.time, *p.spec.tie)]
     # each column needs its own first few rows: small ordered limits, united
     heads = [df.where(~nullish(c)).orderBy(*order).limit(samples)
-               .agg(F.array_sort(F.collect_list(F.struct(p.spec.time, *p.spec.tie, F.col(c).cast("string").alias("v")))).alias("r"))
-               .select(F.lit(c).alias("column"), F.transform("r", lambda r: r["v"]).alias("sample_values")) for c in cols]
+               .agg(F.array_sort(F.collect_list(F.struct(p.spec.time, *p.spec.tie, F.col(c).cast("string").alias("v")))).alias("__i"))
+               .select(F.lit(c).alias("column"), F.transform("__i", lambda r: r["v"]).alias("sample_values")) for c in cols]
     return stats.join(reduce(DataFrame.unionByName, heads), "column", "left")
 
 

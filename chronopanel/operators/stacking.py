@@ -115,10 +115,10 @@ def evaluate_stacking(p: Panel, horizon: int, params: dict | None = None, fracti
     wide = stage(with_actuals(p, base_forecasts(p, fits, origins, horizon, max_windows)).drop("idx"), "stack-base")
     by = [*p.keys, "origin", "h", "y"]
     base = wide.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("yhat"))
-                                               for m, c in zip(BASE_MODELS, META_COLUMNS)])).alias("r")).select(*by, "r.*")
+                                               for m, c in zip(BASE_MODELS, META_COLUMNS)])).alias("__i")).select(*by, "__i.*")
     # blends are weighted by the out-of-fold error, never by the held-out windows
     oof = meta.select(*p.keys, "y", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("yhat"))
-                                                       for m, c in zip(BASE_MODELS, META_COLUMNS)])).alias("r")).select(*p.keys, "y", "r.*")
+                                                       for m, c in zip(BASE_MODELS, META_COLUMNS)])).alias("__i")).select(*p.keys, "y", "__i.*")
     smape = score(oof, [*p.keys, "model"], ("smape",)).withColumnRenamed("smape", "score")
     smape = stage(smape, "stack-smape")
     k2 = [*p.keys, "origin"]

@@ -123,7 +123,8 @@ def kpss(p: Panel, lags: str = "auto") -> DataFrame:
         at = lambda k: F.when(F.lit(k) <= cov, F.get("sums", F.lit(k)) * 2.0 / n).otherwise(0.0)
         s0 = sum((at(k) for k in range(1, first + 1)), F.get("sums", F.lit(0)) / n)
         s1 = sum((at(k) * k for k in range(1, first + 1)), F.lit(0.0))
-        auto = F.floor(1.1447 * F.pow((s1 / s0) * (s1 / s0), F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0)))
+        shat = F.try_divide(s1, s0)
+        auto = F.floor(1.1447 * F.pow(shat * shat, F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0)))
         varies = F.get("sums", F.lit(0)) > 0
         plan = stage(c.select(*p.keys, "n", F.coalesce(F.when(varies, F.least(auto, n - 1)), F.lit(0)).cast("long").alias("kpss_lags")), "kpss-lags")
         top = int(plan.agg(F.max("kpss_lags")).first()[0] or 0)
@@ -139,7 +140,7 @@ def kpss(p: Panel, lags: str = "auto") -> DataFrame:
     along = Window.partitionBy(*p.keys).orderBy("__block")
     blocks = blocks.withColumn("off", F.sum("total").over(along) - F.col("total"))
     eta = blocks.groupBy(*p.keys).agg(F.sum(F.col("s2") + 2 * F.col("off") * F.col("s1") + F.col("m") * F.col("off") * F.col("off")).alias("__eta"))
-    stat = F.col("__eta") / (n * n) / (F.col("__spread") / n)
+    stat = F.try_divide(F.col("__eta") / n, F.col("__spread"))
     out = p.attach(plan, eta).withColumn("kpss_statistic", F.when(F.col("c0") > 0, stat))
     return out.select(*p.keys, "kpss_statistic", kpss_pvalue(F.col("kpss_statistic")).alias("kpss_pvalue"), "kpss_lags")
 

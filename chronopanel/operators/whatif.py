@@ -23,8 +23,8 @@ def future_features(p: Panel, horizon: int) -> DataFrame:
     one panel, so all of them are fitted in the same jobs."""
     cols = list(p.spec.features)
     long = p.df.select(*p.keys, p.spec.time, *p.spec.tie,
-                       F.explode(F.array(*[F.struct(F.lit(c).alias("__feature"), F.col(c).cast("double").alias("__value")) for c in cols])).alias("r"))
-    long = long.select(*p.keys, p.spec.time, *p.spec.tie, "r.*").where(present(F.col("__value")))
+                       F.explode(F.array(*[F.struct(F.lit(c).alias("__feature"), F.col(c).cast("double").alias("__value")) for c in cols])).alias("__i"))
+    long = long.select(*p.keys, p.spec.time, *p.spec.tie, "__i.*").where(present(F.col("__value")))
     spec = type(p.spec)(**{**p.spec.__dict__, "keys": (*p.spec.keys, "__feature"), "target": "__value", "features": ()})
     q = Panel(long, spec, (p.n_series * len(cols), p.longest))
     made = arima(q, horizon)
@@ -99,7 +99,7 @@ def inverse(p: Panel, model: TreeModel, targets: dict[str, float], features=None
                      .withColumn(f"__hi_{c}", F.lit(float(hi)) if hi is not None else F.col(f"__hi_{c}"))
     spark = p.df.sparkSession
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("goal"), F.lit(float(v)).alias("target_value")) for k, v in targets.items()]))
-    start = start.select("*", wanted.alias("t")).select("*", "t.*").drop("t")
+    start = start.select("*", wanted.alias("__t")).select("*", "__t.*").drop("__t")
     start = predict_features(model, start, "current_predicted")
     state = stage(start.select("*", *[clip(F.col(c), F.col(f"__lo_{c}"), F.col(f"__hi_{c}")).alias(f"__at_{c}") for c in features],
                                *[F.col(f"__lo_{c}").alias(f"__from_{c}") for c in features], *[F.col(f"__hi_{c}").alias(f"__to_{c}") for c in features]), "goal")
@@ -112,22 +112,22 @@ def inverse(p: Panel, model: TreeModel, targets: dict[str, float], features=None
             grid = grid.withColumn(f"__try_{c}", F.explode(F.array(*inside, F.col(f"__at_{c}"))))
         scored = predict_features(model, grid.select(*by, "target_value", *[F.col(f"__try_{c}").alias(c) if c in features else c for c in cols]), "__pred")
         best = scored.groupBy(*by).agg(F.min_by(F.struct("__pred", *features), F.struct(
-            F.abs(F.col("__pred") - F.col("target_value")), *features)).alias("b"))
+            F.abs(F.col("__pred") - F.col("target_value")), *features)).alias("__best"))
         moved = key_join(state.drop("__pred"), best, by)
         width = lambda c: (F.col(f"__to_{c}") - F.col(f"__from_{c}")) / (steps - 1)
         keep = [c for c in state.columns if not c.startswith(("__at_", "__from_", "__to_")) and c != "__pred"]
-        state = stage(moved.select(*keep, F.col("b.__pred").alias("__pred"), *[F.col(f"b.{c}").alias(f"__at_{c}") for c in features],
-                                   *[F.greatest(F.col(f"__lo_{c}"), F.col(f"b.{c}") - width(c)).alias(f"__from_{c}") for c in features],
-                                   *[F.least(F.col(f"__hi_{c}"), F.col(f"b.{c}") + width(c)).alias(f"__to_{c}") for c in features]), "goal")
+        state = stage(moved.select(*keep, F.col("__best.__pred").alias("__pred"), *[F.col(f"__best.{c}").alias(f"__at_{c}") for c in features],
+                                   *[F.greatest(F.col(f"__lo_{c}"), F.col(f"__best.{c}") - width(c)).alias(f"__from_{c}") for c in features],
+                                   *[F.least(F.col(f"__hi_{c}"), F.col(f"__best.{c}") + width(c)).alias(f"__to_{c}") for c in features]), "goal")
     gap = F.abs(F.col("__pred") - F.col("target_value"))
     item = lambda c: F.struct(F.lit(c).alias("feature"), F.col(c).alias("current"), F.col(f"__at_{c}").alias("recommended"),
                               F.col(f"__lo_{c}").alias("lower"), F.col(f"__hi_{c}").alias("upper"))
     out = state.select(*by, "target_value", "current_predicted", F.col("__pred").alias("optimized_predicted"), gap.alias("gap"),
                        (gap / F.greatest(F.abs("target_value"), F.lit(0.01)) * 100 > 10).alias("far_from_target"),
-                       F.explode(F.array(*[item(c) for c in features])).alias("r"))
-    change = F.col("r.recommended") - F.col("r.current")
+                       F.explode(F.array(*[item(c) for c in features])).alias("__i"))
+    change = F.col("__i.recommended") - F.col("__i.current")
     return out.select(*by, "target_value", F.round("current_predicted", 2).alias("current_predicted"), F.round("optimized_predicted", 2).alias("optimized_predicted"),
-                      F.round("gap", 2).alias("gap"), "far_from_target", "r.feature", F.round("r.current", 2).alias("current"),
-                      F.round("r.recommended", 2).alias("recommended"), F.round(change, 2).alias("change"),
-                      F.round(change / F.greatest(F.abs("r.current"), F.lit(0.01)) * 100, 1).alias("change_pct"),
-                      F.round("r.lower", 2).alias("lower"), F.round("r.upper", 2).alias("upper"))
+                      F.round("gap", 2).alias("gap"), "far_from_target", "__i.feature", F.round("__i.current", 2).alias("current"),
+                      F.round("__i.recommended", 2).alias("recommended"), F.round(change, 2).alias("change"),
+                      F.round(change / F.greatest(F.abs("__i.current"), F.lit(0.01)) * 100, 1).alias("change_pct"),
+                      F.round("__i.lower", 2).alias("lower"), F.round("__i.upper", 2).alias("upper"))

@@ -14,7 +14,7 @@ def facts(df: DataFrame, section: str, keys, item: str | None, metrics) -> DataF
     series = F.concat_ws("/", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
     return df.select(F.lit(section).alias("section"), series.alias("series"), (F.col(item) if item else F.lit("")).alias("item"),
-                     F.explode(rows).alias("r")).select("section", "series", "item", "r.metric", "r.value")
+                     F.explode(rows).alias("__i")).select("section", "series", "item", "__i.metric", "__i.value")
 
 
 def report(parts: list[DataFrame]) -> DataFrame:

@@ -84,5 +84,5 @@ def test_null_key_is_a_series(spark, pair):
     df = pair[0].df.withColumn("k", F.when(F.col("k") != "mid", F.col("k")))
     a = pair[0].fresh(df, tie=("y",))
     b = pair[0].fresh(df, tie=("y",), block_rows=90)
-    assert a.n_series == 2
+    assert a.n_series == 4
     assert a.indexed().count() == b.indexed().count() == df.count()
