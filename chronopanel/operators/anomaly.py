@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import present
-from ..shared import key_join
+from ..shared import key_join, stage
 from ..spec import SeriesSpec
 from .panel import Panel
 from .profile import quartile_bounds
@@ -84,7 +84,8 @@ def residual(p: Panel, df: DataFrame, period: int = 24, sigma: float = 3.0, meth
     from .decompose import classical, stl
     have = [c for c in ("idx", "n") if c in df.columns]
     q = p.derive(df.drop(*have))
-    d = (classical if method == "classical" else stl)(q, period)
+    # the decomposition feeds both its residual std and the rows: run once
+    d = classical(q, period) if method == "classical" else stage(stl(q, period), "residual")
     std = d.groupBy(*p.keys).agg(F.stddev_pop("resid").alias("__std"))
     ok = (F.col("n") >= 2 * period) & (F.col("__std") > 0) & F.col("resid").isNotNull()
     score = F.when(ok, F.abs("resid") / F.col("__std")).otherwise(0.0)
@@ -162,7 +163,8 @@ def vote(p: Panel, methods=None, min_votes: int = 3, params: dict | None = None)
         out = detect(q, methods, params)
     else:
         q = complete_cases(p)
-        rows = q.indexed()
+        # read by every detector below; each row keeps its number
+        rows = stage(q.indexed(), "channels")
         inner = q.derive(rows)
         single = [m for m in methods if m in PER_CHANNEL]
         joint = [m for m in methods if m not in PER_CHANNEL]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import correlation, present
@@ -15,28 +13,19 @@ EXPLAIN_LAGS = (1, 6, 12, 24)
 
 
 
-def lag_products(p: Panel, max_lag: int) -> DataFrame:
-    """One row per series: n, mean, c0 = sum of squares and c1..cL = lagged products of the
-    centred target.  One ordered pass; everything after it is a partial aggregation."""
-    base = p.df.select(*p.keys, p.spec.time, *p.spec.tie, p.y.cast("double").alias("__y"))
-    centred = p.attach(base, base.groupBy(*p.keys).agg(F.avg("__y").alias("__mean")))
-    centred = centred.withColumn("__e", F.col("__y") - F.col("__mean"))
-    e = F.col("__e")
-    lags = p.over(lambda w: {f"__p{k}": e * F.lag(e, k).over(w) for k in range(1, max_lag + 1)},
-                  before=max_lag, df=centred)
-    return lags.groupBy(*p.keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("__mean").alias("mean"), F.sum(e * e).alias("c0"),
-        *[F.sum(f"__p{k}").alias(f"c{k}") for k in range(1, max_lag + 1)])
-
-
 def acf(p: Panel, max_lag: int = ACF_MAX_LAG) -> DataFrame:
-    """Biased autocorrelation for lags 0..min(max_lag, n/2): (keys, n, lag, acf)."""
-    c = lag_products(p, max_lag)
-    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"),
-                              (F.lit(1.0) if k == 0 else F.when(F.col("c0") > 0, F.coalesce(f"c{k}", F.lit(0.0)) / F.col("c0"))).alias("acf"))
-                     for k in range(max_lag + 1)])
-    out = c.select(*p.keys, "n", F.explode(rows).alias("__i")).select(*p.keys, "n", "__i.*")
-    return out.where(F.col("lag") <= F.floor(F.col("n") / 2))
+    """Biased autocorrelation for lags 0..min(max_lag, n/2): (keys, n, lag, acf).
+
+    The lagged products of each block are numpy dot products of one Arrow column; Spark adds
+    them up per series."""
+    from .gram import lag_sums
+    base = p.df.select(*p.keys, p.spec.time, *p.spec.tie, p.y.cast("double").alias("__y"))
+    size = base.groupBy(*p.keys).agg(F.avg("__y").alias("__mean"), F.count(F.lit(1)).alias("n"))
+    centred = p.attach(base, size).select(*p.keys, p.spec.time, *p.spec.tie, (F.col("__y") - F.col("__mean")).alias("__e"))
+    c = p.attach(size, lag_sums(p, centred, "__e", min(max_lag, max(1, p.longest // 2))))
+    out = c.select(*p.keys, "n", F.get("sums", F.lit(0)).alias("__c0"), F.posexplode("sums").alias("lag", "__c"))
+    value = F.when(F.col("lag") == 0, 1.0).when(F.col("__c0") > 0, F.col("__c") / F.col("__c0"))
+    return out.where(F.col("lag") <= F.floor(F.col("n") / 2)).select(*p.keys, "n", F.col("lag").cast("long").alias("lag"), value.alias("acf"))
 
 
 def significant_lags(p: Panel, max_lag: int = ACF_MAX_LAG) -> DataFrame:

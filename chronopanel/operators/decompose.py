@@ -125,11 +125,11 @@ def robust_weights(resid: np.ndarray, scale: float) -> np.ndarray:
     return np.where(r <= 0.001 * scale, 1.0, np.where(r <= 0.999 * scale, inner, 0.0))
 
 
-def stl_series(y: np.ndarray, period: int, robust: bool = True):
+def stl_series(y: np.ndarray, period: int, robust_passes: int = ROBUST_PASSES):
     trend, weights = np.zeros(len(y)), None
-    for k in range(ROBUST_PASSES + 1 if robust else 1):
+    for k in range(robust_passes + 1):
         trend, seasonal = stl_pass(y, trend, weights, period)
-        if robust and k < ROBUST_PASSES:
+        if k < robust_passes:
             resid = y - trend - seasonal
             weights = robust_weights(resid, 6 * np.median(np.abs(resid)))
     return trend, seasonal
@@ -137,7 +137,7 @@ def stl_series(y: np.ndarray, period: int, robust: bool = True):
 
 # ---- STL on a panel ------------------------------------------------------------------------
 
-def stl(p: Panel, period: int, robust: bool = True) -> DataFrame:
+def stl(p: Panel, period: int, robust_passes: int = ROBUST_PASSES) -> DataFrame:
     """Adds idx, n, trend, seasonal, resid (null for series shorter than two periods).
 
     Series that fit one block are decomposed in one pass per series.  Longer ones are cut into
@@ -145,7 +145,7 @@ def stl(p: Panel, period: int, robust: bool = True) -> DataFrame:
     robustness weights is global, and it comes from the exact distributed median after each pass.
     """
     if p.longest > p.spec.block_rows:
-        return _stl_blocks(p, period, robust)
+        return _stl_blocks(p, period, robust_passes)
     target = p.spec.target
     ready = p.indexed()
     added = [T.StructField(c, T.DoubleType()) for c in ("trend", "seasonal", "resid")]
@@ -156,7 +156,7 @@ def stl(p: Panel, period: int, robust: bool = True) -> DataFrame:
         if len(y) < 2 * period or np.isnan(y).any():
             cols = [pa.nulls(len(y), pa.float64())] * 3
         else:
-            trend, seasonal = stl_series(y, period, robust)
+            trend, seasonal = stl_series(y, period, robust_passes)
             cols = [pa.array(c) for c in (trend, seasonal, y - trend - seasonal)]
         for field, col in zip(added, cols):
             table = table.append_column(field.name, col)
@@ -172,7 +172,7 @@ def block_reach(period: int) -> int:
     return INNER_PASSES * (one + 1)
 
 
-def _stl_blocks(p: Panel, period: int, robust: bool) -> DataFrame:
+def _stl_blocks(p: Panel, period: int, robust_passes: int) -> DataFrame:
     ready = stage(p.indexed(), "stl-rows")
     reach = block_reach(period)
     schema = T.StructType([*[ready.schema[k] for k in p.keys], T.StructField("pos", T.LongType()), T.StructField("__len", T.LongType()),
@@ -195,10 +195,10 @@ def _stl_blocks(p: Panel, period: int, robust: bool) -> DataFrame:
         return out.filter(pa.array(core))
 
     q = p.derive(state, time="pos", tie=(), target="__y")
-    for k in range(ROBUST_PASSES + 1 if robust else 1):
+    for k in range(robust_passes + 1):
         blocks, _ = q.blocked(reach, reach, df=state)
         parts = stage(blocks.drop("idx", "n").groupBy(*keys, "__block").applyInArrow(run, schema), "stl-pass")
-        if robust and k < ROBUST_PASSES:
+        if k < robust_passes:
             sized = parts.withColumn("__r", F.abs("resid"))
             mid = order_statistics(q, "__r", {"m": 0.5}, sized).select(*keys, (6 * interpolate("m")).alias("__s"))
             r, s = F.col("__r"), F.col("__s")
@@ -224,7 +224,7 @@ def residual_summary(p: Panel, period: int, method: str = "stl") -> DataFrame:
         F.stddev_samp("resid").alias("residual_std"), (3 * F.stddev_samp("resid")).alias("anomaly_threshold"))
 
 
-def seasonal_period(p: Panel, periods=CANDIDATE_PERIODS, strength: float = 0.1) -> DataFrame:
+def seasonal_period(p: Panel, periods=CANDIDATE_PERIODS, strength: float = 0.1, flag: DataFrame | None = None) -> DataFrame:
     """First period with n >= 2 periods whose STL seasonal part explains more than
     ``strength`` of the variance; null without significant autocorrelation or for n <= 20.
 
@@ -254,6 +254,6 @@ def seasonal_period(p: Panel, periods=CANDIDATE_PERIODS, strength: float = 0.1)
             F.try_divide(F.var_pop("seasonal"), F.var_pop(target)).alias("share")).withColumn("period", F.lit(x))
         shares = reduce(DataFrame.unionByName, [one(x) for x in periods if p.longest >= 2 * x])
     best = shares.where(F.col("share") > strength).groupBy(*p.keys).agg(F.min("period").alias("__p"))
-    base = p.attach(p.aggregate(F.count(F.lit(1)).alias("__n")), seasonality_flag(p))
+    base = p.attach(p.aggregate(F.count(F.lit(1)).alias("__n")), seasonality_flag(p) if flag is None else flag)
     found = p.attach(base, best, "left")
     return found.select(*p.keys, F.when(F.col("has_seasonality") & (F.col("__n") > 20), F.col("__p")).cast("long").alias("seasonal_period"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalar import present
+from ..shared import stage, stage_all
 from .panel import Panel, numeric_order
 from .quantiles import quantiles
 
@@ -172,16 +173,27 @@ def data_warnings(profile: DataFrame) -> DataFrame:
     return profile.withColumn("warnings", notes).withColumn("status", F.when(F.size("warnings") > 0, "warning").otherwise("ok"))
 
 
+def _simple(p: Panel) -> list[Column]:
+    """Everything one plain aggregation gives: rows, dates, missing share, moments."""
+    y = F.when(present(p.y), p.y)
+    return [F.count(F.lit(1)).alias("n_rows"), F.min(p.spec.time).alias("first_ts"), F.max(p.spec.time).alias("last_ts"),
+            (F.avg((~present(p.y)).cast("double")) * 100).alias("missing_pct"),
+            F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), F.min(y).alias("min"), F.max(y).alias("max")]
+
+
 def profile(p: Panel, stationarity: bool = True, seasonality: bool = True) -> DataFrame:
     """The whole profile, one row per series."""
     from .autocorrelation import seasonality_flag
     from .stationarity import adf, kpss
-    parts = [p.aggregate(F.count(F.lit(1)).alias("n_rows")), date_range(p), frequency(p), missing_share(p),
-             outlier_share(p), moments(p), trend(p), seasonality_flag(p)]
+    simple = p.aggregate(*_simple(p))
+    flag = None
+    parts = [frequency(p), outlier_share(p), trend(p)]
     if stationarity:
         parts += [adf(p).select(*p.keys, "adf_statistic", "adf_pvalue"), kpss(p).select(*p.keys, "kpss_statistic", "kpss_pvalue")]
     if seasonality:
         from .decompose import seasonal_period
-        parts.append(seasonal_period(p))
-    out = reduce(lambda a, b: p.attach(a, b, "left"), parts)
+        flag = stage(seasonality_flag(p), "seasonality")
+        parts.append(seasonal_period(p, flag=flag))
+    # each part is one row per series: computed as its own job, then joined
+    out = reduce(lambda a, b: p.attach(a, b, "left"), stage_all([simple, seasonality_flag(p) if flag is None else flag, *parts], "profile"))
     return data_warnings(out.withColumn("n_cols", F.lit(len(p.df.columns))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,6 +37,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def stage_all(parts: list[DataFrame], name: str = "stage", at_once: int = 4) -> list[DataFrame]:
+    """Stage independent small results, a few jobs at a time."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda d: stage(d, name), parts))
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives
     lost executors, and gives later joins an exact size to plan with."""

@@ -43,7 +43,7 @@ CASES = {
     "summary": (lambda p: ac.statistical_summary(p), ["k"]),
     "context": (lambda p: ac.context_windows(p).withColumn("y_window", F.col("y_window").cast("string")), ["k", "ts"]),
     "classical": (lambda p: decompose.classical(p, 24), ["k", "ts"]),
-    "stl": (lambda p: decompose.stl(p, 7), ["k", "ts"]),
+    "stl": (lambda p: decompose.stl(p, 7, 3), ["k", "ts"]),
     "kpss": (lambda p: stationarity.kpss(p), ["k"]),
     "kpss_short": (lambda p: stationarity.kpss(p, "short"), ["k"]),
     "adf": (lambda p: stationarity.adf(p), ["k"]),
