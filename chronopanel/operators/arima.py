@@ -47,7 +47,7 @@ def fit_arima(p: Panel, max_p: int = MAX_P, max_q: int = MAX_Q, d: int | None =
     rows = p.attach(p.df.select(*p.keys, p.spec.time, *p.spec.tie, p.spec.target), order)
     z = _differenced(p.derive(rows), F.col("d")).staged("arima-z")
     long_ar = stage(_long_ar(z), "arima-ar")
-    both = z.attach(z.df, long_ar)
+    both = z.attach(z.df, long_ar, cells=LONG_AR + 1)
     e = F.col("__z") - F.get("__phi", F.lit(0))
     resid = lambda w: {"__e": sum((-F.get("__phi", F.lit(k)) * F.coalesce(F.lag("__z", k).over(w), F.lit(0.0))
                                    for k in range(1, LONG_AR + 1)), e)}
@@ -70,11 +70,11 @@ def fit_arima(p: Panel, max_p: int = MAX_P, max_q: int = MAX_Q, d: int | None =
         return x
 
     g = gram(z, scored, design, width, reach)
-    tails = z.indexed(scored).where(F.col("idx") >= F.col("n") - max(reach, 1)).groupBy(*p.keys).agg(
+    tails = z.tail(max(reach, 1), scored).groupBy(*p.keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "__z", "__e"))), lambda r: F.struct(r["__z"].alias("z"), r["__e"].alias("e"))).alias("tail"))
-    ends = p.indexed().where(F.col("idx") >= F.col("n") - 2).groupBy(*p.keys).agg(
+    ends = p.tail(2).groupBy(*p.keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", p.y.cast("double").alias("v")))), lambda r: r["v"]).alias("ends"))
-    ready = z.attach(z.attach(z.attach(order, g), tails), ends)
+    ready = z.attach(z.attach(z.attach(order, g, cells=width * width), tails, cells=2 * reach + 2), ends)
     ready = ready.select(*p.keys, "d", "gram", F.transform("tail", lambda r: r["z"]).alias("z_tail"),
                          F.transform("tail", lambda r: r["e"]).alias("e_tail"), "ends")
     arr = T.ArrayType(T.DoubleType())
@@ -162,7 +162,7 @@ def arima(p: Panel, horizon: int, max_p: int = MAX_P, max_q: int = MAX_Q, d: int
 
     paths = fit.mapInPandas(run, schema)
     base = naive(p, horizon)
-    out = p.attach(base, paths, "left")
+    out = p.attach(base, paths, "left", cells=horizon)
     got = F.get("path", F.col("h") - 1)
     ok = got.isNotNull() & ~F.isnan(got)
     return out.select(*keys, "h", F.when(ok, got).otherwise(F.col("yhat")).alias("yhat"), (~ok).alias("fallback"))

@@ -22,7 +22,7 @@ def acf(p: Panel, max_lag: int = ACF_MAX_LAG) -> DataFrame:
     base = p.df.select(*p.keys, p.spec.time, *p.spec.tie, p.y.cast("double").alias("__y"))
     size = base.groupBy(*p.keys).agg(F.avg("__y").alias("__mean"), F.count(F.lit(1)).alias("n"))
     centred = p.attach(base, size).select(*p.keys, p.spec.time, *p.spec.tie, (F.col("__y") - F.col("__mean")).alias("__e"))
-    c = p.attach(size, lag_sums(p, centred, "__e", min(max_lag, max(1, p.longest // 2))))
+    c = p.attach(size, lag_sums(p, centred, "__e", min(max_lag, max(1, p.longest // 2))), cells=max_lag + 1)
     out = c.select(*p.keys, "n", F.get("sums", F.lit(0)).alias("__c0"), F.posexplode("sums").alias("lag", "__c"))
     value = F.when(F.col("lag") == 0, 1.0).when(F.col("__c0") > 0, F.col("__c") / F.col("__c0"))
     return out.where(F.col("lag") <= F.floor(F.col("n") / 2)).select(*p.keys, "n", F.col("lag").cast("long").alias("lag"), value.alias("acf"))

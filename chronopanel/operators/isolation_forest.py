@@ -16,7 +16,7 @@ from .quantiles import quantiles
 SAMPLE = 256
 TREES = 100
 CONTAMINATION = 0.02
-GROUP_ROWS = 50_000
+GROUP_ROWS = (50_000, 500_000)  # rows scored together; towards the upper bound in long series
 EULER = 0.5772156649015329
 
 
@@ -93,7 +93,8 @@ def isolation_forest(p: Panel, df: DataFrame, contamination: float = CONTAMINATI
     """Score 2^(-mean depth / c); flagged strictly above the (1 - contamination) quantile."""
     cols = list(columns or (p.spec.target, *p.spec.features))
     forest = stage(fit_forest(p, cols, n_trees), "forest")
-    size = p.aggregate(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("__groups"))
+    n = F.count(F.lit(1))
+    size = p.aggregate(F.ceil(n / F.greatest(F.lit(GROUP_ROWS[0]), F.least(F.lit(GROUP_ROWS[1]), n / 4096))).cast("int").alias("__groups"))
     spread = F.pmod(F.xxhash64(p.spec.time, *p.spec.tie), F.col("__groups")).cast("int")
     rows = p.attach(df, size).withColumn("__group", spread).drop("__groups")
     copies = p.attach(forest, size).withColumn("__group", F.explode(F.sequence(F.lit(0), F.col("__groups") - 1))).drop("__groups")

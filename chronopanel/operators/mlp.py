@@ -130,6 +130,6 @@ def forecast_mlp(p: Panel, net: Network, horizon: int) -> DataFrame:
             yield b[keys].reset_index(drop=True).assign(path=list(np.stack(steps, axis=1) * std + mean))
 
     paths = seeds.mapInPandas(run, schema)
-    out = p.attach(naive(p, horizon), paths, "left")
+    out = p.attach(naive(p, horizon), paths, "left", cells=horizon)
     got = F.get("path", F.col("h") - 1)
     return out.select(*keys, "h", F.coalesce(got, F.col("yhat")).alias("yhat"), got.isNull().alias("fallback"))

@@ -23,7 +23,7 @@ def seasonal_naive(p: Panel, horizon: int, seasonal_period: int = SEASONAL_PERIO
     """M2: the value of the same place in the last season; the last value if the series is
     shorter than a season."""
     sp = seasonal_period
-    tail = p.indexed().where(F.col("idx") >= F.col("n") - sp)
+    tail = p.tail(sp)
     short = F.col("n") < sp
     place = (F.col("idx") - (F.col("n") - sp)).cast("long")  # 0 .. sp-1
     rows = tail.select(*p.keys, short.alias("fallback"), place.alias("__place"), p.y.cast("double").alias("yhat"))

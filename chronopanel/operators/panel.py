@@ -19,7 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..shared import BROADCAST_SERIES, key_join, stage
+from ..shared import BROADCAST_CELLS, BROADCAST_ROWS, key_join, stage
 from ..spec import SeriesSpec
 
 MAX_BUCKETS = 65_536
@@ -81,9 +81,10 @@ class Panel:
         return self.derive(stage(self.df, name))
 
     # ---- per-series tables -------------------------------------------------------------
-    def attach(self, df: DataFrame, per_key: DataFrame, how: str = "inner") -> DataFrame:
-        """Add the columns of a one-row-per-series table to ``df``."""
-        if self.n_series <= BROADCAST_SERIES:
+    def attach(self, df: DataFrame, per_key: DataFrame, how: str = "inner", cells: int = 8) -> DataFrame:
+        """Add the columns of a one-row-per-series table to ``df``.  ``cells``: values per row
+        (array lengths included); the table is broadcast only if all of them are few."""
+        if self.n_series * cells <= BROADCAST_CELLS:
             per_key = F.broadcast(per_key)
         return key_join(df, per_key, self.keys, how)
 
@@ -94,6 +95,41 @@ class Panel:
     def _order(self, order: str, tie) -> list[Column]:
         return [F.col(c).asc_nulls_last() for c in (order, *tie)]
 
+    def _buckets(self, df: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+        """Cut the order range of each series into buckets of equal width: the rows with ``n``
+        and ``__bucket``, and per bucket the positions [__start, __end) of its rows."""
+        rows = self.spec.block_rows
+        value = numeric_order(df, order)
+        stats = df.groupBy(*self.keys).agg(
+            F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(F.lit(1)).alias("n"))
+        count = F.least(F.greatest(F.ceil(F.col("n") * BUCKETS_PER_BLOCK / rows), F.lit(1)),
+                        F.lit(MAX_BUCKETS)).cast("long")
+        stats = stats.select(*self.keys, "n", "__lo", count.alias("__count"),
+                             ((F.col("__hi") - F.col("__lo")) / count).alias("__width"))
+        bucket = F.coalesce(
+            F.when(F.col("__width") > 0,
+                   F.least(F.col("__count") - 1, F.floor((value - F.col("__lo")) / F.col("__width")))),
+            F.when(value.isNull(), F.col("__count") - 1), F.lit(0)).cast("long")
+        tagged = self.attach(df, stats).withColumn("__bucket", bucket).drop("__lo", "__count", "__width")
+        hist = tagged.groupBy(*self.keys, "__bucket").agg(F.count(F.lit(1)).alias("__c"), F.min("n").alias("n"))
+        along = Window.partitionBy(*self.keys).orderBy("__bucket")
+        hist = hist.withColumn("__end", F.sum("__c").over(along)).withColumn("__start", F.col("__end") - F.col("__c"))
+        return tagged, hist
+
+    def tail(self, size: int, df: DataFrame | None = None) -> DataFrame:
+        """The last ``size`` rows of each series with ``idx`` and ``n``.  In a long series only
+        the buckets that reach into the tail are shuffled."""
+        df = self.df if df is None else df
+        if self.longest <= self.spec.block_rows:
+            return self.indexed(df).where(F.col("idx") >= F.col("n") - size)
+        tagged, hist = self._buckets(df, self.spec.time)
+        cut = hist.where(F.col("__end") > F.col("n") - size).groupBy(*self.keys).agg(
+            F.min("__bucket").alias("__from"), F.min("__start").alias("__base"))
+        late = self.attach(tagged, cut).where(F.col("__bucket") >= F.col("__from"))
+        w = Window.partitionBy(*self.keys).orderBy(*self._order(self.spec.time, self.spec.tie))
+        late = late.withColumn("idx", (F.col("__base") + F.row_number().over(w) - 1).cast("long"))
+        return late.drop("__bucket", "__from", "__base").where(F.col("idx") >= F.col("n") - size)
+
     def blocked(self, before: int = 0, after: int = 0, order: str | None = None,
                 tie: tuple[str, ...] | None = None, df: DataFrame | None = None):
         """Cut into ordered blocks.
@@ -116,22 +152,9 @@ class Panel:
                              (F.row_number().over(w) - 1).cast("long").alias("idx"),
                              F.count(F.lit(1)).over(all_rows).alias("n"))
             return out, w
-        value = numeric_order(df, order)
-        stats = df.groupBy(*self.keys).agg(
-            F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(F.lit(1)).alias("n"))
-        count = F.least(F.greatest(F.ceil(F.col("n") * BUCKETS_PER_BLOCK / rows), F.lit(1)),
-                        F.lit(MAX_BUCKETS)).cast("long")
-        stats = stats.select(*self.keys, "n", "__lo", count.alias("__count"),
-                             ((F.col("__hi") - F.col("__lo")) / count).alias("__width"))
-        bucket = F.coalesce(
-            F.when(F.col("__width") > 0,
-                   F.least(F.col("__count") - 1, F.floor((value - F.col("__lo")) / F.col("__width")))),
-            F.when(value.isNull(), F.col("__count") - 1), F.lit(0)).cast("long")
-        tagged = self.attach(df, stats).withColumn("__bucket", bucket).drop("__lo", "__count", "__width")
         by = [*self.keys, "__bucket"]
         along = Window.partitionBy(*self.keys).orderBy("__bucket")
-        hist = tagged.groupBy(*by).agg(F.count(F.lit(1)).alias("__c"))
-        hist = hist.withColumn("__end", F.sum("__c").over(along)).withColumn("__start", F.col("__end") - F.col("__c"))
+        tagged, hist = self._buckets(df, order)
         hist = hist.withColumn("__own", F.floor(F.col("__start") / rows).cast("long"))
         targets = [F.array("__own")]
         if before:
@@ -149,7 +172,7 @@ class Panel:
         plan = plan.select(*by, "__block", (F.col("__block") == F.col("__own")).alias("__core"),
                            F.min("__start").over(first).alias("__base"))
         bound = self.n_series + self.n_series * min(MAX_BUCKETS, self.longest * BUCKETS_PER_BLOCK // rows + 1) * 3
-        if bound <= 10 * BROADCAST_SERIES:
+        if bound <= BROADCAST_ROWS:
             plan = F.broadcast(plan)
         out = key_join(tagged, plan, by).drop("__bucket")
         w = Window.partitionBy(*self.keys, "__block").orderBy(*sort)

@@ -18,7 +18,7 @@ SEASON_GRID = (0.01, 0.1, 0.3, 0.6)
 
 def tail_arrays(p: Panel, size: int) -> DataFrame:
     """One row per series: the last ``size`` target values in order (at most ``size`` per group)."""
-    tail = p.indexed().where(F.col("idx") >= F.col("n") - size)
+    tail = p.tail(size)
     values = F.transform(F.array_sort(F.collect_list(F.struct("idx", p.y.cast("double").alias("v")))), lambda r: r["v"])
     return tail.groupBy(*p.keys).agg(values.alias("values"), F.max("n").alias("n"))
 

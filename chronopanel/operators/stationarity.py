@@ -63,7 +63,7 @@ def adf(p: Panel) -> DataFrame:
     head = d.where((F.col("idx") <= top + 1) & F.col("__core")).groupBy(*p.keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "__y"))), lambda r: r["__y"]).alias("head"),
         F.min("n").alias("n"))
-    ready = p.attach(g, head)
+    ready = p.attach(g, head, cells=top + 3)
     fields = T.StructType([*[ready.schema[k] for k in p.keys], T.StructField("adf_statistic", T.DoubleType()),
                            T.StructField("adf_pvalue", T.DoubleType()), T.StructField("adf_lags", T.LongType())])
     keys = p.keys
@@ -118,7 +118,7 @@ def kpss(p: Panel, lags: str = "auto") -> DataFrame:
         top = int(4 * (p.longest / 100) ** 0.25)
     else:
         first = max(1, int(p.longest ** (2.0 / 9.0) + 1e-9))
-        c = p.attach(size, lag_sums(p, centred, "__e", first))
+        c = p.attach(size, lag_sums(p, centred, "__e", first), cells=first + 1)
         cov = F.floor(F.pow(n, F.lit(2.0 / 9.0)) + 1e-9)
         at = lambda k: F.when(F.lit(k) <= cov, F.get("sums", F.lit(k)) * 2.0 / n).otherwise(0.0)
         s0 = sum((at(k) for k in range(1, first + 1)), F.get("sums", F.lit(0)) / n)
@@ -128,7 +128,7 @@ def kpss(p: Panel, lags: str = "auto") -> DataFrame:
         varies = F.get("sums", F.lit(0)) > 0
         plan = stage(c.select(*p.keys, "n", F.coalesce(F.when(varies, F.least(auto, n - 1)), F.lit(0)).cast("long").alias("kpss_lags")), "kpss-lags")
         top = int(plan.agg(F.max("kpss_lags")).first()[0] or 0)
-    plan = p.attach(plan, lag_sums(p, centred, "__e", top))
+    plan = p.attach(plan, lag_sums(p, centred, "__e", top), cells=top + 1)
     m = F.col("kpss_lags") + 1.0
     weighted = F.transform("sums", lambda v, k: F.when(k == 0, v).when(k <= F.col("kpss_lags"), 2.0 * (1.0 - k / m) * v).otherwise(0.0))
     plan = plan.select(*p.keys, "n", "kpss_lags", F.get("sums", F.lit(0)).alias("c0"),

@@ -183,7 +183,7 @@ def forecast_lag_trees(p: Panel, model: TreeModel, horizon: int, future: DataFra
         listed = future.where(F.col("h") <= horizon).groupBy(*p.keys).agg(F.transform(
             F.array_sort(F.collect_list(F.struct("h", *[F.col(c).cast("double").alias(c) for c in model.exog]))),
             lambda r: F.array(*[r[c] for c in model.exog])).alias("exog"))
-        seeds = p.attach(seeds, listed)
+        seeds = p.attach(seeds, listed, cells=horizon * len(model.exog))
     nodes = seeds.sparkSession.sparkContext.broadcast(model.nodes)
     n_lags, n_exog, keys = model.n_lags, len(model.exog), p.keys
     schema = T.StructType([*[seeds.schema[k] for k in keys], T.StructField("path", T.ArrayType(T.DoubleType()))])
@@ -208,7 +208,7 @@ def forecast_lag_trees(p: Panel, model: TreeModel, horizon: int, future: DataFra
             yield b[keys].reset_index(drop=True).assign(path=list(path))
 
     paths = seeds.mapInPandas(run, schema)
-    out = p.attach(naive(p, horizon), paths, "left")
+    out = p.attach(naive(p, horizon), paths, "left", cells=horizon)
     got = F.get("path", F.col("h") - 1)
     return out.select(*keys, "h", F.coalesce(got, F.col("yhat")).alias("yhat"), got.isNull().alias("fallback"))
 
@@ -290,9 +290,11 @@ def shap_values(model: TreeModel, rows: DataFrame, keep=()) -> DataFrame:
 def shap_summary(p: Panel, model: TreeModel, last: int = 10) -> DataFrame:
     """E5: mean |Shapley value| over the last ``last`` rows of each series, as % of its sum."""
     if model.mode == "features":
-        rows = p.indexed()
+        rows = p.tail(last)
     else:
-        rows = lag_table(p, model.n_lags, model.exog, model.scale)
+        # the last rows with their lags need no more than that much history
+        short = p.derive(p.tail(last + model.n_lags).drop("idx", "n"))
+        rows = lag_table(short, model.n_lags, model.exog, model.scale)
     rows = rows.where(F.col("idx") >= F.col("n") - last).select(*p.keys, *model.columns).repartition(*(p.keys or [F.lit(0)]))
     v = shap_values(model, rows, p.keys).groupBy(*p.keys, "feature").agg(F.avg(F.abs("shap")).alias("mean_abs"))
     total = v.groupBy(*p.keys).agg(F.sum("mean_abs").alias("__t"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import is_finite
-from ..shared import BROADCAST_SERIES, key_join
+from ..shared import BROADCAST_ROWS, key_join
 from .panel import Panel
 
 CV_FOLDS = 3
@@ -50,7 +50,7 @@ def evaluation_origins(p: Panel, horizon: int, fraction: float = 0.8, max_window
 
 def _bounded(p: Panel, small: DataFrame, per_series: int) -> DataFrame:
     """Broadcast a table of at most ``per_series`` rows a series only if it is small."""
-    return F.broadcast(small) if p.n_series * per_series <= 10 * BROADCAST_SERIES else small
+    return F.broadcast(small) if p.n_series * per_series <= BROADCAST_ROWS else small
 
 
 def origin_panel(p: Panel, origins: DataFrame, context: int | None = None, n_origins: int = MAX_WINDOWS) -> Panel:

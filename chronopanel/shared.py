@@ -8,8 +8,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: one-row-per-series tables up to this many series are broadcast; above it they are joined
-BROADCAST_SERIES = 20_000
+#: tables proven to hold at most this many rows / values are broadcast; larger ones are joined
+BROADCAST_ROWS = 200_000
+BROADCAST_CELLS = 1_000_000
 
 
 def key_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
@@ -29,7 +30,7 @@ def key_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> Dat
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; a fresh temporary
     folder only where that is unset (tests on one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = getattr(scratch_dir, "_local", None)
         if path is None:
