@@ -59,9 +59,45 @@ def lowpass_span(period: int) -> int:
     return _next_odd(period + 1)
 
 
+def _near_weight(dist: np.ndarray, reach) -> np.ndarray:
+    """Tricube weight of a distance, flat at the centre and zero at the end of the window."""
+    return np.where(dist <= 0.001 * reach, 1.0, np.where(dist <= 0.999 * reach, (1 - (dist / reach) ** 3) ** 3, 0.0))
+
+
 def _loess(rows: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """Local linear smoothing of equally spaced rows (m x k) at positions ``at``; the row value
-    itself where all weights vanish."""
+    """Local linear smoothing of equally spaced rows (m x k) at consecutive positions ``at``; the
+    row value itself where all weights vanish.
+
+    Where the window is centred its weights do not depend on the position, so the weighted sums
+    are convolutions; only the positions near the ends are fitted one by one."""
+    m, k = rows.shape
+    half = (span - 1) // 2
+    lo, hi = max(half, at[0]), min(k - half, at[-1] + 1)  # centred positions
+    if span > k or hi <= lo:
+        return _loess_each(rows, span, at, weights)
+    d = np.arange(-half, half + 1, dtype=float)
+    kernel = _near_weight(np.abs(d), float(half))
+    out = np.empty((m, len(at)))
+    w = np.ones_like(rows) if weights is None else weights
+    for i in range(m):
+        total = lambda x, f: np.convolve(x, f[::-1], "valid")[lo - half:hi - half]
+        s0, s1, s2 = (total(w[i], kernel * d ** e) for e in range(3))
+        t0, t1 = (total(w[i] * rows[i], kernel * d ** e) for e in range(2))
+        ok = s0 > 0
+        safe = np.where(ok, s0, 1.0)
+        centre = s1 / safe
+        var = np.maximum(s2 / safe - centre ** 2, 0.0)
+        slope_ok = np.sqrt(var) > 0.001 * (k - 1)
+        tilt = np.where(slope_ok, -centre / np.where(slope_ok, var, 1.0), 0.0)
+        fit = (t0 + tilt * (t1 - centre * t0)) / safe
+        out[i, lo - at[0]:hi - at[0]] = np.where(ok, fit, rows[i, lo:hi])
+    for edge in (np.arange(0, lo - at[0]), np.arange(hi - at[0], len(at))):
+        if len(edge):
+            out[:, edge] = _loess_each(rows, span, at[edge], weights)
+    return out
+
+
+def _loess_each(rows: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     m, k = rows.shape
     size = min(span, k)
     out = np.empty((m, len(at)))
@@ -75,7 +111,7 @@ def _loess(rows: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray | No
         if span > k:
             reach += (span - k) // 2
         reach = np.maximum(reach, 1e-12)[:, None]
-        base = np.where(dist <= 0.001 * reach, 1.0, np.where(dist <= 0.999 * reach, (1 - (dist / reach) ** 3) ** 3, 0.0))
+        base = _near_weight(dist, reach)
         w = base[None] if weights is None else base[None] * weights[:, near]
         total = w.sum(axis=2, keepdims=True)
         ok = total[..., 0] > 0

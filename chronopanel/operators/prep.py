@@ -47,8 +47,7 @@ def predicate(df: DataFrame, column: str, op: str, value) -> Column | None:
     if op in ("==", "!="):
         lit = _literal(kind, value)
         same = c == lit if lit is not None else c.cast("string") == F.lit(str(value))
-        same = F.coalesce(same, F.lit(False)) if op == "!=" else same
-        return same if op == "==" else ~same
+        return same if op == "==" else ~same | c.isNull()  # text comparison keeps missing values
     if op in ("in", "between"):
         lits = [_literal(kind, v) for v in value]
         if any(v is None for v in lits):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -35,7 +37,14 @@ def scratch_dir(spark: SparkSession) -> str:
         path = getattr(scratch_dir, "_local", None)
         if path is None:
             path = scratch_dir._local = tempfile.mkdtemp(prefix="chronopanel-")
-    return path.rstrip("/")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"{path.rstrip('/')}/chronopanel-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything this application has staged; call it when its results are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage_all(parts: list[DataFrame], name: str = "stage", at_once: int = 4) -> list[DataFrame]:
