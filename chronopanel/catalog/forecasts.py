@@ -76,6 +76,16 @@ def _(spark, sf):
     return rounded(arima.arima(hourly(spark, sf), H))
 
 
+@query("m3_arima_first_order", f"""WITH {IX}, x AS (SELECT *, lag(y) OVER (PARTITION BY event_type ORDER BY ts) AS z FROM ix),
+  g AS (SELECT event_type, count(*) AS m, regr_slope(y, z) AS b, regr_intercept(y, z) AS a, avg(y) AS mu, var_pop(y) * count(*) AS rss0 FROM x WHERE idx >= 13 GROUP BY 1),
+  e AS (SELECT event_type, m, a, b, mu, rss0, sum((y - a - b * z) ** 2) AS rss1 FROM x JOIN g USING (event_type) WHERE idx >= 13 GROUP BY ALL),
+  c AS (SELECT *, abs(b) < 0.999 AND m * ln(rss1 / m) + 6 < m * ln(rss0 / m) + 4 AS ar FROM e)
+  SELECT c.event_type, h::BIGINT AS h, round(CASE WHEN ar THEN a * (1 - b ** h) / (1 - b) + b ** h * ix.y ELSE mu END, 6) + 0.0 AS yhat
+  FROM c JOIN ix ON ix.event_type = c.event_type AND ix.idx = ix.n - 1 CROSS JOIN {FRAME}""")
+def _(spark, sf):
+    return rounded(arima.arima(hourly(spark, sf), H, 1, 0, 0).drop("fallback"))
+
+
 @query("m3_arima_orders")
 def _(spark, sf):
     return rounded(arima.fit_arima(shipped(spark, sf)).select("l_returnflag", "p", "d", "q", "aic"))

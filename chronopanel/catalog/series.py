@@ -251,6 +251,14 @@ def _(spark, sf):
     return rounded(stationarity.adf(hourly(spark, sf)))
 
 
+@query("t4_adf_fixed_lag", f"""WITH {IX}, d AS (SELECT event_type, y - lag(y) OVER ({K}) AS dy, lag(y) OVER ({K}) AS y1 FROM ix),
+  g AS (SELECT event_type, count(*) AS m, regr_slope(dy, y1) AS b, regr_intercept(dy, y1) AS a, var_pop(y1) * count(*) AS sxx FROM d WHERE dy IS NOT NULL GROUP BY 1),
+  e AS (SELECT event_type, m, b, sxx, sum((dy - a - b * y1) ** 2) AS rss FROM d JOIN g USING (event_type) WHERE dy IS NOT NULL GROUP BY 1, 2, 3, 4)
+  SELECT event_type, round(b / sqrt(rss / (m - 2) / sxx), 6) + 0.0 AS adf_statistic, 0::BIGINT AS adf_lags FROM e""")
+def _(spark, sf):
+    return rounded(stationarity.adf(hourly(spark, sf), 0).select("event_type", "adf_statistic", "adf_lags"))
+
+
 @query("t5_kpss", f"""WITH {IX}, m AS (SELECT event_type, avg(y) a FROM ix GROUP BY 1),
   e AS (SELECT event_type, idx, n, y - a AS e, sum(y - a) OVER (PARTITION BY event_type ORDER BY idx) AS s FROM ix JOIN m USING (event_type)),
   b AS (SELECT event_type, min(n) AS n, sum(e * e) AS c0, sum(s * s) AS eta, floor(4 * pow(min(n) / 100.0, 0.25)) AS lags FROM e GROUP BY 1),

@@ -34,10 +34,12 @@ def unit_root_pvalue(t: float) -> float:
     return 0.5 * (1 + math.erf(z / math.sqrt(2)))
 
 
-def adf(p: Panel) -> DataFrame:
+def adf(p: Panel, fixed_lags: int | None = None) -> DataFrame:
     """T4: augmented Dickey-Fuller test with a constant; the lag order minimizes AIC on the
-    common sample and the statistic uses all rows that order allows."""
-    top = max_lag(p.longest)
+    common sample and the statistic uses all rows that order allows.  ``fixed_lags`` sets the
+    order instead."""
+    limit = (lambda n: max_lag(n)) if fixed_lags is None else (lambda n: min(fixed_lags, max_lag(n)))
+    top = limit(p.longest)
     width = top + 3  # dy, 1, y[t-1], dy[t-1..t-top]
     y = p.y.cast("double")
     scale = p.aggregate(F.avg(y).alias("__mean"), F.stddev_pop(y).alias("__std"))
@@ -47,7 +49,7 @@ def adf(p: Panel) -> DataFrame:
 
     def design(c):
         v, idx, n = c["y"], c["idx"], int(c["n"][0])
-        lags = max_lag(n)
+        lags = limit(n)
         take = np.flatnonzero(c["core"] & (idx >= lags + 1))
         z = np.zeros((len(take), width))
         if n < 4 or not len(take):
@@ -70,15 +72,14 @@ def adf(p: Panel) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [_adf_row(np.asarray(r.gram, float).reshape(width, width), np.asarray(r.head, float), int(r.n)) for r in b.itertuples()]
+            rows = [_adf_row(np.asarray(r.gram, float).reshape(width, width), np.asarray(r.head, float), int(r.n), limit(int(r.n)), fixed_lags is None) for r in b.itertuples()]
             out = b[keys].reset_index(drop=True)
             yield pd.concat([out, pd.DataFrame(rows, columns=["adf_statistic", "adf_pvalue", "adf_lags"])], axis=1)
 
     return ready.mapInPandas(run, fields)
 
 
-def _adf_row(g: np.ndarray, head: np.ndarray, n: int):
-    lags = max_lag(n)
+def _adf_row(g: np.ndarray, head: np.ndarray, n: int, lags: int, choose: bool):
     if n < 4 or g[0, 0] <= 0:
         return None, None, None
     rows = n - 1 - lags
@@ -86,7 +87,7 @@ def _adf_row(g: np.ndarray, head: np.ndarray, n: int):
     for k in range(lags + 1):
         _, rss, _ = solve(g, 0, list(range(1, 3 + k)))
         aic.append(rows * math.log(max(rss, 1e-300) / rows) + 2 * (2 + k))
-    best = int(np.argmin(aic))
+    best = int(np.argmin(aic)) if choose else lags
     step = np.diff(head, prepend=head[:1])
     extra = []
     for t in range(best + 1, lags + 1):
