@@ -243,7 +243,7 @@ def _(spark, sf):
 
 @query("t3_seasonal_period")
 def _(spark, sf):
-    return decompose.seasonal_period(hourly(spark, sf), periods=(7, 12, 24, 30))
+    return decompose.seasonal_period(hourly(spark, sf))
 
 
 @query("t4_adf")

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..shared import BROADCAST_CELLS, BROADCAST_ROWS, key_join, stage
 from ..spec import SeriesSpec
 
-MAX_BUCKETS = 65_536
+COARSE_BUCKETS = 1_024
+MAX_BUCKETS = 65_536  # per coarse bucket
 BUCKETS_PER_BLOCK = 8
 
 
@@ -96,21 +97,28 @@ class Panel:
         return [F.col(c).asc_nulls_last() for c in (order, *tie)]
 
     def _buckets(self, df: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
-        """Cut the order range of each series into buckets of equal width: the rows with ``n``
-        and ``__bucket``, and per bucket the positions [__start, __end) of its rows."""
-        rows = self.spec.block_rows
-        value = numeric_order(df, order)
-        stats = df.groupBy(*self.keys).agg(
-            F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(F.lit(1)).alias("n"))
-        count = F.least(F.greatest(F.ceil(F.col("n") * BUCKETS_PER_BLOCK / rows), F.lit(1)),
-                        F.lit(MAX_BUCKETS)).cast("long")
-        stats = stats.select(*self.keys, "n", "__lo", count.alias("__count"),
-                             ((F.col("__hi") - F.col("__lo")) / count).alias("__width"))
-        bucket = F.coalesce(
-            F.when(F.col("__width") > 0,
-                   F.least(F.col("__count") - 1, F.floor((value - F.col("__lo")) / F.col("__width")))),
-            F.when(value.isNull(), F.col("__count") - 1), F.lit(0)).cast("long")
-        tagged = self.attach(df, stats).withColumn("__bucket", bucket).drop("__lo", "__count", "__width")
+        """Cut the order range of each series into buckets: the rows with ``n`` and ``__bucket``,
+        and per bucket the positions [__start, __end) of its rows.
+
+        Two rounds of equal-width cuts: the second one cuts each coarse bucket over its own
+        range by its own count, so bursts of rows and stray time stamps do not make a bucket
+        large."""
+        rows, v = self.spec.block_rows, F.col("__order")
+        pieces = lambda c, most: F.least(F.greatest(F.ceil(c * BUCKETS_PER_BLOCK / rows), F.lit(1)), F.lit(most)).cast("long")
+        place = lambda lo, hi, count: F.coalesce(
+            F.when(hi > lo, F.least(count - 1, F.floor((v - lo) / ((hi - lo) / count)))),
+            F.when(v.isNull(), count - 1), F.lit(0)).cast("long")
+        df = df.withColumn("__order", numeric_order(df, order))
+        stats = df.groupBy(*self.keys).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"), F.count(F.lit(1)).alias("n"))
+        coarse = self.attach(df, stats.withColumn("__count", pieces(F.col("n"), COARSE_BUCKETS)))
+        coarse = coarse.withColumn("__coarse", place(F.col("__lo"), F.col("__hi"), F.col("__count"))).drop("__lo", "__hi", "__count")
+        spread = coarse.groupBy(*self.keys, "__coarse").agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"), F.count(F.lit(1)).alias("__c"))
+        spread = spread.withColumn("__count", pieces(F.col("__c"), MAX_BUCKETS)).drop("__c")
+        if self.n_series * min(COARSE_BUCKETS, self.longest * BUCKETS_PER_BLOCK // rows + 1) <= BROADCAST_ROWS:
+            spread = F.broadcast(spread)
+        tagged = key_join(coarse, spread, [*self.keys, "__coarse"])
+        fine = F.col("__coarse") * MAX_BUCKETS + place(F.col("__lo"), F.col("__hi"), F.col("__count"))
+        tagged = tagged.withColumn("__bucket", fine).drop("__order", "__coarse", "__lo", "__hi", "__count")
         hist = tagged.groupBy(*self.keys, "__bucket").agg(F.count(F.lit(1)).alias("__c"), F.min("n").alias("n"))
         along = Window.partitionBy(*self.keys).orderBy("__bucket")
         hist = hist.withColumn("__end", F.sum("__c").over(along)).withColumn("__start", F.col("__end") - F.col("__c"))
@@ -171,7 +179,7 @@ class Panel:
         first = Window.partitionBy(*self.keys, "__block")
         plan = plan.select(*by, "__block", (F.col("__block") == F.col("__own")).alias("__core"),
                            F.min("__start").over(first).alias("__base"))
-        bound = self.n_series + self.n_series * min(MAX_BUCKETS, self.longest * BUCKETS_PER_BLOCK // rows + 1) * 3
+        bound = self.n_series * (COARSE_BUCKETS + 2 * (self.longest * BUCKETS_PER_BLOCK // rows + 1)) * 3
         if bound <= BROADCAST_ROWS:
             plan = F.broadcast(plan)
         out = key_join(tagged, plan, by).drop("__bucket")

@@ -70,6 +70,18 @@ def test_no_block_is_much_larger_than_asked(pair):
     assert sizes <= 90 + 90 // 4 + 90 // 4 + 10
 
 
+def test_bursts_and_stray_times_are_cut_too(spark):
+    from chronopanel import Panel, SeriesSpec
+    # one stray row decades before, and all the rest within seconds
+    df = spark.sql("SELECT 'a' AS k, if(id = 0, timestamp'1970-01-01 00:00:00', timestamp'2024-01-01 00:00:00' + id * INTERVAL 1 SECOND) AS ts, double(id) AS y FROM range(2000)")
+    p = Panel(df, SeriesSpec(keys=("k",), block_rows=100))
+    rows, _ = p.blocked(before=5)
+    assert rows.groupBy("__block").count().agg(F.max("count")).first()[0] <= 150
+    d = p.over(lambda w: {"a": F.lag("y", 5).over(w)}, before=5)
+    assert d.where("idx != y OR (idx >= 5 AND a != y - 5)").count() == 0 and d.count() == 2000
+    assert sorted(r["idx"] for r in p.tail(7).collect()) == list(range(1993, 2000))
+
+
 def test_panel_without_keys(spark, pair):
     from chronopanel import Panel, SeriesSpec
     df = pair[0].df.where("k = 'hot'").select("ts", "y")
