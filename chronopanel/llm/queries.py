@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import host_quality, sharding, url_filter
+from . import host_quality, sharding, substring_dedup, url_filter
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     rows = documents(spark, sf).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     out = sharding.shuffle_into_shards(rows, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Words in 35-word windows that occur twice anywhere, removed."""
+    return substring_dedup.remove_repeats(documents(spark, sf).select("doc_id", "text"), with_text=False).select("doc_id", "dedup.n_words", "dedup.n_removed", "dedup.kept_sha256")
