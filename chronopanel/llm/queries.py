@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import host_quality, sharding, substring_dedup, url_filter
+from . import host_quality, sharding, substring_dedup, suffix_dedup, url_filter
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Words in 35-word windows that occur twice anywhere, removed."""
     return substring_dedup.remove_repeats(documents(spark, sf).select("doc_id", "text"), with_text=False).select("doc_id", "dedup.n_words", "dedup.n_removed", "dedup.kept_sha256")
+
+
+@query("op5_suffix_array_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes in 100-byte strings that also start earlier, removed."""
+    out = suffix_dedup.remove_earlier(documents(spark, sf).select("doc_id", "text"), with_bytes=False)
+    return out.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans", "dedup.kept_sha256")
