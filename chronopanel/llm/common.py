@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: pattern of a word, for SQL functions
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +22,14 @@ CHUNK_BYTES = 8_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_KINDS = {"long": T.LongType(), "string": T.StringType(), "binary": T.BinaryType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def fields(ddl: str) -> T.StructType:
+    """``a long, b string`` as a type; unlike Spark's parser it needs no session, so modules can use it."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (f.split() for f in ddl.split(", "))])
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import names
+from .common import fields, names
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = "#*$%&|<>"
@@ -56,7 +56,7 @@ def measure_text(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), repeated, repeated_words(words)
 
 
-@F.pandas_udf(MEASURES)
+@F.pandas_udf(fields(MEASURES))
 def _measures(text: pd.Series) -> pd.DataFrame:
     rows = [measure_text(t) for t in text]
     return pd.DataFrame(np.array(rows, np.int64).reshape(-1, 5), columns=[c.split()[0] for c in MEASURES.split(", ")])

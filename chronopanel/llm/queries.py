@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import host_quality, sharding, substring_dedup, suffix_dedup, url_filter
+from . import byte_bpe, host_quality, packing, sharding, substring_dedup, suffix_dedup, url_filter
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,22 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes in 100-byte strings that also start earlier, removed."""
     out = suffix_dedup.remove_earlier(documents(spark, sf).select("doc_id", "text"), with_bytes=False)
     return out.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans", "dedup.kept_sha256")
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document, and the bytes they decode to."""
+    return byte_bpe.round_trip(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's tokens in sequences of 2048."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    return packed_documents(docs)
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pieces.select("doc_id", "text_hash", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(pieces, docs.count()).drop("text_hash")

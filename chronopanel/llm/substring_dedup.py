@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import names, ragged
+from .common import fields, names, ragged
 from .superwindows import Pieces, by_value, identified, mixed, powers, repeated_spans, word_symbols
 
 WINDOW = 35
@@ -94,7 +94,7 @@ def covered(n: int, spans) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-@F.pandas_udf("n_words long, n_removed long, kept string, kept_sha256 string")
+@F.pandas_udf(fields("n_words long, n_removed long, kept string, kept_sha256 string"))
 def _cut(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, spans, wanted in rows:
         out = []

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import names, ragged
+from .common import fields, names, ragged
 from .substring_dedup import covered
 from .superwindows import Pieces, by_value, byte_symbols, identified, repeated_spans
 
@@ -153,7 +153,7 @@ def settle_bytes(width: int):
     return settle
 
 
-@F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+@F.pandas_udf(fields("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"))
 def _cut(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, spans, wanted in rows:
         out = []
