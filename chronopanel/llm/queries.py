@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, host_quality, packing, sharding, substring_dedup, suffix_dedup, url_filter
+from . import byte_bpe, host_quality, packing, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,9 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     pieces = pieces.select("doc_id", "text_hash", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(pieces, docs.count()).drop("text_hash")
+
+
+@query("op3_simhash")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(documents(spark, sf))
