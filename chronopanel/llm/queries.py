@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, host_quality, packing, sharding, simhash, substring_dedup, suffix_dedup, url_filter
+from . import byte_bpe, host_quality, language_id, packing, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,11 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(documents(spark, sf))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = documents(spark, sf).select("doc_id", "text", "lang")
+    out = docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), language_id.identify(docs).alias("p"))
+    return out.select("doc_id", "held_out", "p.*")
