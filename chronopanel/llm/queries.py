@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, host_quality, language_id, packing, sharding, simhash, substring_dedup, suffix_dedup, url_filter
+from . import byte_bpe, fingerprint, host_quality, language_id, packing, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,9 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", "text", "lang")
     out = docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), language_id.identify(docs).alias("p"))
     return out.select("doc_id", "held_out", "p.*")
+
+
+@query("op8_fingerprint")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return fingerprint.compare_edits(documents(spark, sf))
