@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.panel import Panel
-from ..shared import stage
+from ..shared import on_release, stage
 from ..spec import SeriesSpec
 
 #: added before rounding on both sides: averages of two-decimal values often end exactly on a
@@ -19,6 +19,7 @@ NUDGE = 3.1e-9
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 _staged: dict[tuple, Panel] = {}
+on_release.append(_staged.clear)
 
 
 def query(name: str, sql: str | None = None):
@@ -51,8 +52,15 @@ def r(*names: str, digits: int = 6) -> str:
     return ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in names)
 
 
+def _version(spark: SparkSession, sf: str) -> tuple:
+    """The files of the tables with their size and time: new data under an old path are new tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime())
+                        for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)))
+
+
 def _once(spark: SparkSession, sf: str, name: str, build: Callable[[], Panel]) -> Panel:
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, _version(spark, sf), name)
     if key not in _staged:
         _staged[key] = build().staged(name)
     return _staged[key]
@@ -60,7 +68,7 @@ def _once(spark: SparkSession, sf: str, name: str, build: Callable[[], Panel]) -
 
 def kept(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """An intermediate table several queries share, written once per session."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, _version(spark, sf), name)
     if key not in _staged:
         _staged[key] = stage(build(), name)
     return _staged[key]

@@ -64,9 +64,10 @@ def _near_weight(dist: np.ndarray, reach) -> np.ndarray:
     return np.where(dist <= 0.001 * reach, 1.0, np.where(dist <= 0.999 * reach, (1 - (dist / reach) ** 3) ** 3, 0.0))
 
 
-def _loess(rows: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+def _loess(rows: np.ndarray, span: int, at: np.ndarray, whole, weights: np.ndarray | None = None) -> np.ndarray:
     """Local linear smoothing of equally spaced rows (m x k) at consecutive positions ``at``; the
-    row value itself where all weights vanish.
+    row value itself where all weights vanish.  ``whole``: values in the series each row is a part
+    of (one number, or one per row); a slope needs a spread in proportion to it.
 
     Where the window is centred its weights do not depend on the position, so the weighted sums
     are convolutions; only the positions near the ends are fitted one by one."""
@@ -74,7 +75,8 @@ def _loess(rows: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray | No
     half = (span - 1) // 2
     lo, hi = max(half, at[0]), min(k - half, at[-1] + 1)  # centred positions
     if span > k or hi <= lo:
-        return _loess_each(rows, span, at, weights)
+        return _loess_each(rows, span, at, whole, weights)
+    least = 0.001 * (np.broadcast_to(np.asarray(whole, float), (m,)) - 1)
     d = np.arange(-half, half + 1, dtype=float)
     kernel = _near_weight(np.abs(d), float(half))
     out = np.empty((m, len(at)))
@@ -87,18 +89,19 @@ def _loess(rows: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray | No
         safe = np.where(ok, s0, 1.0)
         centre = s1 / safe
         var = np.maximum(s2 / safe - centre ** 2, 0.0)
-        slope_ok = np.sqrt(var) > 0.001 * (k - 1)
+        slope_ok = np.sqrt(var) > least[i]
         tilt = np.where(slope_ok, -centre / np.where(slope_ok, var, 1.0), 0.0)
         fit = (t0 + tilt * (t1 - centre * t0)) / safe
         out[i, lo - at[0]:hi - at[0]] = np.where(ok, fit, rows[i, lo:hi])
     for edge in (np.arange(0, lo - at[0]), np.arange(hi - at[0], len(at))):
         if len(edge):
-            out[:, edge] = _loess_each(rows, span, at[edge], weights)
+            out[:, edge] = _loess_each(rows, span, at[edge], whole, weights)
     return out
 
 
-def _loess_each(rows: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+def _loess_each(rows: np.ndarray, span: int, at: np.ndarray, whole, weights: np.ndarray | None = None) -> np.ndarray:
     m, k = rows.shape
+    least = 0.001 * (np.broadcast_to(np.asarray(whole, float), (m,)) - 1)[:, None, None]
     size = min(span, k)
     out = np.empty((m, len(at)))
     chunk = max(1, 4_000_000 // max(1, m * size))
@@ -119,7 +122,7 @@ def _loess_each(rows: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray
         centre = (w * near).sum(axis=2, keepdims=True)
         off = near[None] - centre
         var = (w * off ** 2).sum(axis=2, keepdims=True)
-        slope_ok = np.sqrt(var) > 0.001 * (k - 1)
+        slope_ok = np.sqrt(var) > least
         tilt = np.where(slope_ok, (x[None, :, None] - centre) / np.where(slope_ok, var, 1.0), 0.0)
         fit = (w * (1 + tilt * off) * rows[:, near]).sum(axis=2)
         out[:, start:start + chunk] = np.where(ok, fit, rows[:, np.clip(x, 0, k - 1)])
@@ -131,9 +134,11 @@ def _moving_mean(x: np.ndarray, length: int) -> np.ndarray:
     return (c[length:] - c[:-length]) / length
 
 
-def stl_pass(y: np.ndarray, trend: np.ndarray, weights: np.ndarray | None, period: int):
-    """The inner loop: returns the new (trend, seasonal)."""
+def stl_pass(y: np.ndarray, trend: np.ndarray, weights: np.ndarray | None, period: int, start: int = 0, whole: int | None = None):
+    """The inner loop: returns the new (trend, seasonal).  ``y`` may be the part of a series of
+    ``whole`` rows that begins at ``start``."""
     n = len(y)
+    whole = n if whole is None else whole
     everywhere = np.arange(n)
     seasonal = np.zeros(n)
     for _ in range(INNER_PASSES):
@@ -144,12 +149,13 @@ def stl_pass(y: np.ndarray, trend: np.ndarray, weights: np.ndarray | None, perio
             k = (n - members[0] - 1) // period + 1
             where = members[:, None] + period * np.arange(k)
             w = None if weights is None else weights[where]
-            smooth = _loess(y[where] - trend[where], SEASONAL_SPAN, np.arange(-1, k + 1), w)
+            cycles = (whole - (start + members) % period - 1) // period + 1
+            smooth = _loess(y[where] - trend[where], SEASONAL_SPAN, np.arange(-1, k + 1), cycles, w)
             cycle[members[:, None] + period * np.arange(k + 2)] = smooth
         low = _moving_mean(_moving_mean(_moving_mean(cycle, period), period), 3)
-        low = _loess(low[None], lowpass_span(period), everywhere)[0]
+        low = _loess(low[None], lowpass_span(period), everywhere, whole)[0]
         seasonal = cycle[period:period + n] - low
-        trend = _loess((y - seasonal)[None], trend_span(period), everywhere, None if weights is None else weights[None])[0]
+        trend = _loess((y - seasonal)[None], trend_span(period), everywhere, whole, None if weights is None else weights[None])[0]
     return trend, seasonal
 
 
@@ -174,7 +180,8 @@ def stl_series(y: np.ndarray, period: int, robust_passes: int = ROBUST_PASSES):
 # ---- STL on a panel ------------------------------------------------------------------------
 
 def stl(p: Panel, period: int, robust_passes: int = ROBUST_PASSES) -> DataFrame:
-    """Adds idx, n, trend, seasonal, resid (null for series shorter than two periods).
+    """Adds idx, n, trend, seasonal, resid (null for series shorter than two periods and for series
+    with a missing value).
 
     Series that fit one block are decomposed in one pass per series.  Longer ones are cut into
     blocks with enough border rows for one inner loop; only the residual scale of the
@@ -210,11 +217,12 @@ def block_reach(period: int) -> int:
 
 def _stl_blocks(p: Panel, period: int, robust_passes: int) -> DataFrame:
     ready = stage(p.indexed(), "stl-rows")
+    y = p.y.cast("double")
+    whole = ready.groupBy(*p.keys).agg(F.when(F.every(y.isNotNull() & ~F.isnan(y)), F.max("n")).otherwise(F.lit(0)).alias("__len"))
     reach = block_reach(period)
     schema = T.StructType([*[ready.schema[k] for k in p.keys], T.StructField("pos", T.LongType()), T.StructField("__len", T.LongType()),
                            *[T.StructField(c, T.DoubleType()) for c in ("__y", "trend", "seasonal", "resid")]])
-    state = ready.select(*p.keys, F.col("idx").alias("pos"), F.col("n").alias("__len"), p.y.cast("double").alias("__y"),
-                         F.lit(0.0).alias("trend"), F.lit(1.0).alias("__w"))
+    state = p.attach(ready, whole).select(*p.keys, F.col("idx").alias("pos"), "__len", y.alias("__y"), F.lit(0.0).alias("trend"), F.lit(1.0).alias("__w"))
     keys = p.keys
 
     def run(table: pa.Table) -> pa.Table:
@@ -224,7 +232,8 @@ def _stl_blocks(p: Panel, period: int, robust_passes: int) -> DataFrame:
         if table["__len"][0].as_py() < 2 * period:
             trend = seasonal = np.full(len(y), np.nan)
         else:
-            trend, seasonal = stl_pass(y, table["trend"].to_numpy(zero_copy_only=False), table["__w"].to_numpy(zero_copy_only=False), period)
+            trend, seasonal = stl_pass(y, table["trend"].to_numpy(zero_copy_only=False), table["__w"].to_numpy(zero_copy_only=False), period,
+                                       table["pos"][0].as_py(), table["__len"][0].as_py())
         out = table.select([*keys, "pos", "__len", "__y"])
         for name, col in (("trend", trend), ("seasonal", seasonal), ("resid", y - trend - seasonal)):
             out = out.append_column(name, pa.array(col, from_pandas=True))

@@ -112,7 +112,7 @@ def describe_models(models: DataFrame, model: str = "model", last_value: str = "
 
 def train_part(p: Panel, fraction: float = 0.8) -> Panel:
     rows = split(p, fraction).where("is_train").drop("idx", "n", "is_train")
-    return p.fresh(rows)
+    return p.derive(rows)
 
 
 def explain_series(p: Panel, period: int = 24, method: str = "stl") -> dict[str, DataFrame]:

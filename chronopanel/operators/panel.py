@@ -67,7 +67,7 @@ class Panel:
         return F.col(self.spec.target)
 
     def derive(self, df: DataFrame, **changes) -> "Panel":
-        """Same rows per series, other columns: keeps the measured sizes."""
+        """Other columns, and the same rows or fewer: keeps the measured sizes, which stay upper bounds."""
         spec = SeriesSpec(**{**self.spec.__dict__, **changes})
         keep = self._sizes if spec.keys == self.spec.keys else None
         return Panel(df, spec, keep)

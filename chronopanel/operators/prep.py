@@ -40,7 +40,8 @@ def _literal(kind: T.DataType, value):
 
 
 def predicate(df: DataFrame, column: str, op: str, value) -> Column | None:
-    """One filter as a Column; None where the column or the operator is unknown (skipped)."""
+    """One filter as a Column; None where the column or the operator is unknown (skipped). A value that
+    cannot be compared with the column raises."""
     if column not in df.columns:
         return None
     kind, c = df.schema[column].dataType, F.col(column)
@@ -51,11 +52,11 @@ def predicate(df: DataFrame, column: str, op: str, value) -> Column | None:
     if op in ("in", "between"):
         lits = [_literal(kind, v) for v in value]
         if any(v is None for v in lits):
-            return None
+            raise ValueError(f"{value!r} does not fit column {column} ({kind.simpleString()})")
         return c.isin(*lits) if op == "in" else c.between(*lits)
     lit = _literal(kind, value)
     if lit is None:
-        return None
+        raise ValueError(f"{value!r} does not fit column {column} ({kind.simpleString()})")
     return {"<": c < lit, "<=": c <= lit, ">": c > lit, ">=": c >= lit}.get(op)
 
 
@@ -94,11 +95,11 @@ def trim_leading(p: Panel) -> Panel:
     place = F.struct(p.spec.time, *p.spec.tie)
     first = p.aggregate(F.min(F.when(present(p.y) & (p.y != 0), place)).alias("__first"))
     out = p.attach(p.df, first).where(F.col("__first").isNull() | (place >= F.col("__first")))
-    return p.fresh(out.drop("__first"))
+    return p.derive(out.drop("__first"))
 
 
 def drop_missing_target(p: Panel) -> Panel:
-    return p.fresh(p.df.where(present(p.y)))
+    return p.derive(p.df.where(present(p.y)))
 
 
 def complete_cases(p: Panel) -> Panel:
@@ -106,7 +107,7 @@ def complete_cases(p: Panel) -> Panel:
     df = p.df
     for c in (p.spec.target, *p.spec.features):
         df = df.where(present(F.col(c)))
-    return p.fresh(df)
+    return p.derive(df)
 
 
 def split(p: Panel, fraction: float = 0.8, df: DataFrame | None = None) -> DataFrame:

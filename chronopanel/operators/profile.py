@@ -40,16 +40,15 @@ def column_info(p: Panel, samples: int = 3, approx: bool = False) -> DataFrame:
     return stats.join(reduce(DataFrame.unionByName, heads), "column", "left")
 
 
-def column_roles(df: DataFrame, peek: int = 5) -> dict[str, list[str]]:
-    """Datetime / numeric / categorical by type; a text column whose first rows all parse as
-    dates counts as datetime (reads ``peek`` rows)."""
+def column_roles(df: DataFrame) -> dict[str, list[str]]:
+    """Datetime / numeric / categorical by type; a text column counts as datetime if it has a value
+    and all its values parse as dates (one aggregate over all rows)."""
     roles: dict[str, list[str]] = {"datetime": [], "numeric": [], "categorical": []}
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     parsed = {}
     if text:
-        seen = df.select(*text).limit(peek)
-        row = seen.agg(*[F.coalesce(F.every(F.try_to_timestamp(F.col(c)).isNotNull() | F.col(c).isNull()), F.lit(False)).alias(c)
-                         for c in text]).first()
+        dated = lambda c: F.when(F.col(c).isNotNull(), F.try_to_timestamp(F.col(c)).isNotNull())
+        row = df.agg(*[F.coalesce(F.every(dated(c)), F.lit(False)).alias(c) for c in text]).first()
         parsed = row.asDict()
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) or parsed.get(f.name):
@@ -131,7 +130,7 @@ def step_alias(step: Column) -> Column:
 
 def trend(p: Panel) -> DataFrame:
     """OLS slope on the position; a trend if |slope| > 0.01 std (ddof 0)."""
-    clean = p.fresh(p.df.where(present(p.y)).select(*p.keys, p.spec.time, *p.spec.tie, p.spec.target))
+    clean = p.derive(p.df.where(present(p.y)).select(*p.keys, p.spec.time, *p.spec.tie, p.spec.target))
     ix = clean.indexed()
     got = ix.groupBy(*p.keys).agg(F.regr_slope(p.y, F.col("idx").cast("double")).alias("slope"), F.stddev_pop(p.y).alias("std"))
     return got.select(*p.keys, "slope", F.coalesce(F.abs("slope") > 0.01 * F.col("std"), F.lit(False)).alias("has_trend"))

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,8 +19,8 @@ BROADCAST_CELLS = 1_000_000
 def key_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Join on ``keys`` treating null keys as equal; the right key columns are dropped."""
     keys = list(keys)
-    if not keys:
-        return left.crossJoin(right)
+    if not keys:  # one row on the right, or none: an outer join must keep the left rows
+        return left.join(F.broadcast(right), F.lit(True), how)
     names = {k: f"__r_{i}" for i, k in enumerate(keys)}
     right = right.select(*[F.col(k).alias(names[k]) if k in names else F.col(k) for k in right.columns])
     cond = None
@@ -31,9 +32,11 @@ def key_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> Dat
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; a fresh temporary
-    folder only where that is unset (tests on one machine)."""
+    folder only where that is unset and the session runs on this machine alone."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(scratch_dir, "_local", None)
         if path is None:
             path = scratch_dir._local = tempfile.mkdtemp(prefix="chronopanel-")
@@ -41,10 +44,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{path.rstrip('/')}/chronopanel-{spark.sparkContext.applicationId}"
 
 
+#: called when staged files are deleted
+on_release: list[Callable[[], None]] = []
+
+
 def release(spark: SparkSession) -> None:
-    """Delete everything this application has staged; call it when its results are written."""
+    """Delete everything this application has staged; call it when its results are written. Panels that
+    the session still holds by name are forgotten too, so that they are built anew when asked for."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    for forget in on_release:
+        forget()
 
 
 def stage_all(parts: list[DataFrame], name: str = "stage", at_once: int = 4) -> list[DataFrame]:
