@@ -226,7 +226,7 @@ def _(spark, sf):
 @query("v5_v6_boosted_multivariate")
 def _(spark, sf):
     p = shipped(spark, sf)
-    got = registry.train_and_forecast(p, "LightGBM", H, params=[{"n_estimators": 3, "num_leaves": 8}], n_folds=2)
+    got = registry.train_and_forecast(p, "Boosted", H, params=[{"n_estimators": 3, "num_leaves": 8}], n_folds=2)
     return rounded(p.attach(got["forecasts"], got["scores"].drop("model")))
 
 
@@ -364,7 +364,7 @@ def _(spark, sf):
 
 # ---- stacking ------------------------------------------------------------------------------
 
-_STACK = {"N-BEATS": {"n_lags": 6, "hidden_size": 8, "epochs": 2}, "LightGBM_uni": {"n_lags": 6, "n_estimators": 2, "num_leaves": 4},
+_STACK = {"Network": {"n_lags": 6, "hidden_size": 8, "epochs": 2}, "Boosted_uni": {"n_lags": 6, "n_estimators": 2, "num_leaves": 4},
           "RF_combined": {"n_lags": 6, "n_estimators": 3, "max_depth": 3}}
 
 
@@ -434,8 +434,8 @@ def _(spark, sf):
     return rounded(explain.reconcile(importance, shares, corr, ["l_returnflag"]))
 
 
-@query("e7_model_lines", f"""WITH {IX} SELECT event_type, 'Naive' AS model, printf('Used last observed value (%.2f) as forecast.', y) AS explanation FROM ix WHERE idx = n - 1
-  UNION ALL SELECT DISTINCT event_type, 'SeasonalNaive', 'Used values from same time 1 day(s) ago.' FROM ix UNION ALL SELECT DISTINCT event_type, 'ETS', 'Used ETS model.' FROM ix""")
+@query("e7_model_lines", f"""WITH {IX} SELECT event_type, 'Naive' AS model, printf('Repeats the latest value, %.2f.', y) AS explanation FROM ix WHERE idx = n - 1
+  UNION ALL SELECT DISTINCT event_type, 'SeasonalNaive', 'Repeats the values of 1 day(s) before.' FROM ix UNION ALL SELECT DISTINCT event_type, 'ETS', 'Forecast of the model ETS.' FROM ix""")
 def _(spark, sf):
     last = naive.naive(hourly(spark, sf), 1).select("event_type", F.col("yhat").alias("last_value"), F.lit(24).alias("seasonal_period"))
     models = last.withColumn("model", F.explode(F.array(*[F.lit(m) for m in ("Naive", "SeasonalNaive", "ETS")])))

@@ -101,12 +101,12 @@ def describe_models(models: DataFrame, model: str = "model", last_value: str = "
     """One line per model about how it forecasts."""
     m = F.col(model)
     days = F.floor(F.col(period) / 24).cast("long")
-    text = (F.when(m == "Naive", F.format_string("Used last observed value (%.2f) as forecast.", F.coalesce(F.col(last_value), F.lit(0.0))))
-            .when(m == "SeasonalNaive", F.format_string("Used values from same time %d day(s) ago.", F.coalesce(days, F.lit(1))))
-            .when(m == "ARIMA", "Used autoregressive integrated moving average model fitting historical patterns.")
-            .when(m == "LightGBM", "Used gradient boosting on lag features.")
-            .when(m == "RandomForest", "Used ensemble of decision trees on lag features.")
-            .otherwise(F.format_string("Used %s model.", m)))
+    text = (F.when(m == "Naive", F.format_string("Repeats the latest value, %.2f.", F.coalesce(F.col(last_value), F.lit(0.0))))
+            .when(m == "SeasonalNaive", F.format_string("Repeats the values of %d day(s) before.", F.coalesce(days, F.lit(1))))
+            .when(m == "ARIMA", "Linear in past values and past errors (ARIMA).")
+            .when(m == "Boosted", "Boosted trees over lagged values.")
+            .when(m == "RandomForest", "Average of many trees over lagged values.")
+            .otherwise(F.format_string("Forecast of the model %s.", m)))
     return models.withColumn("explanation", text)
 
 

@@ -52,21 +52,42 @@ def grow(x: np.ndarray, rng: np.random.Generator, limit: int):
     return feature, threshold, left, right, depth
 
 
+def draw_chances(n: int, sample: int, n_trees: int) -> list[float]:
+    """P(a row is in at most k of the pools), k = 0 .. n_trees - 1, if each pool takes it independently with
+    the chance that makes pools of about twice the sample."""
+    q = min(1.0, 2.0 * sample / max(n, 1))
+    if n <= sample or q >= 1:
+        return [0.0] * n_trees
+    lg, out, total = math.lgamma, [], 0.0
+    for k in range(n_trees):
+        total += math.exp(lg(n_trees + 1) - lg(k + 1) - lg(n_trees - k + 1) + k * math.log(q) + (n_trees - k) * math.log1p(-q))
+        out.append(total)
+    return out
+
+
 def fit_forest(p: Panel, columns, n_trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """One row per (series, tree) with the node arrays.
 
-    Every tree draws about twice its sample by row hash and keeps ``sample`` rows of it.  A long
-    series sends a row to at most one tree; a short one may send it to several."""
-    pool = 2 * sample * n_trees
+    Every tree draws about twice its sample by hash and keeps ``sample`` rows of it.  In how many trees a
+    row is, one hash says (inverse binomial, the same rule at every length); in which, a second one.  The
+    hash covers the row's place in the table, so equal rows are drawn like any others."""
     size = p.aggregate(F.count(F.lit(1)).alias("__n"))
-    rows = p.attach(p.df.select(*p.keys, p.spec.time, *p.spec.tie, *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)]), size)
-    h = F.xxhash64(p.spec.time, *p.spec.tie, *[f"__x{i}" for i in range(len(columns))])
-    unit = lambda c: F.pmod(c, F.lit(1 << 30)) / float(1 << 30)
-    one = F.when(unit(h) < pool / F.col("__n"), F.array(F.pmod(F.xxhash64(h, F.lit(7)), F.lit(n_trees)).cast("int")))
-    many = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                    lambda t: (F.col("__n") <= sample) | (unit(F.xxhash64(h, t)) < 2.0 * sample / F.col("__n")))
-    drawn = rows.select(*p.keys, *[f"__x{i}" for i in range(len(columns))], "__n", h.alias("__h"),
-                        F.explode(F.when(F.col("__n") >= pool, one).otherwise(many)).alias("tree"))
+    chances = T.StructType([*size.schema.fields, T.StructField("__chances", T.ArrayType(T.DoubleType()))])
+
+    def spread(batches):
+        for b in batches:
+            yield b.assign(__chances=[draw_chances(int(n), sample, n_trees) for n in b["__n"]])
+
+    xs = [f"__x{i}" for i in range(len(columns))]
+    rows = p.df.select(*p.keys, p.spec.time, *p.spec.tie, *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs)])
+    rows = rows.withColumn("__h", F.xxhash64(F.monotonically_increasing_id(), p.spec.time, *p.spec.tie, *xs))
+    rows = p.attach(rows, size.mapInPandas(spread, chances), cells=n_trees + 1)
+    unit = F.pmod(F.xxhash64("__h", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    times = F.size(F.filter("__chances", lambda c: c <= F.col("__u")))
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(F.xxhash64("__h", t).alias("r"), t.alias("t"))))
+    which = F.transform(F.slice(ranked, 1, F.col("__times")), lambda r: r["t"])
+    rows = rows.withColumn("__u", unit).where(F.col("__u") >= F.col("__chances")[0]).withColumn("__times", times)
+    drawn = rows.select(*p.keys, *xs, "__n", "__h", F.explode(which).alias("tree"))
     ints, reals = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
     schema = T.StructType([*[drawn.schema[k] for k in p.keys], T.StructField("tree", T.IntegerType()), T.StructField("psi", T.IntegerType()),
                            T.StructField("feature", ints), T.StructField("threshold", reals), T.StructField("left", ints),
@@ -103,6 +124,8 @@ def isolation_forest(p: Panel, df: DataFrame, contamination: float = CONTAMINATI
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         x = np.column_stack([left[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in cols])
+        if not right.num_rows:  # a series without a tree
+            return left.select(names).append_column("score_iforest", pa.array(np.full(len(x), 0.5)))
         trees = right.sort_by("tree").to_pydict()
         depth = np.zeros(len(x))
         for f, thr, lo, hi, d in zip(*(trees[k] for k in ("feature", "threshold", "left", "right", "depth"))):

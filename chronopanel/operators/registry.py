@@ -55,15 +55,15 @@ MODELS: dict[str, Forecaster] = {m.name: m for m in (
                series=_naive.seasonal_naive, context=30),
     Forecaster("ARIMA", "statistical", series=_arima.arima),
     Forecaster("ETS", "statistical", {"trend": "add", "seasonal": "add", "seasonal_periods": 12},
-               {"trend": ["add", "mul", "none"], "seasonal": ["add", "mul", "none"]}, series=_smoothing.ets, context=_smoothing.CONTEXT),
+               {"trend": ["add", "mul", "none"], "seasonal": ["add", "mul", "none"]}, series=_smoothing.ets),
     Forecaster("RandomForest", "tree", {"n_estimators": 100, "max_depth": 10, "n_lags": 12},
                {"n_estimators": [50, 100, 200], "max_depth": [5, 10, 15], "n_lags": [6, 12, 24]}, pooled=_lag_trees("forest"),
                features=lambda p, **q: _trees.fit_feature_trees(p, "forest", **{k: v for k, v in q.items() if k != "n_lags"})),
-    Forecaster("LightGBM", "tree", {"num_leaves": 31, "learning_rate": 0.1, "n_estimators": 100, "n_lags": 12},
+    Forecaster("Boosted", "tree", {"num_leaves": 31, "learning_rate": 0.1, "n_estimators": 100, "n_lags": 12},
                {"num_leaves": [15, 31, 63], "learning_rate": [0.01, 0.1, 0.3], "n_estimators": [50, 100, 200], "n_lags": [6, 12, 24]},
                pooled=_lag_trees("boosted"),
                features=lambda p, **q: _trees.fit_feature_trees(p, "boosted", **{k: v for k, v in q.items() if k != "n_lags"})),
-    Forecaster("N-BEATS", "neural", {"n_lags": 24, "hidden_size": 64, "epochs": 50, "learning_rate": 0.001},
+    Forecaster("Network", "neural", {"n_lags": 24, "hidden_size": 64, "epochs": 50, "learning_rate": 0.001},
                {"n_lags": [12, 24, 48], "hidden_size": [32, 64, 128], "epochs": [30, 50, 100]}, pooled=(_network_fit, _mlp.forecast_mlp)),
 )}
 

@@ -15,8 +15,8 @@ from .validation import origin_panel, with_actuals
 
 STACK_FOLDS = 8
 MIN_STACK_TRAIN = 200
-BASE_MODELS = ("N-BEATS", "LightGBM_uni", "RF_combined")
-META_COLUMNS = ("base_nbeats", "base_boosted", "base_forest", "last_value")
+BASE_MODELS = ("Network", "Boosted_uni", "RF_combined")
+META_COLUMNS = ("base_network", "base_boosted", "base_forest", "last_value")
 
 
 def stack_origins(p: Panel, horizon: int, n_folds: int = STACK_FOLDS, least: int | None = None) -> DataFrame:
@@ -32,8 +32,8 @@ def stack_origins(p: Panel, horizon: int, n_folds: int = STACK_FOLDS, least: int
 def base_fits(p: Panel, params: dict | None = None) -> dict:
     """The three base models, each one pooled fit on the panel's rows."""
     q = params or {}
-    return {"N-BEATS": _mlp.fit_mlp(p, **q.get("N-BEATS", {})),
-            "LightGBM_uni": _trees.fit_lag_trees(p, "boosted", **q.get("LightGBM_uni", {})),
+    return {"Network": _mlp.fit_mlp(p, **q.get("Network", {})),
+            "Boosted_uni": _trees.fit_lag_trees(p, "boosted", **q.get("Boosted_uni", {})),
             "RF_combined": _trees.fit_lag_trees(p, "forest", exog=p.spec.features, **q.get("RF_combined", {}))}
 
 
@@ -45,7 +45,7 @@ def base_forecasts(p: Panel, fits: dict, origins: DataFrame, horizon: int, n_ori
     want = origins.select(*p.keys, "origin", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")) \
                   .withColumn("idx", (F.col("origin") + F.col("h") - 1).cast("long"))
     future = key_join(want, ix, [*p.keys, "idx"]).drop("idx")
-    made = {"N-BEATS": _mlp.forecast_mlp(at, fits["N-BEATS"], horizon), "LightGBM_uni": _trees.forecast_lag_trees(at, fits["LightGBM_uni"], horizon),
+    made = {"Network": _mlp.forecast_mlp(at, fits["Network"], horizon), "Boosted_uni": _trees.forecast_lag_trees(at, fits["Boosted_uni"], horizon),
             "RF_combined": _trees.forecast_lag_trees(at, fits["RF_combined"], horizon, future)}
     long = reduce(DataFrame.unionByName, [d.select(*p.keys, "origin", "h", F.lit(m).alias("model"), "yhat") for m, d in made.items()])
     wide = long.groupBy(*p.keys, "origin", "h").pivot("model", list(BASE_MODELS)).agg(F.first("yhat"))
@@ -78,7 +78,7 @@ def _assemble(df: DataFrame) -> DataFrame:
 
 class MetaLearner:
     """V10 ridge (alpha 1) or V11 boosted (4 leaves, rate 0.02, 50 rounds) on the meta-features;
-    with too few samples the mean of the columns."""
+    with too few samples the mean of the columns, marked in ``fallback``."""
 
     def __init__(self, kind: str = "ridge", alpha: float = 1.0):
         self.kind, self.alpha, self.model = kind, alpha, None
@@ -97,14 +97,14 @@ class MetaLearner:
 
     def predict(self, df: DataFrame) -> DataFrame:
         if self.model is None:
-            return df.withColumn("yhat", sum((F.col(c) for c in META_COLUMNS), F.lit(0.0)) / len(META_COLUMNS))
-        return self.model.transform(_assemble(df)).withColumnRenamed("prediction", "yhat").drop("__x")
+            return df.withColumn("yhat", sum((F.col(c) for c in META_COLUMNS), F.lit(0.0)) / len(META_COLUMNS)).withColumn("fallback", F.lit(True))
+        return self.model.transform(_assemble(df)).withColumnRenamed("prediction", "yhat").drop("__x").withColumn("fallback", F.lit(False))
 
 
 def evaluate_stacking(p: Panel, horizon: int, params: dict | None = None, fraction: float = 0.8, n_folds: int = STACK_FOLDS,
                       least: int | None = None, max_windows: int = 50) -> DataFrame:
     """Base models, blends and both meta-learners on the held-out windows:
-    (keys, model, origin, h, y, yhat)."""
+    (keys, model, origin, h, y, yhat, fallback)."""
     from . import blend
     from .explain import train_part
     from .validation import evaluation_origins, score
@@ -127,9 +127,10 @@ def evaluate_stacking(p: Panel, horizon: int, params: dict | None = None, fracti
     blends = {"Ens_InvSMAPE": blend.combine(f, blend.floored_inverse(spread, k2, n=None), k2), "Ens_Best": blend.best_model(f, spread, k2).drop("model"),
               "Ens_Median": blend.median(f, k2), "Ens_TrimMean": blend.trimmed_mean(f, spread, k2)}
     seen = wide.select(*by)
-    parts = [base.select(*p.keys, "model", "origin", "h", "y", "yhat")]
+    made = F.lit(False).alias("fallback")
+    parts = [base.select(*p.keys, "model", "origin", "h", "y", "yhat", made)]
     for name, d in blends.items():
-        parts.append(key_join(seen, d, [*k2, "h"]).select(*p.keys, F.lit(name).alias("model"), "origin", "h", "y", "yhat"))
+        parts.append(key_join(seen, d, [*k2, "h"]).select(*p.keys, F.lit(name).alias("model"), "origin", "h", "y", "yhat", made))
     for name, kind in (("Stack_Ridge", "ridge"), ("Stack_Boosted", "boosted")):
-        parts.append(MetaLearner(kind).fit(meta).predict(wide).select(*p.keys, F.lit(name).alias("model"), "origin", "h", "y", "yhat"))
+        parts.append(MetaLearner(kind).fit(meta).predict(wide).select(*p.keys, F.lit(name).alias("model"), "origin", "h", "y", "yhat", "fallback"))
     return reduce(DataFrame.unionByName, parts)

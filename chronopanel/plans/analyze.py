@@ -58,7 +58,7 @@ def analyze(p: Panel, spec: AnalysisSpec, params: dict | None = None) -> dict:
         out.update(detect(q, spec))
     if spec.task in ("whatif", "target"):
         whole = prep.complete_cases(q)
-        name = next((m for m in spec.models if registry.MODELS[m].multivariate), "LightGBM")
+        name = next((m for m in spec.models if registry.MODELS[m].multivariate), "Boosted")
         chosen = ((params or {}).get(name) or [registry.MODELS[name].defaults])[0]
         model = registry.MODELS[name].features(whole, **chosen)
         if spec.task == "whatif":

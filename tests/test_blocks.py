@@ -51,6 +51,8 @@ CASES = {
     "vote": (lambda p: anomaly.vote(p, FOUR, 2), ["k", "ts"]),
     "seasonal_naive": (lambda p: naive.seasonal_naive(p, 30, 24), ["k", "h"]),
     "ets": (lambda p: smoothing.ets(p, 5, "add", "add", 24), ["k", "h"]),
+    "ets_multiplicative": (lambda p: smoothing.ets(p, 5, "mul", "mul", 24), ["k", "h"]),
+    "ets_fixed": (lambda p: smoothing.ets(p, 5, "add", "add", 12, parameters=(0.3, 0.1, 0.2)), ["k", "h"]),
     "arima": (lambda p: arima.arima(p, 5, 2, 2), ["k", "h"]),
     "folds": (lambda p: validation.cross_validate(p, naive.seasonal_naive, 12, {"seasonal_period": 12}), ["k", "fold"]),
     "folds_context": (lambda p: validation.cross_validate(p, naive.seasonal_naive, 12, {"seasonal_period": 12}, context=12), ["k", "fold"]),

@@ -132,7 +132,8 @@ def test_smoothing_follows_trend_and_season(panel_of):
         want = 50 + 0.5 * f + 10 * np.sin(2 * np.pi * f / 12)
         assert np.abs(got["yhat"] - want).mean() < (6 if trend == "none" else 3) and not got["fallback"].any()
     assert smoothing.ets(p, 2).where("k = 'short' AND fallback").count() == 2
-    sse, _ = smoothing._smooth(y[:40], np.array([[0.3, 0.1, 0.0]]), "add", "none", 1)
+    start = smoothing._begin(y[:2], np.array([[0.3, 0.1, 0.0]]), "add", "none", 1)
+    sse = smoothing._advance([y[:40]], [start], "add", "none", 1)[0]["sse"]
     level, slope, total = y[0], y[1] - y[0], 0.0
     for v in y[:40]:
         fit = level + slope
@@ -249,14 +250,14 @@ def test_search_and_request(panel_of):
     assert best == {"a": 24, "b": 7}
     out = analyze(p, AnalysisSpec(task="both", horizon=6, models=("Naive", "SeasonalNaive"), explain=True, report=True, period=24), {"SeasonalNaive": [{"seasonal_period": 24}]})
     assert out["final"].count() == 12 and out["report"].count() > 0 and out["anomalies"].count() == 400
-    assert len(registry.combinations(p.df.sparkSession, registry.MODELS["LightGBM"].grid)) == 10
+    assert len(registry.combinations(p.df.sparkSession, registry.MODELS["Boosted"].grid)) == 10
 
 
 def test_stacking_has_no_leak(panel_of):
     t = np.arange(120)
     y = np.sin(t / 3.0) * 5 + t * 0.1
     p = panel_of({"a": y}, features={"f": {"a": np.cos(t / 3.0)}})
-    small = {"N-BEATS": {"n_lags": 4, "hidden_size": 4, "epochs": 2}, "LightGBM_uni": {"n_lags": 4, "n_estimators": 2, "num_leaves": 4}, "RF_combined": {"n_lags": 4, "n_estimators": 2, "max_depth": 3}}
+    small = {"Network": {"n_lags": 4, "hidden_size": 4, "epochs": 2}, "Boosted_uni": {"n_lags": 4, "n_estimators": 2, "num_leaves": 4}, "RF_combined": {"n_lags": 4, "n_estimators": 2, "max_depth": 3}}
     m = stacking.meta_features(p, 6, small, n_folds=2, least=60).orderBy("fold").toPandas()
     assert list(m["last_value"]) == [pytest.approx(y[o - 1]) for o in m["origin"]]
     assert list(m["y"]) == [pytest.approx(y[o]) for o in m["origin"]]
@@ -315,3 +316,83 @@ def test_model_round_trip(panel_of, tmp_path):
     again = trees.TreeModel.load(str(tmp_path / "m"))
     a, b = (trees.forecast_lag_trees(p, x, 3).orderBy("h").toPandas() for x in (m, again))
     assert np.allclose(a["yhat"], b["yhat"])
+
+
+def test_smoothing_uses_the_whole_history(panel_of):
+    rng = np.random.default_rng(5)
+    late = 10 + np.sin(np.arange(1000) / 4) + rng.normal(0, 0.1, 1000)
+    early = np.concatenate([rng.normal(0, 1, 2000).cumsum(), rng.normal(0, 1, 2000)])
+    p = panel_of({"a": np.concatenate([early, late]), "b": np.concatenate([np.full(4000, 10.0), late])})
+    got = {k: [r["yhat"] for r in smoothing.ets(p, 3, "add", "none").where(f"k = '{k}'").orderBy("h").collect()] for k in "ab"}
+    assert not np.allclose(got["a"], got["b"], atol=1e-9)
+    short = {k: [r["yhat"] for r in smoothing.ets(p, 3, "add", "none", context=500).where(f"k = '{k}'").orderBy("h").collect()] for k in "ab"}
+    assert np.allclose(short["a"], short["b"])
+
+
+def test_short_series_without_keys_give_fallback_rows(spark):
+    from chronopanel import Panel, SeriesSpec
+    from chronopanel.operators import trees
+    p = Panel(spark.createDataFrame([(1, 5.0), (2, 6.0)], "ts long, y double"), SeriesSpec())
+    assert [r["fallback"] for r in arima.arima(p, 2).collect()] == [True, True]
+    long = Panel(spark.range(60).selectExpr("id AS ts", "double(id % 7) AS y"), SeriesSpec())
+    model = trees.fit_lag_trees(long, "forest", 12, n_estimators=2, max_depth=3)
+    assert [r["fallback"] for r in trees.forecast_lag_trees(p, model, 2).collect()] == [True, True]
+    assert smoothing.ets(p, 2).where("fallback").count() == 2
+
+
+def test_isolation_forest_on_equal_rows(spark):
+    from chronopanel import Panel, SeriesSpec
+    from chronopanel.operators import isolation_forest
+    df = spark.range(3000).selectExpr("if(id < 2990, 'a', 'b') AS k", "1L AS ts", "if(id = 7, 50.0, 2.0) AS y")
+    got = isolation_forest.isolation_forest(Panel(df, SeriesSpec(keys=("k",))), df, n_trees=20).collect()
+    assert len(got) == 3000 and all(0 <= r["score_iforest"] <= 1 for r in got)
+    n = [isolation_forest.draw_chances(n, 256, 100) for n in (10, 256, 1_000, 10_000, 10_000_000)]
+    mean = [100 - sum(c) for c in n]  # expected trees of a row
+    assert mean[:2] == [100, 100] and np.allclose(mean[2:], [51.2, 5.12, 0.00512], rtol=1e-6)
+
+
+def test_roles_come_from_all_rows(spark):
+    df = spark.range(200).selectExpr("if(id < 100, null, 'word') AS late", "if(id < 150, '2024-01-01', 'x') AS mixed", "'2024-02-03' AS day", "cast(null AS string) AS none", "id AS n")
+    roles = profile.column_roles(df)
+    assert roles == {"datetime": ["day"], "numeric": ["n"], "categorical": ["late", "mixed", "none"]}
+
+
+def test_filters_that_cannot_compare_raise(spark):
+    df = spark.createDataFrame([(1, 2.0)], "i int, d double")
+    for f in (("d", ">", "abc"), ("i", "in", [1, "x"]), ("d", "between", ["a", "b"])):
+        with pytest.raises(ValueError):
+            prep.apply_filters(df, [f])
+    assert prep.apply_filters(df, [("none", ">", 1), ("d", "like", 1)]).count() == 1
+
+
+def test_long_stl_blocks_match_the_whole():
+    rng = np.random.default_rng(8)
+    n, period = 12_000, 24
+    y = np.sin(np.arange(n) * 2 * np.pi / period) * 3 + rng.normal(0, 1, n) + 0.001 * np.arange(n)
+    weights = np.where(rng.random(n) < 0.7, 0.0, rng.random(n))
+    weights[5_000:5_400] = 0.0  # most of a window without weight: the slope test decides
+    weights[5_100::97] = 1.0
+    for w in (None, weights):
+        trend, seasonal = decompose.stl_pass(y, np.zeros(n), w, period)
+        reach = decompose.block_reach(period)
+        a, b = 4_997, 7_000
+        part = slice(a - reach, b + reach)
+        t, s = decompose.stl_pass(y[part], np.zeros(b - a + 2 * reach), None if w is None else w[part], period, a - reach, n)
+        assert np.abs(t[reach:-reach] - trend[a:b]).max() < 1e-8 and np.abs(s[reach:-reach] - seasonal[a:b]).max() < 1e-8
+
+
+def test_a_missing_value_voids_stl_on_both_paths(panel_of):
+    y = np.sin(np.arange(400) / 3.0)
+    series = {"a": [None if i == 200 else float(v) for i, v in enumerate(y)], "b": y}
+    for rows in (10_000, 150):
+        d = decompose.stl(panel_of(series, block_rows=rows), 7, 2)
+        assert d.where("k = 'a' AND trend IS NOT NULL").count() == 0 and d.where("k = 'b' AND trend IS NULL").count() == 0
+
+
+def test_staged_panels_are_rebuilt_after_release(spark):
+    import __spark_entry__ as entry
+    from chronopanel.shared import release
+    name, sf = "t1_acf", "/root/testdata/sf0.001"
+    before = entry.queries()[name](spark, sf).count()
+    release(spark)
+    assert entry.queries()[name](spark, sf).count() == before
