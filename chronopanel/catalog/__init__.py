@@ -1,6 +1,6 @@
 """Registered queries and the SQL each is checked against."""
 
-from . import anomalies, forecasts, series  # noqa: F401
+from . import anomalies, forecasts, series, properties  # noqa: F401
 from .data import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

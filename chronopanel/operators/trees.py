@@ -17,7 +17,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForest
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.scalar import present
-from ..shared import key_join, scratch_dir, stage
+from ..shared import key_join, scratch_dir, send, stage
 from .autocorrelation import lag_matrix
 from .naive import naive
 from .panel import Panel
@@ -184,11 +184,12 @@ def forecast_lag_trees(p: Panel, model: TreeModel, horizon: int, future: DataFra
             F.array_sort(F.collect_list(F.struct("h", *[F.col(c).cast("double").alias(c) for c in model.exog]))),
             lambda r: F.array(*[r[c] for c in model.exog])).alias("exog"))
         seeds = p.attach(seeds, listed, cells=horizon * len(model.exog))
-    nodes = seeds.sparkSession.sparkContext.broadcast(model.nodes)
+    nodes = send(seeds.sparkSession, model.nodes)
     n_lags, n_exog, keys = model.n_lags, len(model.exog), p.keys
     schema = T.StructType([*[seeds.schema[k] for k in keys], T.StructField("path", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
+        table = nodes()
         for b in batches:
             b = b[b["values"].map(len) == n_lags]
             if n_exog:
@@ -201,7 +202,7 @@ def forecast_lag_trees(p: Panel, model: TreeModel, horizon: int, future: DataFra
             steps = []
             for h in range(horizon):
                 x = np.hstack([lags, exog[:, h]]) if n_exog else lags
-                v = nodes.value.predict(x)
+                v = table.predict(x)
                 steps.append(v)
                 lags = np.hstack([v[:, None], lags[:, :-1]])
             path = np.stack(steps, axis=1) * std + mean
@@ -269,16 +270,17 @@ def shapley(nodes: NodeTable, x: np.ndarray):
 
 def shap_values(model: TreeModel, rows: DataFrame, keep=()) -> DataFrame:
     """E5: one row per input row and feature: (keep..., feature, shap, base)."""
-    nodes = rows.sparkSession.sparkContext.broadcast(model.nodes)
+    nodes = send(rows.sparkSession, model.nodes)
     columns = model.columns
     src = rows.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
     arr = T.ArrayType(T.DoubleType())
     schema = T.StructType([*[src.schema[k] for k in keep], T.StructField("phi", arr), T.StructField("base", T.DoubleType())])
 
     def run(batches):
+        table = nodes()
         for b in batches:
             if len(b):
-                phi, base = shapley(nodes.value, b[columns].to_numpy(float))
+                phi, base = shapley(table, b[columns].to_numpy(float))
                 yield b[list(keep)].reset_index(drop=True).assign(phi=list(phi), base=base)
 
     got = src.mapInPandas(run, schema)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: tables proven to hold at most this many rows / values are broadcast; larger ones are joined
@@ -57,6 +59,13 @@ def release(spark: SparkSession) -> None:
         forget()
 
 
+def send(spark: SparkSession, value) -> Callable:
+    """Broadcast an object of this package's classes; tasks call the result to get it. It travels by value
+    like the functions do, so workers need no copy of the package."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def stage_all(parts: list[DataFrame], name: str = "stage", at_once: int = 4) -> list[DataFrame]:
     """Stage independent small results, a few jobs at a time."""
     with ThreadPoolExecutor(at_once) as pool:
