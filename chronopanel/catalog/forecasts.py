@@ -104,55 +104,55 @@ def _(spark, sf):
 @query("m5_m12_forest_lags")
 def _(spark, sf):
     p = hourly(spark, sf)
-    return rounded(trees.forecast_lag_trees(p, trees.fit_lag_trees(p, "forest", 12, n_estimators=20, max_depth=5), H))
+    return rounded(trees.forecast_lag_trees(p, trees.fit_lag_trees(p, "forest", 12), H))
 
 
 @query("m6_boosted_lags")
 def _(spark, sf):
     p = hourly(spark, sf)
-    return rounded(trees.forecast_lag_trees(p, trees.fit_lag_trees(p, "boosted", 12, n_estimators=5, num_leaves=15), H))
+    return rounded(trees.forecast_lag_trees(p, trees.fit_lag_trees(p, "boosted", 12), H))
 
 
 @query("m7_forest_features")
 def _(spark, sf):
     p = shipped(spark, sf)
-    m = trees.fit_feature_trees(p, "forest", n_estimators=20, max_depth=5)
+    m = trees.fit_feature_trees(p, "forest")
     return rounded(trees.predict_features(m, p.df).select("l_returnflag", "ts", "yhat"))
 
 
 @query("m8_boosted_features")
 def _(spark, sf):
     p = shipped(spark, sf)
-    m = trees.fit_feature_trees(p, "boosted", n_estimators=5, num_leaves=15)
+    m = trees.fit_feature_trees(p, "boosted")
     return rounded(trees.predict_features(m, p.df).select("l_returnflag", "ts", "yhat"))
 
 
 def _combined(spark, sf, kind, **params):
     p = shipped(spark, sf)
-    m = trees.fit_lag_trees(p, kind, 7, p.spec.features, **params)
+    m = trees.fit_lag_trees(p, kind, exog=p.spec.features, **params)
     return rounded(trees.forecast_lag_trees(p, m, H, whatif.future_features(p, H)))
 
 
 @query("m9_m13_forest_combined")
 def _(spark, sf):
-    return _combined(spark, sf, "forest", n_estimators=10, max_depth=5)
+    return _combined(spark, sf, "forest")
 
 
 @query("m10_boosted_combined")
 def _(spark, sf):
-    return _combined(spark, sf, "boosted", n_estimators=4, num_leaves=8)
+    return _combined(spark, sf, "boosted")
 
 
 @query("m11_network")
 def _(spark, sf):
     p = hourly(spark, sf)
-    return rounded(mlp.forecast_mlp(p, mlp.fit_mlp(p, 12, 16, 8, 0.01), H))
+    return rounded(mlp.forecast_mlp(p, mlp.fit_mlp(p), H))
 
 
 @query("m14_train_once_score_origins")
 def _(spark, sf):
     p = hourly(spark, sf)
-    m = trees.fit_lag_trees(explain.train_part(p), "forest", 12, n_estimators=10, max_depth=5)
+    m = trees.fit_lag_trees(explain.train_part(p), "forest", 12)
     at = validation.origin_panel(p, validation.evaluation_origins(p, H), 12)
     pairs = validation.with_actuals(p, trees.forecast_lag_trees(at, m, H))
     return rounded(validation.score(pairs, ["event_type"]))
@@ -380,12 +380,12 @@ def _(spark, sf):
 
 @query("v9_meta_features")
 def _(spark, sf):
-    return rounded(stacking.meta_features(_long_panel(spark, sf), H, _STACK, n_folds=1))
+    return rounded(stacking.meta_features(_long_panel(spark, sf), H, _STACK))
 
 
 @query("v10_v11_v12_stacking")
 def _(spark, sf):
-    pairs = stacking.evaluate_stacking(_long_panel(spark, sf), H, _STACK, n_folds=1, max_windows=4)
+    pairs = stacking.evaluate_stacking(_long_panel(spark, sf), H, _STACK)
     return rounded(validation.score(pairs, ["model"]))
 
 

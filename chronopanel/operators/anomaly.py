@@ -24,11 +24,26 @@ def _mark(df: DataFrame, name: str, score, flag, *drop: str) -> DataFrame:
     return df.select("*", score.alias(f"score_{name}"), flag.alias(f"flag_{name}")).drop(*drop)
 
 
+def _zscore_mark(y, threshold: float = 3.0):
+    score = F.when(F.col("__std") == 0, 0.0).otherwise(F.abs((y - F.col("__mean")) / F.col("__std")))
+    return score, score > threshold
+
+
+def _mad_mark(y):
+    score = F.when(F.col("__mad") == 0, 0.0).otherwise(0.6745 * F.abs(y - F.col("__med")) / F.col("__mad"))
+    return score, score > F.col("__thr")
+
+
+def _iqr_mark(y):
+    beyond = F.greatest(F.col("__lo") - y, y - F.col("__hi"), F.lit(0.0))
+    score = F.when(F.col("__iqr") == 0, 0.0).otherwise(beyond / F.col("__iqr"))
+    return score, (y < F.col("__lo")) | (y > F.col("__hi"))
+
+
 def zscore(p: Panel, df: DataFrame, threshold: float = 3.0) -> DataFrame:
     """A1: |y - mean| / std (ddof 0)."""
     stats = p.aggregate(F.avg(p.y).alias("__mean"), F.stddev_pop(p.y).alias("__std"))
-    score = F.when(F.col("__std") == 0, 0.0).otherwise(F.abs((p.y - F.col("__mean")) / F.col("__std")))
-    return _mark(p.attach(df, stats), "zscore", score, score > threshold, "__mean", "__std")
+    return _mark(p.attach(df, stats), "zscore", *_zscore_mark(p.y, threshold), "__mean", "__std")
 
 
 def mad_statistics(p: Panel, threshold: float = 3.5, max_share: float = 0.05) -> DataFrame:
@@ -52,8 +67,7 @@ def mad(p: Panel, df: DataFrame, threshold: float = 3.5) -> DataFrame:
     """A2: 0.6745 |y - median| / mad; where more than 5 % are flagged, the threshold rises to
     the 95th percentile of the scores."""
     st = mad_statistics(p, threshold).select(*p.keys, F.col("median").alias("__med"), F.col("mad").alias("__mad"), F.col("threshold").alias("__thr"))
-    score = F.when(F.col("__mad") == 0, 0.0).otherwise(0.6745 * F.abs(p.y - F.col("__med")) / F.col("__mad"))
-    return _mark(p.attach(df, st), "mad", score, score > F.col("__thr"), "__med", "__mad", "__thr")
+    return _mark(p.attach(df, st), "mad", *_mad_mark(p.y), "__med", "__mad", "__thr")
 
 
 def rolling(p: Panel, df: DataFrame, window: int = 24, sigma_k: float = 3.0) -> DataFrame:
@@ -72,10 +86,7 @@ def rolling(p: Panel, df: DataFrame, window: int = 24, sigma_k: float = 3.0) ->
 def iqr(p: Panel, df: DataFrame, k: float = 1.5) -> DataFrame:
     """A4: outside q1 - k iqr / q3 + k iqr; score = distance beyond the bound in iqr units."""
     b = quartile_bounds(p, k).select(*p.keys, F.col("iqr").alias("__iqr"), F.col("lower_bound").alias("__lo"), F.col("upper_bound").alias("__hi"))
-    beyond = F.greatest(F.col("__lo") - p.y, p.y - F.col("__hi"), F.lit(0.0))
-    score = F.when(F.col("__iqr") == 0, 0.0).otherwise(beyond / F.col("__iqr"))
-    flag = (p.y < F.col("__lo")) | (p.y > F.col("__hi"))
-    return _mark(p.attach(df, b), "iqr", score, flag, "__iqr", "__lo", "__hi")
+    return _mark(p.attach(df, b), "iqr", *_iqr_mark(p.y), "__iqr", "__lo", "__hi")
 
 
 def residual(p: Panel, df: DataFrame, period: int = 24, sigma: float = 3.0, method: str = "stl") -> DataFrame:
@@ -112,41 +123,79 @@ def register_detector(name: str, detector) -> None:
     DETECTORS[name] = detector
 
 
+#: detectors that need nothing but numbers of the whole series
+FUSED = ("zscore", "mad", "iqr")
+
+
+def series_statistics(p: Panel, threshold: float = 3.5, max_share: float = 0.05, k: float = 1.5) -> DataFrame:
+    """What the detectors of ``FUSED`` need, one row per series, from one aggregate over the rows: the sorted
+    values of a series (at most a block of them) give every quantile, also those of the deviations."""
+    n = F.col("__n")
+    def at(values, q: float):
+        low = F.floor((n - 1) * F.lit(q)).cast("int")
+        lo, hi = F.get(values, low), F.get(values, F.least(low + 1, n - 1).cast("int"))
+        return lo, hi, (n - 1) * F.lit(q) - low
+    mid = lambda values, q: (lambda lo, hi, w: lo + (hi - lo) * w)(*at(values, q))
+    st = p.aggregate(F.avg(p.y).alias("__mean"), F.stddev_pop(p.y).alias("__std"), F.count(p.y).alias("__n"),
+                     F.array_sort(F.collect_list(p.y.cast("double"))).alias("__s"))
+    st = st.select(*p.keys, "__mean", "__std", "__n", "__s", mid("__s", 0.25).alias("__q1"), mid("__s", 0.5).alias("__med"), mid("__s", 0.75).alias("__q3"))
+    st = st.withColumn("__dev", F.array_sort(F.transform("__s", lambda v: F.abs(v - F.col("__med"))))).withColumn("__mad", mid("__dev", 0.5))
+    score = lambda d: F.when(F.col("__mad") == 0, 0.0).otherwise(0.6745 * d / F.col("__mad"))
+    lo, hi, w = at("__dev", 1 - max_share)
+    share = F.size(F.filter("__dev", lambda d: score(d) > threshold)) / n
+    tail = score(lo) + (score(hi) - score(lo)) * w
+    limit = F.when(share > max_share, F.greatest(F.lit(threshold), tail)).otherwise(F.lit(threshold))
+    iqr_ = F.col("__q3") - F.col("__q1")
+    return st.select(*p.keys, "__mean", "__std", "__med", "__mad", limit.alias("__thr"), iqr_.alias("__iqr"),
+                     (F.col("__q1") - k * iqr_).alias("__lo"), (F.col("__q3") + k * iqr_).alias("__hi"))
+
+
 def detect(p: Panel, methods=None, params: dict | None = None, df: DataFrame | None = None) -> DataFrame:
     """Rows with the scores and flags of the chosen detectors (target only)."""
     df = p.df if df is None else df
-    methods = list(methods or DETECTORS)
+    methods, own = list(methods or DETECTORS), {"zscore": zscore, "mad": mad, "iqr": iqr}
+    # two or more of these share one aggregate, where a series is short enough and nothing is set otherwise
+    shared = [m for m in methods if m in FUSED and DETECTORS[m] is own[m] and not (params or {}).get(m)] if p.longest <= p.spec.block_rows else []
+    shared = shared if len(shared) > 1 else []
     # ordered detectors first: their shuffle then carries no extra columns
     for name in sorted(methods, key=lambda m: m not in ("rolling", "stl")):
-        df = DETECTORS[name](p, df, **(params or {}).get(name, {}))
+        if name not in shared:
+            df = DETECTORS[name](p, df, **(params or {}).get(name, {}))
+    if shared:
+        df = p.attach(df, series_statistics(p))
+        y, marks = p.y, {"zscore": _zscore_mark, "mad": _mad_mark, "iqr": _iqr_mark}
+        for name in shared:
+            df = _mark(df, name, *marks[name](y))
+        df = df.drop("__mean", "__std", "__med", "__mad", "__thr", "__iqr", "__lo", "__hi")
     return df
 
 
-def channels(p: Panel, limit: int = MAX_CHANNELS) -> DataFrame:
-    """K2: the target and the ``limit - 1`` features of largest variance (ddof 0), per series:
-    (keys, channel, variance)."""
+def channels(p: Panel, limit: int | None = MAX_CHANNELS) -> DataFrame:
+    """K2: the target and the ``limit - 1`` features (None: all) of largest variance (ddof 0), per
+    series: (keys, channel, variance)."""
     feats = list(p.spec.features)
     v = p.aggregate(*[F.var_pop(F.col(c).cast("double")).alias(f"__{i}") for i, c in enumerate(feats)])
     long = v.select(*p.keys, F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"__{i}").alias("variance"))
                                                  for i, c in enumerate(feats)])).alias("__i")).select(*p.keys, "__i.*")
     w = Window.partitionBy(*p.keys).orderBy(F.col("variance").desc_nulls_last(), "channel")
-    return long.withColumn("rank_no", F.row_number().over(w).cast("long")).where(F.col("rank_no") <= limit - 1)
+    ranked = long.withColumn("rank_no", F.row_number().over(w).cast("long"))
+    return ranked if limit is None else ranked.where(F.col("rank_no") <= limit - 1)
 
 
-def channel_flags(p: Panel, methods, params: dict | None = None) -> DataFrame:
+def channel_flags(p: Panel, methods, params: dict | None = None, limit: int | None = MAX_CHANNELS) -> DataFrame:
     """Run per-channel detectors on target and features, OR the flags per row.
     ``p.df`` must hold ``idx``; returns (keys, idx, flag_*)."""
     cols = [p.spec.target, *p.spec.features]
     long = p.df.select(*p.keys, "idx", F.explode(F.array(*[F.struct(F.lit(c).alias("__channel"), F.col(c).cast("double").alias("__value"))
                                                           for c in cols])).alias("__i")).select(*p.keys, "idx", "__i.*")
-    if len(p.spec.features) > MAX_CHANNELS - 1:
-        keep = channels(p).select(*p.keys, F.col("channel").alias("__channel"))
+    if limit is not None and len(p.spec.features) > limit - 1:
+        keep = channels(p, limit).select(*p.keys, F.col("channel").alias("__channel"))
         own = p.aggregate(F.lit(p.spec.target).alias("__channel"))
         long = key_join(long, keep.unionByName(own), [*p.keys, "__channel"])
     long = long.withColumnRenamed("idx", "pos")
     # channels multiply the number of series, never the rows of one series
     spec = SeriesSpec(time="pos", target="__value", keys=(*p.spec.keys, "__channel"), block_rows=p.spec.block_rows)
-    q = Panel(long, spec, (p.n_series * min(len(cols), MAX_CHANNELS), p.longest))
+    q = Panel(long, spec, (p.n_series * min(len(cols), limit or len(cols)), p.longest))
     flagged = detect(q, methods, params)
     return flagged.groupBy(*p.keys, F.col("pos").alias("idx")).agg(*[F.bool_or(f"flag_{m}").alias(f"flag_{m}") for m in methods])
 

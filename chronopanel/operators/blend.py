@@ -36,10 +36,11 @@ def uniform(scores: DataFrame, keys) -> DataFrame:
     return _share(scores, keys, F.lit(1.0))
 
 
-def top_models(scores: DataFrame, keys, score: str = "score", n: int = TOP_MODELS) -> DataFrame:
-    """K1: the n best models."""
+def top_models(scores: DataFrame, keys, score: str = "score", n: int | None = TOP_MODELS) -> DataFrame:
+    """K1: the n best models (None: all, ranked)."""
     w = Window.partitionBy(*keys).orderBy(F.col(score).asc_nulls_last(), "model")
-    return scores.withColumn("rank_no", F.row_number().over(w).cast("long")).where(F.col("rank_no") <= n)
+    ranked = scores.withColumn("rank_no", F.row_number().over(w).cast("long"))
+    return ranked if n is None else ranked.where(F.col("rank_no") <= n)
 
 
 def floored_inverse(scores: DataFrame, keys, score: str = "score", n: int | None = TOP_MODELS) -> DataFrame:
@@ -72,12 +73,12 @@ def best_model(forecasts: DataFrame, scores: DataFrame, keys, score: str = "scor
 def trimmed_mean(forecasts: DataFrame, scores: DataFrame, keys, score: str = "score", drop: int = 3, least: int = 3) -> DataFrame:
     """Mean without the ``drop`` worst models, at least ``least`` kept."""
     w = Window.partitionBy(*keys)
-    ranked = top_models(scores, keys, score, 1_000_000).withColumn("__m", F.count(F.lit(1)).over(w))
+    ranked = top_models(scores, keys, score, None).withColumn("__m", F.count(F.lit(1)).over(w))
     keep = ranked.where(F.col("rank_no") <= F.greatest(F.lit(least), F.col("__m") - drop)).select(*keys, "model")
     return key_join(forecasts, keep, [*keys, "model"]).groupBy(*keys, "h").agg(F.avg("yhat").alias("yhat"))
 
 
-def strategy(summary: DataFrame, families: dict[str, str], keys, n: int = TOP_MODELS) -> DataFrame:
+def strategy(summary: DataFrame, families: dict[str, str], keys, n: int | None = TOP_MODELS) -> DataFrame:
     """One row per series about the chosen models: best model, spread, family diversity,
     mean fold std and whether it is high (> 5), and the inverse-error weights as a list."""
     known = [(k, v) for k, v in families.items()]

@@ -16,15 +16,17 @@ FIRST_ANOMALIES = 5
 SNAPSHOTS = 10
 
 
-def first_anomalies(p: Panel, voted: DataFrame, n: int = FIRST_ANOMALIES, flag: str = "is_anomaly") -> DataFrame:
+def first_anomalies(p: Panel, voted: DataFrame, n: int | None = FIRST_ANOMALIES, flag: str = "is_anomaly") -> DataFrame:
     """K4: the first n flagged rows of each series by time (a rank limit, applied before the
-    shuffle as well)."""
+    shuffle as well); None: all of them."""
     w = Window.partitionBy(*p.keys).orderBy(*[F.col(c).asc_nulls_last() for c in (p.spec.time, *p.spec.tie)])
-    return voted.where(F.col(flag)).withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n) \
-                .withColumn("rank_no", F.col("rank_no").cast("long"))
+    ranked = voted.where(F.col(flag)).withColumn("rank_no", F.row_number().over(w))
+    if n is not None:
+        ranked = ranked.where(F.col("rank_no") <= n)
+    return ranked.withColumn("rank_no", F.col("rank_no").cast("long"))
 
 
-def zscore_context(p: Panel, voted: DataFrame, n: int = FIRST_ANOMALIES) -> DataFrame:
+def zscore_context(p: Panel, voted: DataFrame, n: int | None = FIRST_ANOMALIES) -> DataFrame:
     """Signed z (std with ddof 1, plus 1e-8) and deviation in % of the mean."""
     stats = p.aggregate(F.avg(p.y).alias("mean"), (F.stddev_samp(p.y) + 1e-8).alias("std"))
     out = p.attach(first_anomalies(p, voted, n), stats)
@@ -53,7 +55,7 @@ def anomaly_percentiles(p: Panel, voted: DataFrame, n: int = FIRST_ANOMALIES) ->
     return percentile_ranks(p, picked, n)
 
 
-def snapshots(p: Panel, voted: DataFrame, n: int = SNAPSHOTS, reach: int = 2) -> DataFrame:
+def snapshots(p: Panel, voted: DataFrame, n: int | None = SNAPSHOTS, reach: int = 2) -> DataFrame:
     """Values around the first n anomalies."""
     have = [c for c in ("idx", "n") if c in voted.columns]
     d = context_windows(p, reach, voted.drop(*have))

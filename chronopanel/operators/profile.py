@@ -60,10 +60,11 @@ def column_roles(df: DataFrame) -> dict[str, list[str]]:
     return roles
 
 
-def category_values(df: DataFrame, columns, limit: int = 20) -> DataFrame:
-    """Up to ``limit`` smallest values of each categorical column: (column, value)."""
-    parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-               .distinct().orderBy("value").limit(limit) for c in columns]
+def category_values(df: DataFrame, columns, limit: int | None = 20) -> DataFrame:
+    """Up to ``limit`` (None: all) smallest values of each categorical column: (column, value)."""
+    parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")).distinct() for c in columns]
+    if limit is not None:
+        parts = [d.orderBy("value").limit(limit) for d in parts]
     return reduce(DataFrame.unionByName, parts)
 
 

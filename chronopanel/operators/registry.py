@@ -76,8 +76,8 @@ def families() -> dict[str, str]:
     return {m.name: m.family for m in MODELS.values()}
 
 
-def combinations(spark: SparkSession, grid: dict, limit: int = MAX_COMBINATIONS) -> list[dict]:
-    """K5: all combinations; above ``limit`` the first ones in hash order (deterministic)."""
+def combinations(spark: SparkSession, grid: dict, limit: int | None = MAX_COMBINATIONS) -> list[dict]:
+    """K5: all combinations; above ``limit`` (None: no limit) the first ones in hash order (deterministic)."""
     if not grid:
         return []
     names = list(grid)
@@ -85,12 +85,12 @@ def combinations(spark: SparkSession, grid: dict, limit: int = MAX_COMBINATIONS)
     for n in names:
         df = df.withColumn(n, F.explode(F.array(*[F.lit(v) for v in grid[n]])))
     df = df.drop("id")
-    if len(list(product(*grid.values()))) > limit:
+    if limit is not None and len(list(product(*grid.values()))) > limit:
         df = df.orderBy(F.xxhash64(*names)).limit(limit)
-    return [r.asDict() for r in df.collect()]  # a grid, at most ``limit`` rows
+    return [r.asDict() for r in df.collect()]  # a grid: a few values per parameter
 
 
-def candidates(spark: SparkSession, model: Forecaster, limit: int = MAX_COMBINATIONS) -> list[dict]:
+def candidates(spark: SparkSession, model: Forecaster, limit: int | None = MAX_COMBINATIONS) -> list[dict]:
     return combinations(spark, model.grid, limit) or [dict(model.defaults)]
 
 

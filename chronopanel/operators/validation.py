@@ -33,17 +33,18 @@ def folds(p: Panel, horizon: int, n_folds: int = CV_FOLDS, short: bool = True, a
         *p.keys, "fold", "origin", F.least(F.lit(horizon), n - F.col("origin")).cast("long").alias("fold_h"))
 
 
-def evaluation_origins(p: Panel, horizon: int, fraction: float = 0.8, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def evaluation_origins(p: Panel, horizon: int, fraction: float = 0.8, max_windows: int | None = MAX_WINDOWS) -> DataFrame:
     """V7/K6: origins in the last part of each series, stride = horizon, at most ``max_windows``
-    evenly spaced ones: (keys, window, origin)."""
+    (None: all) evenly spaced ones: (keys, window, origin)."""
     n = F.col("n")
     sizes = p.aggregate(F.count(F.lit(1)).alias("n")).withColumn("__train", F.floor(n * F.lit(fraction)))
     total = F.floor((n - F.col("__train") - horizon) / horizon) + 1
     sizes = sizes.withColumn("__total", total).where(F.col("__total") >= 1)
-    count = F.least(F.col("__total"), F.lit(max_windows)).cast("int")
+    count = (F.col("__total") if max_windows is None else F.least(F.col("__total"), F.lit(max_windows))).cast("int")
     out = sizes.withColumn("window", F.explode(F.sequence(F.lit(0), count - 1)))
-    place = F.when(F.col("__total") > max_windows,
-                   F.floor(F.col("window") * (F.col("__total") - 1) / (max_windows - 1))).otherwise(F.col("window"))
+    place = F.col("window")
+    if max_windows is not None:
+        place = F.when(F.col("__total") > max_windows, F.floor(F.col("window") * (F.col("__total") - 1) / max(max_windows - 1, 1))).otherwise(place)
     return out.select(*p.keys, F.col("window").cast("long").alias("window"),
                       (F.col("__train") + place * horizon).cast("long").alias("origin"))
 

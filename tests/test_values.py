@@ -251,6 +251,7 @@ def test_search_and_request(panel_of):
     out = analyze(p, AnalysisSpec(task="both", horizon=6, models=("Naive", "SeasonalNaive"), explain=True, report=True, period=24), {"SeasonalNaive": [{"seasonal_period": 24}]})
     assert out["final"].count() == 12 and out["report"].count() > 0 and out["anomalies"].count() == 400
     assert len(registry.combinations(p.df.sparkSession, registry.MODELS["Boosted"].grid)) == 10
+    assert len(registry.combinations(p.df.sparkSession, registry.MODELS["Boosted"].grid, None)) == 81
 
 
 def test_stacking_has_no_leak(panel_of):
