@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import fields, names, ragged
 from .substring_dedup import covered
-from .superwindows import Pieces, by_value, byte_symbols, identified, repeated_spans
+from .superwindows import Pieces, by_value, byte_symbols, grown, identified, repeated_spans, with_spans
 
 WIDTH = 100
-GRAM = 24
+GRAM = 16
 SYMBOL = 4
 #: bytes of pieces merged at once, and bytes of a shard of them
 MERGED_BYTES, SHARD_BYTES = 400_000, 80_000
@@ -157,14 +157,14 @@ def settle_bytes(width: int):
 def _cut(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, spans, wanted in rows:
         out = []
-        for text, s, full in zip(texts, spans, wanted):
-            raw = text.encode("utf-8", "surrogatepass")
+        for raw, s, full in zip(map(grown, texts), spans, wanted):
+            size = len(raw)
             removed = runs = 0
             if s is not None and len(s):
                 gone = covered(len(raw), s)
                 removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            out.append((len(text.encode("utf-8", "surrogatepass")), removed, runs, raw if full else None, hashlib.sha256(raw).hexdigest()))
+            out.append((size, removed, runs, raw if full else None, hashlib.sha256(raw).hexdigest()))
         yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
@@ -180,7 +180,5 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("width must be a multiple of four and exceed gram")
     docs = docs.drop("dedup")
     i, h, t = identified(docs, doc_id, text)
-    spans = repeated_spans(docs.select(i.alias("doc_id"), h.alias("text_hash"), t.alias("text")), byte_symbols, width, gram, settle_bytes(width), True, 3.6)
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    both = docs.join(spans, (i == F.col("__id")) & (h == F.col("__hash")), "left")
-    return both.select(*names(docs), _cut(t, F.col("__spans"), F.lit(with_bytes)).alias("dedup"))
+    spans = repeated_spans(docs.select(i.alias("doc_id"), h.alias("text_hash"), t.alias("text")), byte_symbols, width, gram, settle_bytes(width), True, 3.4)
+    return with_spans(docs, doc_id, text, spans).select(*names(docs), _cut("__text", "__spans", F.lit(with_bytes)).alias("dedup"))

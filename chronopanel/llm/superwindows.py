@@ -19,16 +19,19 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import chunks, ragged, utf8
 
 SEGMENT = 1 << 19           # symbols handled at once
 LONGEST_RUN = 1 << 14       # windows in one piece
-BUCKET_BYTES = 12_000_000   # pieces of text in one bucket, before compression
+BUCKET_BYTES = 32_000_000   # pieces of text in one bucket, before compression
 HOT_PIECES = 8_000          # a slot with more pieces than this, and 4 times the mean, is hot
+SLOT_BLOCK = 4_096          # slots counted in one row
+LEVEL = 6                   # of compression; pieces are most of what is exchanged
 SPANS = "doc_id long, text_hash long, start long, stop long"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -195,7 +198,7 @@ def word_symbols(column: pa.Array) -> Symbols:
 
 def packed(arrays: list[np.ndarray]) -> bytes:
     head = np.array([len(arrays), *[len(a) for a in arrays]], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([head.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]))
 
 
 def unpacked(blob: bytes, kinds: list) -> list[np.ndarray]:
@@ -208,7 +211,7 @@ def unpacked(blob: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-PIECE = [np.uint64, np.int64, np.int64, np.int64, np.int32, np.int32, np.bool_, np.uint8]
+PIECE = [np.uint32, np.int64, np.int32, np.int64, np.int32, np.int32, np.bool_, np.uint8]
 SPAN = [np.int64] * 4
 
 
@@ -265,12 +268,13 @@ def dealer(symbols: Callable, width: int, gram: int, buckets: int, hot: np.ndarr
             edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
             names, blobs = [], []
             if spans:
-                names.append(buckets + int(bucket[0]))
+                names.append(buckets + int(bucket[0]) % buckets)
                 blobs.append(yield_spans)
             for a, b in zip(edges[:-1], edges[1:]):
                 i = order[a:b]
                 names.append(int(bucket[a]))
-                blobs.append(packed([runs.value[i], ids[doc[i]], hashes[doc[i]], begin[i], runs.count[i].astype(np.int32), size[i].astype(np.int32),
+                # half a minimiser is enough inside a bucket: if two get mixed up, they are settled together
+                blobs.append(packed([(runs.value[i] >> np.uint64(32)).astype(np.uint32), ids[doc[i]], hashes[doc[i]].astype(np.int32), begin[i], runs.count[i].astype(np.int32), size[i].astype(np.int32),
                                      runs.twice[i], s.text[ragged(at[i], size[i])]]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
@@ -293,7 +297,7 @@ def settler(settle: Callable[[Pieces], tuple], buckets: int):
                 i = np.flatnonzero(np.isin(p[0], often) | p[6])
                 ends = np.cumsum(p[5], dtype=np.int64)
                 text, stop, size = p[7].tobytes(), ends[i].tolist(), p[5][i].tolist()
-                parts.append([p[0][i], p[1][i], p[2][i], p[3][i], p[4][i].astype(np.int64), p[6][i], [text[e - c:e] for e, c in zip(stop, size)]])
+                parts.append([p[0][i], p[1][i], p[2][i].astype(np.int64), p[3][i], p[4][i].astype(np.int64), p[6][i], [text[e - c:e] for e, c in zip(stop, size)]])
             del kept
             cols = [np.concatenate(x) for x in zip(*[p[:6] for p in parts])]
             out = settle(Pieces(*cols, [t for p in parts for t in p[6]]))
@@ -322,19 +326,23 @@ def hot_slots(docs: DataFrame, symbols: Callable, width: int, gram: int, size: i
     quarter of them."""
     slots = 1 << min(22, max(14, (size // (1 << 14)).bit_length()))
 
+    most = max(HOT_PIECES, 4 * (size // gram) // slots)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(slots, np.int64)
         for batch in chunks(batches, "text"):
             s = symbols(batch.column("text"))
-            n = np.bincount(slot_of(runs_of(s.codes, s.offsets, width, gram).value, slots), minlength=slots)
-            total = n if total is None else total + n
-        if total is not None:
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+            total += np.bincount(slot_of(runs_of(s.codes, s.offsets, width, gram).value, slots), minlength=slots)
+        parts = [(i, packed([total[i:i + SLOT_BLOCK]])) for i in range(0, slots, SLOT_BLOCK) if total[i:i + SLOT_BLOCK].any()]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["first", "counts"])
 
-    counts = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    most = max(HOT_PIECES, 4 * (size // gram) // slots)
-    return np.array([slots, *sorted(r["slot"] for r in counts.where(F.col("n") > most).select("slot").collect())], np.int64)
+    def hottest(table: pa.Table) -> pa.Table:
+        total = sum(unpacked(x.as_py(), [np.int64])[0] for x in table.column("counts"))
+        return pa.table({"slot": pa.array(table.column("first")[0].as_py() + np.flatnonzero(total > most), pa.int64())})
+
+    counts = docs.select("text").mapInArrow(count, "first long, counts binary")
+    return np.array([slots, *sorted(r["slot"] for r in counts.groupBy("first").applyInArrow(hottest, "slot long").collect())], np.int64)
 
 
 def repeated_spans(docs: DataFrame, symbols: Callable, width: int, gram: int, settle: Callable[[Pieces], tuple], keep_first: bool, inflation: float) -> DataFrame:
@@ -348,7 +356,28 @@ def repeated_spans(docs: DataFrame, symbols: Callable, width: int, gram: int, se
     return spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
+@F.pandas_udf(T.BinaryType())
+def shrunk(texts: pd.Series) -> pd.Series:
+    """Texts compressed one by one, for an exchange."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return texts.map(lambda t: pack(t.encode("utf-8")))
+
+
+def grown(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def with_spans(docs: DataFrame, doc_id: str, text: str, spans: DataFrame) -> DataFrame:
+    """``docs`` with __text (compressed) and __spans (null: none); if its text is not asked for afterwards,
+    texts are exchanged in compressed form only."""
+    i, h, t = identified(docs, doc_id, text)
+    keyed = docs.withColumns({"__i": i, "__h": h, "__text": shrunk(t)})
+    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    return keyed.join(spans, (F.col("__i") == F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
+
+
 def identified(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column, Column]:
-    """doc_id (null: the least long), hash of the text, and the text (null: empty)."""
+    """doc_id (null: the least long), 32-bit hash of the text (tells rows of one id apart), and the text
+    (null: empty)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), F.xxhash64(t), t
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), F.hash(t).cast("long"), t
