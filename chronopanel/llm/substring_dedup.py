@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import fields, names, ragged
-from .superwindows import Pieces, by_value, identified, mixed, powers, repeated_spans, word_symbols
+from .superwindows import Pieces, by_value, grown, identified, mixed, powers, repeated_spans, with_spans, word_symbols
 
 WINDOW = 35
-GRAM = 8
+GRAM = 4
 #: bytes of pieces sorted at once
 SORTED_BYTES = 4_000_000
 
@@ -98,31 +98,30 @@ def covered(n: int, spans) -> np.ndarray:
 def _cut(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, spans, wanted in rows:
         out = []
-        for text, s, full in zip(texts, spans, wanted):
-            words = text.encode("utf-8", "surrogatepass").split()
+        for text, s, full in zip(map(grown, texts), spans, wanted):
+            words = text.split()
             gone = covered(len(words), s)
             removed = int(gone.sum())
             left = b" ".join(words if not removed else [w for w, g in zip(words, gone.tolist()) if not g])
-            out.append((len(words), removed, left.decode("utf-8", "surrogatepass") if full and removed else None, hashlib.sha256(left).hexdigest()))
+            out.append((len(words), removed, (left if removed else text).decode("utf-8") if full else None, hashlib.sha256(left).hexdigest()))
         yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept", "kept_sha256"])
 
 
 def repeated_word_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, text_hash and ``spans`` (sorted, of word positions) of the documents with a repeated window."""
     i, h, t = identified(docs, doc_id, text)
-    return repeated_spans(docs.select(i.alias("doc_id"), h.alias("text_hash"), t.alias("text")), word_symbols, width, gram, settle_words(width), False, 3.5)
+    return repeated_spans(docs.select(i.alias("doc_id"), h.alias("text_hash"), t.alias("text")), word_symbols, width, gram, settle_words(width), False, 3.2)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
     """All columns of ``docs`` and, under ``dedup``, a struct of n_words, n_removed, kept (the kept words
-    joined by one space; null if nothing was removed, or without ``with_text``) and kept_sha256.
+    joined by one space, or the text as it was if none is removed; null without ``with_text``) and kept_sha256
+    (of the kept words joined by one space).
 
     Every word in a window of ``width`` words whose word sequence also starts elsewhere goes, all
     occurrences alike. A null text has no words; a text shorter than a window stays; a repeated row is an
     occurrence of its own; documents with one id and different texts are different documents; an empty
     table stays empty."""
     docs = docs.drop("dedup")
-    i, h, t = identified(docs, doc_id, text)
-    spans = repeated_word_spans(docs, doc_id, text, width, gram).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    both = docs.join(spans, (i == F.col("__id")) & (h == F.col("__hash")), "left")
-    return both.select(*names(docs), _cut(t, F.col("__spans"), F.lit(with_text)).alias("dedup"))
+    both = with_spans(docs, doc_id, text, repeated_word_spans(docs, doc_id, text, width, gram))
+    return both.select(*names(docs), _cut("__text", "__spans", F.lit(with_text)).alias("dedup"))
