@@ -39,8 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated 35-word windows go; an untouched text stays as it is."""
     cut = substring_dedup.remove_repeats(docs)
-    text = F.when(F.col("dedup.n_removed") > 0, F.col("dedup.kept")).otherwise(F.col("text"))
-    out = cut.withColumn("text", text)
+    out = cut.withColumn("text", F.col("dedup.kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("dedup.n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*names(docs))
