@@ -29,7 +29,7 @@ WIDTH = 100
 GRAM = 16
 SYMBOL = 4
 #: bytes of pieces merged at once, and bytes of a shard of them
-MERGED_BYTES, SHARD_BYTES = 400_000, 80_000
+MERGED_BYTES, SHARD_BYTES = 150_000, 50_000
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
@@ -60,20 +60,21 @@ def merge_transforms(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndar
     """Interleave of the shards' sorted suffixes after ``rounds`` rounds. Gives, for each entry in shard
     order, its place in the merged order, and for each place the symbols it shares with the one before
     (``rounds`` where no border appeared)."""
-    sizes = [len(t) for t in transforms]
+    sizes, n = [len(t) for t in transforms], sum(map(len, transforms))
     before = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-    block = np.zeros(len(before), np.int32)
-    common = np.full(len(before), rounds, np.uint8 if rounds < 256 else np.int32)
-    symbol = np.empty_like(before)
+    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8 if len(sizes) <= 256 else np.uint32), sizes)
+    block, common = np.zeros(n, np.int32), np.full(n, rounds, np.int32)
+    symbol, border, known = np.empty_like(before), np.ones(n, bool), np.zeros(n, bool)
     for h in range(rounds):
         symbol[np.argsort(shard, kind="stable")] = before
         order = np.argsort(symbol, kind="stable")
-        shard, moved, sorted_by = shard[order], block[order], symbol[order]
-        border = np.append(True, (sorted_by[1:] != sorted_by[:-1]) | (moved[1:] != moved[:-1]))
-        np.minimum(common, np.where(border, h, rounds).astype(common.dtype), out=common)
-        block = np.cumsum(border, dtype=np.int32)
-        if block[-1] == len(block):  # every suffix stands alone
+        shard, moved, dealt = shard[order], block[order], symbol[order]
+        np.not_equal(dealt[1:], dealt[:-1], out=border[1:])
+        border[1:] |= moved[1:] != moved[:-1]
+        common[border & ~known] = h  # a border stays where it has appeared
+        known[:] = border
+        np.cumsum(border, out=block)
+        if block[-1] == n:  # every suffix stands alone
             break
     return np.argsort(shard, kind="stable"), common
 
