@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: distinct pre-tokens a task remembers before it starts afresh
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class PerfectHash:
@@ -78,31 +78,29 @@ def merge_bytes(token: bytes, rank) -> list[int]:
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     alive = [True] * n
     heap = []
-
-    def offer(i):
-        j = after[i]
-        if j < n:
-            r = rank(token[i:after[j]])
-            if r is not None:
-                heap.append((r, i, after[j])) if not ready else heapq.heappush(heap, (r, i, after[j]))
-
-    ready = False
     for i in range(n - 1):
-        offer(i)
+        r = rank(token[i:i + 2])
+        if r is not None:
+            heap.append((r, i, i + 2))
     heapq.heapify(heap)
-    ready = True
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, i, end = heapq.heappop(heap)
-        if not alive[i] or after[i] >= n or after[after[i]] != end:
-            continue  # one of the two has been merged since
+        _, i, end = pop(heap)
         j = after[i]
+        if not alive[i] or j >= n or after[j] != end:
+            continue  # one of the two has been merged since
         alive[j] = False
         after[i] = end
         if end < n:
             before[end] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
+            r = rank(token[i:after[end]])
+            if r is not None:
+                push(heap, (r, i, after[end]))
+        left = before[i]
+        if left >= 0:
+            r = rank(token[left:end])
+            if r is not None:
+                push(heap, (r, left, end))
     out, i = [], 0
     while i < n:
         r = rank(token[i:after[i]])
@@ -113,12 +111,26 @@ def merge_bytes(token: bytes, rank) -> list[int]:
     return out
 
 
+class Ranks(dict):
+    """Byte string to rank (None: no entry); remembers what the perfect hash has answered."""
+
+    def __init__(self, table: PerfectHash):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, key: bytes) -> int | None:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[key] = self.table.get(key)
+        return found
+
+
 class Encoder(dict):
     """Pre-token to ids; remembers what it has resolved."""
 
     def __init__(self, ranks: PerfectHash, pattern: str):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.rank = ranks, Ranks(ranks).__getitem__
         # \s as Unicode defines white space, without the four separators that Python adds
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
@@ -127,7 +139,7 @@ class Encoder(dict):
             self.clear()
         raw = token.encode("utf-8")
         whole = self.ranks.get(raw)
-        ids = self[token] = (whole,) if whole is not None else tuple(merge_bytes(raw, self.ranks.get))
+        ids = self[token] = (whole,) if whole is not None else tuple(merge_bytes(raw, self.rank))
         return ids
 
     def encode(self, text: str) -> np.ndarray:
