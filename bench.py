@@ -13,7 +13,7 @@ HEADLINE = [
     "p9_p10_split", "p13_standardize", "g2_column_info", "g5_outlier_share", "g6_moments", "g9_trend", "g10_histogram",
     "t1_acf", "t4_adf", "t5_kpss_auto", "t6_stl", "t7_classical", "t9_lag_correlations", "t11_rolling", "t12_lag_matrix", "t15_percentile_ranks",
     "m2_seasonal_naive", "m3_arima", "m4_ets", "m5_m12_forest_lags", "v3_fold_metrics", "v7_u2_rolling_origin", "b11_b12_combined_forecast",
-    "a6_isolation_forest", "a7_dbscan_line", "a7_j4_dbscan_grid", "a8_vote", "a9_u1_multivariate", "n5_percentiles", "e5_shapley", "x1_forward",
+    "t3_seasonal_period", "m4_ets_fixed", "m11_network", "m17_train_and_forecast", "a6_isolation_forest", "a7_dbscan_line", "a7_j4_dbscan_grid", "a8_vote", "a9_u1_multivariate", "n5_percentiles", "e5_shapley", "x1_forward",
 ]
 
 
