@@ -8,11 +8,14 @@ A group holds about ``GROUP_DOCS`` documents at any size of the input, and only
 
 from __future__ import annotations
 
+import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
@@ -22,10 +25,49 @@ LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 16_384
 #: distinct words a task remembers before it starts afresh
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 PIECES = "doc_id long, text_hash long, start long, length long, doc_tokens long, ids binary"
 
 
+# fixed values: how the tokenizer's file splits lower-cased text
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class WordIds(dict):
+    """Ids of a word (bytes, without white space) as bytes of little-endian unsigned 32-bit integers.
+
+    The library's own pipeline takes most of its time to normalize and split. For words of Latin letters
+    that is done here (lower case, split, bytes as characters), each part is encoded once by the library's
+    model; any other word goes through the library as a whole. Both give the library's ids."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.parts = tokenizer, tokenizer.model, {}
+        self.split = regex.compile(_SPLIT).findall
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        text = word.decode("utf-8")
+        if (text.isascii() or max(text) < "\u0250") and text.isprintable() and "<|" not in text:
+            ids = b"".join([self.parts.get(x) or self.part(x) for x in self.split(text.lower())])
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def part(self, text: str) -> bytes:
+        if len(self.parts) >= REMEMBERED:
+            self.parts.clear()
+        raw = text if text.isascii() else "".join(map(self.shown.__getitem__, text.encode("utf-8")))
+        found = [t.id for t in self.model.tokenize(raw)]
+        ids = self.parts[text] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+
 def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, text_hash, start, length, doc_tokens (of the document, with ``end_id``), and
     ids as a binary of little-endian unsigned 32-bit integers.
@@ -37,17 +79,10 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         model = f.read()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = Tokenizer.from_str(model), {}
-        for batch in chunks(batches, "text"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+        known = WordIds(Tokenizer.from_str(model))
+        for batch in chunks(batches, "text", 1_000_000):
             texts = [t.as_py().encode("utf-8").split() for t in batch.column("text")]
-            new = list({w for words in texts for w in words if w not in known})
-            if len(known) + len(new) > REMEMBERED:
-                known = {}
-                new = list({w for words in texts for w in words})
-            for i in range(0, len(new), 10_000):
-                part = new[i:i + 10_000]
-                for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
             tail = np.array([end_id], "<u4").tobytes()
             cols = [[], [], [], [], [], []]
             for d, h, words in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts):
