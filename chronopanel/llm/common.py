@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: pattern of what lies between words
 BLANKS = r"[\x20\x09-\x0D]+"
 #: texts are handed on in pieces of about this many bytes inside a task
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 3_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -96,7 +96,7 @@ class Model:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for batch in chunks(batches, "text", 2_000_000):
+    for batch in chunks(batches, "text", 1_000_000):
         langs = batch.column("lang").to_pylist()
         local = {x: i for i, x in enumerate(dict.fromkeys(langs))}
         which = np.array([local[x] for x in langs])
@@ -130,7 +130,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     right, seen = np.ones(code.shape), np.ones((len(languages), 1))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 2_000_000):
+        for batch in chunks(batches, "text", 1_000_000):
             which = np.searchsorted(languages, batch.column("lang").to_pylist())
             ok = model.margins(batch.column("text")) * code[which] > 0
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array([x.tobytes() for x in ok], pa.binary())], names=["lang", "ok"])
@@ -151,7 +151,7 @@ def predict(text: Column, model: Model) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             names, scores = [], []
-            for part in chunks([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", 2_000_000):
+            for part in chunks([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", 1_000_000):
                 if model.code.size:
                     best, score = model.decode(model.margins(part.column("text")))
                 else:
