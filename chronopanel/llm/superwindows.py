@@ -15,6 +15,7 @@ windows meet, and a task sends equal pieces once: later copies are settled where
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -229,6 +230,16 @@ class Pieces:
     text: list[bytes]
 
 
+def touching(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of documents, those of one document that overlap or touch made one."""
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    far = doc * (int(stop.max()) + 1)  # documents lie one after the other
+    reach = np.maximum.accumulate(far + stop)
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | ((far + start)[1:] > reach[:-1])))
+    return doc[first], start[first], (reach - far)[np.append(first[1:], len(doc)) - 1]
+
+
 Settle = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
@@ -259,17 +270,16 @@ def dealer(symbols: Callable, width: int, gram: int, buckets: int, hot: np.ndarr
                     whom = [i for i in same[1:] if (doc[i], begin[i]) != (doc[first], begin[first])
                             and (ids[doc[i]], hashes[doc[i]], begin[i]) != (ids[doc[first]], hashes[doc[first]], begin[first])] if keep_first else same
                     spans += whom
-            if spans:
-                d = doc[spans]
-                yield_spans = packed([ids[d], hashes[d], begin[spans], begin[spans] + runs.count[spans] + width - 1])
             bucket = (runs.value[send] >> np.uint64(8)) % np.uint64(buckets)
             order = np.flatnonzero(send)[np.argsort(bucket, kind="stable")]
             bucket = (runs.value[order] >> np.uint64(8)) % np.uint64(buckets)
             edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
             names, blobs = [], []
             if spans:
-                names.append(buckets + int(bucket[0]) % buckets)
-                blobs.append(yield_spans)
+                d, start, stop = touching(doc[spans], begin[spans], begin[spans] + runs.count[spans] + width - 1)
+                blobs.append(packed([ids[d], hashes[d], start, stop]))
+                # settled already: any group will do, and the blobs spread over as many as there are buckets
+                names.append(buckets + zlib.crc32(blobs[-1]) % buckets)
             for a, b in zip(edges[:-1], edges[1:]):
                 i = order[a:b]
                 names.append(int(bucket[a]))

@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -287,6 +288,30 @@ def test_long_documents_are_cut_in_overlapping_stretches(monkeypatch):
     assert sorted(windows.tolist()) == [i for a, b in zip(offsets[:-1], offsets[1:]) for i in range(a, b - 19)]
 
 
+def test_spans_settled_in_a_chunk_are_few_and_spread_over_groups():
+    rng, buckets, seen, n = np.random.default_rng(6), 16, {}, 0
+    for k in range(64):
+        text = bytes(rng.integers(97, 123, 4_000, dtype=np.uint8)).decode()
+        batch = pa.record_batch({"doc_id": pa.array([3 * k, 3 * k + 1, 3 * k + 2]), "text_hash": pa.array([1, 1, 1]), "text": [text, text, "X" + text[:-9] + "Y"]})
+        deal = superwindows.dealer(superwindows.byte_symbols, 100, 16, buckets, np.array([1, 0]), True)  # all is hot
+        for bucket, blob in zip(*[c.to_pylist() for c in next(deal(iter([batch])))]):
+            if bucket >= buckets:
+                spans = list(zip(*[x.tolist() for x in superwindows.unpacked(blob, superwindows.SPAN)]))
+                assert spans == [(3 * k + 1, 1, 0, 4_000), (3 * k + 2, 1, 1, 3_992)]
+                seen[bucket], n = seen.get(bucket, 0) + 1, n + 1
+    assert n == 64 and len(seen) > buckets // 2 and max(seen.values()) < 16
+
+
+def test_touching_spans_become_one():
+    rng = np.random.default_rng(7)
+    doc, start = rng.integers(0, 5, 200), rng.integers(0, 400, 200)
+    stop = start + rng.integers(1, 6, 200)
+    covered = {(d, i) for d, a, b in zip(doc.tolist(), start.tolist(), stop.tolist()) for i in range(a, b)}
+    got = list(zip(*[x.tolist() for x in superwindows.touching(doc, start, stop)]))
+    assert [(d, i) for d, a, b in got for i in range(a, b)] == sorted(covered)
+    assert all(d != e or b < c for (d, _, b), (e, c, _) in zip(got, got[1:]))
+
+
 # --- language
 
 def test_language(spark, docs, empty):
