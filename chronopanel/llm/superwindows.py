@@ -101,7 +101,9 @@ def _segment_runs(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, wi
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
     enters, leaves = (np.add.reduceat(x.astype(np.int32), first) for x in (grams[at + w - 1] == value, grams[at] == value))
-    twice = (count > w) | (enters > 1) | (leaves > 1) | ((enters > 0) & (leaves > 0) & (count != w))
+    # in w windows one place both enters and leaves: the last gram of the first window
+    one_place = (count == w) & (grams[at[first] + w - 1] == value[first])
+    twice = (count > w) | (enters > 1) | (leaves > 1) | ((enters > 0) & (leaves > 0) & ~one_place)
     if count.max(initial=0) > LONGEST_RUN:
         parts = -(-count // LONGEST_RUN)
         within = ragged(np.zeros(len(parts), np.int64), parts) * LONGEST_RUN

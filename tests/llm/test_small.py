@@ -244,6 +244,44 @@ def test_earlier_bytes(docs, empty, hot, monkeypatch):
     assert suffix_dedup.remove_earlier(empty).count() == 0
 
 
+def periodic(rng, size, period):
+    unit = rng.integers(97, 123, period, dtype=np.uint8)
+    return np.resize(unit, size)
+
+
+def test_equal_windows_of_one_run_are_seen():
+    rng = np.random.default_rng(8)
+    for width, gram in ((100, 16), (35, 4)):
+        for size in range(width + 1, 2 * width + 20):
+            for period in (size - width, width - gram, (size - width) // 2 + 1):
+                codes = periodic(rng, size, period)
+                b, at = codes.tobytes(), {}
+                runs = superwindows.runs_of(codes, np.array([0, size]), width, gram)
+                for i, (a, c) in enumerate(zip(runs.start.tolist(), runs.count.tolist())):
+                    for j in range(a, a + c):
+                        at.setdefault(b[j:j + width], []).append(i)
+                assert all(runs.twice[i] for same in at.values() for i in same if same.count(i) > 1)
+
+
+@pytest.mark.parametrize("hot", [8_000, 2])
+def test_repeats_inside_one_document(spark, hot, monkeypatch):
+    monkeypatch.setattr(superwindows, "HOT_PIECES", hot)
+    rng = np.random.default_rng(9)
+    text = [periodic(rng, n, 70).tobytes().decode() for n in [184] * 60 + list(range(165, 205))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "doc_id long, text string")
+    want = earlier(df, 100)
+    got = suffix_dedup.remove_earlier(df).select("doc_id", F.hash("text").alias("h"), "dedup.*").collect()
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[(r.doc_id, r.h)] for r in got)
+    assert len(got) == 100 and sum(r.n_removed for r in got) == sum(max(0, len(t) - 70) for t in text if len(t) >= 170)
+    lists = [[f"{i}w{v}" for v in periodic(rng, n, 25)] for i, n in enumerate([66] * 60 + list(range(50, 90)))]
+    want = []
+    for i, w in enumerate(lists):
+        k = [tuple(w[j:j + 35]) for j in range(len(w) - 34)]
+        want.append((i, len({j + x for j, y in enumerate(k) if k.count(y) > 1 for x in range(35)})))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lists)], "doc_id long, text string")
+    assert tally(substring_dedup.remove_repeats(df).select("doc_id", "dedup.n_removed"), ["doc_id", "n_removed"]) == sorted(want, key=repr)
+
+
 def test_merged_transforms_are_the_sorted_suffixes():
     rng = np.random.default_rng(0)
     text = [bytes(rng.integers(97, 99, n, dtype=np.uint8)) for n in (60, 45, 44, 90, 120, 44)]
