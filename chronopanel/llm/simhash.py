@@ -138,24 +138,31 @@ def traverse(trie: np.ndarray, node: np.ndarray, skip: int, budget: int) -> np.n
     return label
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Links (a, b) whose classes are those of all pairs of ``fp`` within ``budget`` bits. ``distinct`` holds
-    each fingerprint once and is read twice: stage it."""
+def dealt(distinct: DataFrame, budget: int = BUDGET, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The nodes (turn, block, pair) of each ``fp`` and the task of each node; a task has about ``task_rows``
+    rows, the parts of crowded nodes included."""
     cut = blocks(budget)
     n = distinct.count()
     rows = distinct.select("fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", BITS - a - w).bitwiseAND((1 << w) - 1) for a, w in cut])).alias("turn", "block"))
     crowded = rows.groupBy("turn", "block").count().where(F.col("count") > task_rows)
-    crowded = stage(crowded.select("turn", "block", F.ceil(F.col("count") / (task_rows / 2)).cast("int").alias("parts")), "nodes")
-    tasks = max(1, round(n * len(cut) / task_rows))
-    if crowded.isEmpty():
-        dealt = rows.withColumn("pair", F.lit(0))
+    crowded = stage(crowded.select("turn", "block", "count", F.ceil(F.col("count") / (task_rows / 2)).cast("int").alias("parts")), "nodes")
+    more = crowded.agg(F.sum(F.col("count") * (F.col("parts") - 1)).alias("n")).first()["n"] or 0
+    tasks = max(1, round((n * len(cut) + more) / task_rows))
+    if not more:
+        out = rows.withColumn("pair", F.lit(0))
     else:
         # every two of a crowded node's parts meet in one task
         part = F.pmod(F.xxhash64("fp"), F.col("parts"))
         others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(q, F.col("part")) * 65_536 + F.greatest(q, F.col("part")))
-        dealt = rows.join(crowded, ["turn", "block"], "left").withColumn("part", part)
-        dealt = dealt.withColumn("pair", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others))).drop("parts", "part")
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("turn", "block", "pair"), F.lit(tasks)))
+        out = rows.join(crowded.drop("count"), ["turn", "block"], "left").withColumn("part", part)
+        out = out.withColumn("pair", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others))).drop("parts", "part")
+    return out.withColumn("task", F.pmod(F.xxhash64("turn", "block", "pair"), F.lit(tasks)))
+
+
+def links(distinct: DataFrame, budget: int = BUDGET, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Links (a, b) whose classes are those of all pairs of ``fp`` within ``budget`` bits. ``distinct`` holds
+    each fingerprint once and is read twice: stage it."""
+    cut = blocks(budget)
 
     def join(table: pa.Table) -> pa.Table:
         fp, turn, block, pair = (table.column(c).to_numpy() for c in ("fp", "turn", "block", "pair"))
@@ -175,7 +182,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, task_rows: int = TASK_ROWS)
         a, b = np.concatenate(out, axis=1).view(np.int64)
         return pa.table({"a": a, "b": b})
 
-    return dealt.groupBy("task").applyInArrow(join, "a long, b long")
+    return dealt(distinct, budget, task_rows).groupBy("task").applyInArrow(join, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -176,6 +176,12 @@ def test_trie_join_links_what_all_pairs_link(spark, task_rows):
     assert got == want
 
 
+def test_tasks_grow_with_the_parts_of_a_crowded_node(spark):
+    x = np.random.default_rng(10).integers(0, 1 << 51, 4_000, dtype=np.int64)  # one node in the first turn
+    rows = simhash.dealt(spark.createDataFrame([(int(v),) for v in np.unique(x)], "fp long"), 4, 400).groupBy("task").count().toPandas()["count"]
+    assert rows.sum() > 90_000 and rows.mean() < 500
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 230)] + [(7, 8), (8, 7), (9, 9)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
