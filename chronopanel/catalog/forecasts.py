@@ -264,7 +264,7 @@ def _(spark, sf):
 @query("v7_rolling_origin_refit")
 def _(spark, sf):
     p = hourly(spark, sf)
-    pairs = validation.rolling_origin(p, {"ETS": (smoothing.ets, {"seasonal_periods": 24}, 720), "ARIMA": (arima.arima, {}, 720)}, 6, 0.8, 4)
+    pairs = validation.rolling_origin(p, {"ETS": (smoothing.ets, {"seasonal_periods": 24}, None), "ARIMA": (arima.arima, {}, None)}, 6)
     return rounded(validation.score(pairs, ["event_type", "model"]))
 
 

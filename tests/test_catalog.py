@@ -29,3 +29,11 @@ def test_entry_and_names(spark):
 @pytest.mark.parametrize("name", ["s4_list_files", "t4_adf", "m3_arima", "m4_ets", "a6_isolation_forest", "x2_inverse"])
 def test_rows_only_queries_run(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
+
+
+def test_refits_see_the_whole_history_at_all_windows(spark, monkeypatch):
+    from chronopanel.catalog import forecasts
+    real, seen = forecasts.validation.origin_panel, []
+    monkeypatch.setattr(forecasts.validation, "origin_panel", lambda p, origins, context, n: seen.append((context, n)) or real(p, origins, context, n))
+    entry.queries()["v7_rolling_origin_refit"](spark, SF)
+    assert seen == [(None, 50)] * 2
