@@ -17,17 +17,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.components import components, merged_labels
 from ..shared import stage
 from .common import chunks, names
 
 BITS, BUDGET, SHINGLE = 64, 4, 4
-#: fingerprints a task traverses together; a node with more is cut into parts
+#: fingerprints a task traverses together
 TASK_ROWS = 150_000
+#: a node with more fingerprints is cut into parts
+NODE_ROWS = 20_000
 #: node pairs on one level of a traversal handled at once
 FRONTIER = 1 << 18
 
@@ -70,24 +72,6 @@ def blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def merged_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (the least member of each class) after joining the classes of a[i] and b[i]."""
-    while True:
-        x, y = label[a], label[b]
-        open_ = x != y
-        if not open_.any():
-            return label
-        a, b = a[open_], b[open_]
-        high, low = np.maximum(x[open_], y[open_]), np.minimum(x[open_], y[open_])
-        label = label.copy()
-        np.minimum.at(label, high, low)
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label = up
-
-
 def traverse(trie: np.ndarray, node: np.ndarray, skip: int, budget: int) -> np.ndarray:
     """Class labels of sorted rows (node, trie) where rows of one node link if their ``trie`` bits differ in
     at most ``budget`` places. The first ``skip`` bits are equal within a node.
@@ -138,14 +122,15 @@ def traverse(trie: np.ndarray, node: np.ndarray, skip: int, budget: int) -> np.n
     return label
 
 
-def dealt(distinct: DataFrame, budget: int = BUDGET, task_rows: int = TASK_ROWS) -> DataFrame:
+def dealt(distinct: DataFrame, budget: int = BUDGET, task_rows: int = TASK_ROWS, node_rows: int = NODE_ROWS) -> DataFrame:
     """The nodes (turn, block, pair) of each ``fp`` and the task of each node; a task has about ``task_rows``
     rows, the parts of crowded nodes included."""
     cut = blocks(budget)
+    node_rows = min(node_rows, task_rows)
     n = distinct.count()
     rows = distinct.select("fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", BITS - a - w).bitwiseAND((1 << w) - 1) for a, w in cut])).alias("turn", "block"))
-    crowded = rows.groupBy("turn", "block").count().where(F.col("count") > task_rows)
-    crowded = stage(crowded.select("turn", "block", "count", F.ceil(F.col("count") / (task_rows / 2)).cast("int").alias("parts")), "nodes")
+    crowded = rows.groupBy("turn", "block").count().where(F.col("count") > node_rows)
+    crowded = stage(crowded.select("turn", "block", "count", F.ceil(F.col("count") / (node_rows / 2)).cast("int").alias("parts")), "nodes")
     more = crowded.agg(F.sum(F.col("count") * (F.col("parts") - 1)).alias("n")).first()["n"] or 0
     tasks = max(1, round((n * len(cut) + more) / task_rows))
     if not more:
@@ -159,7 +144,7 @@ def dealt(distinct: DataFrame, budget: int = BUDGET, task_rows: int = TASK_ROWS)
     return out.withColumn("task", F.pmod(F.xxhash64("turn", "block", "pair"), F.lit(tasks)))
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, task_rows: int = TASK_ROWS) -> DataFrame:
+def links(distinct: DataFrame, budget: int = BUDGET, task_rows: int = TASK_ROWS, node_rows: int = NODE_ROWS) -> DataFrame:
     """Links (a, b) whose classes are those of all pairs of ``fp`` within ``budget`` bits. ``distinct`` holds
     each fingerprint once and is read twice: stage it."""
     cut = blocks(budget)
@@ -182,24 +167,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, task_rows: int = TASK_ROWS)
         a, b = np.concatenate(out, axis=1).view(np.int64)
         return pa.table({"a": a, "b": b})
 
-    return dealt(distinct, budget, task_rows).groupBy("task").applyInArrow(join, "a long, b long")
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Least member ``root`` of the component of every ``node`` that has an edge (a, b), by alternating
-    large-star and small-star rounds; each round's links are written to the shared folder."""
-    edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    for _ in range(most_rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        new = stage(small.select("e.*").where("u <> v").distinct(), "links")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = new
-    raise RuntimeError("components did not settle")
+    return dealt(distinct, budget, task_rows, node_rows).groupBy("task").applyInArrow(join, "a long, b long")
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, budget: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
