@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, fingerprint, host_quality, language_id, packing, sharding, simhash, substring_dedup, suffix_dedup, url_filter
+from . import byte_bpe, fingerprint, hard_negatives, host_quality, importance, jaccard_join, language_id, packing, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,38 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
     return fingerprint.compare_edits(documents(spark, sf))
+
+
+@query("op11_importance_resampling")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw that resembles ``benchmark``."""
+    return importance.resample(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+OP12_SQL = """
+WITH good AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2]))::BIGINT AS s
+  FROM good a JOIN good b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, s AS negative_score
+FROM pos JOIN pairs USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s AND 100 * s <= 100 * positive_score
+QUALIFY rank <= 5"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every hundredth vector."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_ngram_jaccard_join")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Size of the shingle set and component of every document."""
+    return jaccard_join.link_documents(documents(spark, sf))
