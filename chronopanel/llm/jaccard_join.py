@@ -329,7 +329,7 @@ def _tiles(members: DataFrame, bands: Bands, tile: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, least: int = LEAST, tile: int = TILE_ELEMENTS) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, text_hash, n, name of its set), and (name, component_id, first row) of every nonempty set."""
+    """The rows (doc_id, text_hash, n, name of its set), and (name, root, component_id) of every nonempty set."""
     parts = stage(_sets(docs, doc_id, text, gram, least), "sets")
     rows = parts.where("bucket IS NULL").select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("name")).alias("name"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
@@ -356,7 +356,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: i
     found = components(met.groupBy("task").applyInArrow(join, "u long, v long"), "u", "v")
     member = sets.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     roots = member.groupBy("root").agg(F.min("first").alias("first"))
-    return rows, member.select("name", "root").join(roots, "root").select("name", F.col("first.doc_id").alias("component_id"), "first")
+    return rows, member.select("name", "root").join(roots, "root").select("name", "root", F.col("first.doc_id").alias("component_id"))
 
 
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, least: int = LEAST, tile: int = TILE_ELEMENTS) -> DataFrame:

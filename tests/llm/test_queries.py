@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from chronopanel.llm import host_quality
-from test_small import print_of, roots
+from test_small import alike, group_of, roots
 
 SF = "/root/testdata/sf0.001"
 
@@ -155,7 +155,7 @@ def test_pipeline(spark, table):
         n, _, _, _, repeated = measured[d]
         if n >= 50 and 100 * repeated <= 50 * n:
             docs.append((d, t))
-    root = roots([print_of(t) for _, t in docs], lambda a, b: (a ^ b).bit_count() <= 4)
+    root = roots([group_of(t) for _, t in docs], alike)
     docs = [x for i, x in enumerate(docs) if root[i] == i]
     words, left = kept_words([t for _, t in docs])
     texts = {d: t if len(w) == len(k) else b" ".join(k).decode() for (d, t), w, k in zip(docs, words, left)}

@@ -122,9 +122,9 @@ def test_bad_host_rejects_its_documents(spark):
 
 # --- near-duplicates
 
-def print_of(t):
+def print_of(t, k=4):
     w = words((t or "").lower() if (t or "").isascii() else "".join(c.lower() if c.isascii() else c for c in t))
-    h = [xxhash.xxh64_intdigest(b" ".join(w[i:i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i:i + k]), 42) for i in range(max(1, len(w) - k + 1))] if w else []
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
@@ -159,6 +159,52 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_per_component(empty).count() == 0
 
 
+def group_of(t):
+    """Fingerprint and set of five-word shingles."""
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+    return print_of(t, 5), {b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    near = min(len(a[1]), len(b[1])) * 5 >= 4 * max(len(a[1]), len(b[1])) and 5 * len(a[1] & b[1]) >= 4 * len(a[1] | b[1])
+    return (a[0] ^ b[0]).bit_count() <= 4 or near
+
+
+def test_one_per_group(docs, empty):
+    r = ordered(docs)
+    root = roots([group_of(x.text) for x in r], alike)
+    first = {}
+    for x, c in zip(r, root):
+        key = (x.doc_id is None, x.doc_id or 0, x.h)
+        first[c] = min(first.get(c, key), key)
+    kept = simhash.one_per_group(docs)
+    got = kept.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.h) for x in got) == sorted(first.values())
+    assert kept.columns == docs.columns and simhash.one_per_group(empty).count() == 0
+
+
+def test_groups_find_pairs_at_each_similarity(spark):
+    """Recall of pairs of random texts with edited words, by their Jaccard similarity."""
+    rng = np.random.default_rng(12)
+    rows, band = [], {}
+    for words in (150, 600):
+        for edits in (0.005, 0.01, 0.02):
+            for _ in range(60):
+                base = [f"w{x}" for x in rng.integers(0, 5_000, words)]
+                other = list(base)
+                for k in rng.choice(words, max(1, int(words * edits)), replace=False):
+                    other[k] = f"e{rng.integers(0, 10**9)}"
+                a, b = (group_of(" ".join(x))[1] for x in (base, other))
+                j = len(a & b) / len(a | b)
+                if j >= 0.8:
+                    band.setdefault(0.95 if j >= 0.95 else 0.9 if j >= 0.9 else 0.8, []).append(len(rows))
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    kept = {r.doc_id for r in simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert min(map(len, band.values())) > 20 and set(band) == {0.8, 0.9, 0.95}
+    for pairs in band.values():  # of each pair the smaller id stays, and the other goes
+        assert all(i in kept and i + 1 not in kept for i in pairs)
+
+
 @pytest.mark.parametrize("task_rows", [100_000, 40])
 def test_trie_join_links_what_all_pairs_link(spark, task_rows):
     rng = np.random.default_rng(3)
