@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..shared import BROADCAST_ROWS, stage
 from .common import fields, names
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -75,7 +76,7 @@ def host_rates(measured: DataFrame, host: str) -> DataFrame:
     variance between hosts is v = sum n_i (p_i - m)^2 / sum n_i - m (1 - m) H / sum n_i; the prior weighs
     s = m (1 - m) / v - 1 documents, held between 1 and 10000."""
     fails = [F.sum(F.expr(f"CASE WHEN {cond.format(m='')} THEN 1 ELSE 0 END")).alias(f"k_{r}") for r, (cond, _) in RULES.items()]
-    hosts = measured.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), *fails)
+    hosts = stage(measured.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), *fails), "hosts")
     sums = hosts.agg(F.count(F.lit(1)).alias("h"), F.sum("n").alias("n"), *[F.sum(f"k_{r}").alias(f"k_{r}") for r in RULES],
                      *[F.sum(F.expr(f"cast(k_{r} as double) * k_{r} / n")).alias(f"q_{r}") for r in RULES]).first()
     failed = F.lit(False)
@@ -95,10 +96,13 @@ def judge_documents(docs: DataFrame, text: str = "text", host: str = "source") -
     and kept (neither failed).
 
     A null text has no words and fails; a null host is no host and never rejects its documents; repeated
-    rows count as often as they occur; an empty table stays empty. Reads ``docs`` twice (once for the hosts)."""
+    rows count as often as they occur; an empty table stays empty. Reads ``docs`` twice (once for the hosts). The
+    hosts are broadcast if they are counted to be few; otherwise the documents are joined with them by host."""
     docs = docs.drop("quality")
     m = docs.select(F.col(host).alias("host"), measures(F.col(text)).alias("m")).select("host", "m.*")
     hosts = host_rates(m, "host").select(F.col("host").alias("__host"), F.col("host_failed").alias("__host_failed"))
+    if hosts.count() <= BROADCAST_ROWS:
+        hosts = F.broadcast(hosts)
     base = " OR ".join(f"({RULES[r][0].format(m='__m.')})" for r in BASE)
     out = docs.withColumn("__m", measures(F.col(text))).join(hosts, F.col(host) == F.col("__host"), "left")
     out = out.withColumn("__base", F.expr(base)).withColumn("__bad", F.coalesce("__host_failed", F.lit(False)))

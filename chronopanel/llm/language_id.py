@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..shared import stage
 from .common import chunks, fields, ragged, utf8
 
 SIZES = (2, 3, 4)
@@ -112,7 +113,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Model of ``labelled`` (lang, text); rows with a null in either are left out. Bits are weighed by their
-    accuracy on the ``sample`` rows with the least hash of their text."""
+    accuracy on ``sample`` different texts, those with the least hash (hashes are ranked, only the chosen texts move)."""
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).na.drop()
     found = rows.mapInArrow(_counts, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(found["lang"]))
@@ -126,7 +127,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     for j, bit in enumerate(code.T):
         weights[:SLOTS, j] = np.log(share[bit > 0].mean(0)) - np.log(share[bit < 0].mean(0))
     model = Model(languages, code, weights, np.full(code.shape, 1 / code.shape[1]))
-    held = rows.select("lang", "text", F.xxhash64("text").alias("h")).orderBy("h", "lang").limit(sample).select("lang", "text")
+    hashed = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    least = stage(hashed.select("h", "lang").distinct().orderBy("h", "lang").limit(sample), "sample")
+    held = hashed.join(F.broadcast(least), ["h", "lang"]).dropDuplicates(["h", "lang"]).select("lang", "text")
     right, seen = np.ones(code.shape), np.ones((len(languages), 1))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
