@@ -5,11 +5,13 @@ from __future__ import annotations
 import pickle
 from collections import defaultdict
 from itertools import product
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..shared import key_join, stage
+from . import smoothing_scan
 from .panel import Panel
 
 LEVEL_GRID = (0.05, 0.2, 0.4, 0.6, 0.8, 0.95)
@@ -31,9 +33,8 @@ def ets(p: Panel, horizon: int, trend: str = "add", seasonal: str = "add", seaso
     """M4: Holt-Winters; smoothing parameters by least squares on a grid with one zoom round, or given
     as ``parameters`` (level, trend, season).
 
-    The whole history is used (``context``: only its last rows).  A series longer than a block is
-    smoothed block by block: the states of all parameter sets are written after each block and carried
-    into the next, for all series at once.
+    The whole history is used (``context``: only its last rows).  The blocks of a long series are smoothed in
+    parallel where the update is additive; multiplicative states are carried from block to block.
 
     Multiplicative parts become additive where the data are not strictly positive; a season
     longer than half the history falls back to simple smoothing (``fallback``)."""
@@ -171,17 +172,49 @@ def _fit(series: list[np.ndarray], horizon: int, options) -> list[tuple[np.ndarr
 
 
 def _long(p: Panel, horizon: int, options) -> DataFrame:
-    """The same for series longer than a block: one staged state per series and block."""
+    """The same for series longer than a block: additive updates of all blocks at once (``smoothing_scan``),
+    multiplicative ones, whose update is not affine, block after block."""
     sp, keys, y = options[2], p.keys, p.y.cast("double")
     present = p.derive(p.df.select(*keys, p.spec.time, *p.spec.tie, y.alias("__y")).where("__y IS NOT NULL AND NOT isnan(__y)"), target="__y", features=())
     rows, _ = present.blocked()
     ordered = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("idx", "__y")))), lambda r: r["__y"])
-    blocks = stage(rows.where("__core").groupBy(*keys, "__block").agg(ordered(F.lit(True)).alias("values")), "ets-blocks")
+    blocks = rows.where("__core").groupBy(*keys, "__block").agg(ordered(F.lit(True)).alias("values"), F.min("idx").alias("t"))
     facts = rows.where("__core").groupBy(*keys).agg(F.max("n").alias("n"), F.min("__y").alias("low"), ordered(F.col("idx") < max(2 * sp, 2)).alias("head"),
-                                                    F.max_by("__y", "idx").alias("last"))
+                                                    F.max_by("__y", "idx").alias("last"), (F.max("__block") + 1).alias("blocks"))
     facts = stage(facts, "ets-facts")
-    schema = T.StructType([*[facts.schema[k] for k in keys], T.StructField("state", T.BinaryType())])
+    # as in _modes: a series is smoothed multiplicatively only if it is long enough and positive
+    curved = F.lit("mul" in options[:2]) & (F.col("low") > 0) & (F.col("n") >= (max(4, 2 * sp) if options[1] != "none" else 4))
+    some = stage(facts.groupBy(curved.alias("curved")).count(), "ets-kinds")
+    kinds = {r["curved"] for r in some.collect()}
+    best = None
+    if False in kinds:
+        flat = facts.where(~curved)
+        here = stage(key_join(blocks, flat.select(*keys), keys), "ets-blocks") if True in kinds else stage(blocks, "ets-blocks")
+        best = smoothing_scan.fit(keys, here, flat, options, _TOOLS)
+    if True in kinds:
+        bent = facts.where(curved)
+        found = _folded(p, stage(key_join(blocks, bent.select(*keys), keys), "ets-blocks", by="__block"), bent, options)
+        best = found if best is None else best.union(found)
+
+    def paths(batches):
+        for b in batches:
+            made = []
+            for _, r in b.iterrows():
+                trend, seasonal, fallback = _modes(r["n"], r["low"], options)
+                made.append(_path(pickle.loads(r["best"]), trend, seasonal, sp, horizon, r["last"], fallback))
+            yield b[keys].assign(yhat=[f.tolist() for f, _ in made], fallback=[x for _, x in made])
+
     result = T.StructType([*[facts.schema[k] for k in keys], T.StructField("yhat", T.ArrayType(T.DoubleType())), T.StructField("fallback", T.BooleanType())])
+    if best is None:
+        return facts.select(*keys, F.array().cast("array<double>").alias("yhat"), F.lit(True).alias("fallback"))
+    return key_join(facts, best, keys).mapInPandas(paths, result)
+
+
+def _folded(p: Panel, blocks: DataFrame, facts: DataFrame, options) -> DataFrame:
+    """(keys, best) by a fold from block to block: one staged state per series, a job per block that reads its
+    block only."""
+    sp, keys = options[2], p.keys
+    schema = T.StructType([*[facts.schema[k] for k in keys], T.StructField("state", T.BinaryType())])
     order = [r[0] for r in blocks.select("__block").distinct().orderBy("__block").collect()]  # at most longest / block_rows
 
     def start(best: bool):
@@ -214,14 +247,6 @@ def _long(p: Panel, horizon: int, options) -> DataFrame:
                 made.append(pickle.dumps(new if old is None or new["sse"] <= old["sse"] else old))
             yield b[keys].assign(state=made)
 
-    def paths(batches):
-        for b in batches:
-            made = []
-            for _, r in b.iterrows():
-                trend, seasonal, fallback = _modes(r["n"], r["low"], options)
-                made.append(_path(pickle.loads(r["best"]), trend, seasonal, sp, horizon, r["last"], fallback))
-            yield b[keys].assign(yhat=[f.tolist() for f, _ in made], fallback=[x for _, x in made])
-
     best = facts.select(*keys, F.lit(None).cast("binary").alias("best"))
     for zoom in (False, True) if options[3] is None else (False,):
         state = stage(key_join(facts, best, keys).mapInPandas(start(zoom), schema), "ets-state")
@@ -229,4 +254,7 @@ def _long(p: Panel, horizon: int, options) -> DataFrame:
             here = blocks.where(F.col("__block") == block).select(*keys, "values")
             state = stage(key_join(key_join(state, facts.select(*keys, "n", "low"), keys), here, keys, "left").mapInPandas(carry, schema), "ets-state")
         best = stage(key_join(state, best, keys).mapInPandas(choose, schema), "ets-best").withColumnRenamed("state", "best")
-    return key_join(facts, best, keys).mapInPandas(paths, result)
+    return best
+
+
+_TOOLS = SimpleNamespace(modes=_modes, grid=_grid, around=_around, begin=_begin, advance=_advance, least=_least)

@@ -72,10 +72,11 @@ def stage_all(parts: list[DataFrame], name: str = "stage", at_once: int = 4) ->
         return list(pool.map(lambda d: stage(d, name), parts))
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives
-    lost executors, and gives later joins an exact size to plan with."""
+    lost executors, and gives later joins an exact size to plan with.  ``by``: a folder for each
+    value of this column, so that a filter on it reads its rows only."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
