@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, density, explain, isolation_forest, prep, profile
+from ..operators import anomaly, clusters, density, explain, isolation_forest, prep, profile
 from ..plans.report import facts, report
+from ..shared import key_join
 from .data import HOURLY, IX, SHIPPED, hourly, kept, query, r, rounded, shipped
 from .series import CLASSICAL
 
@@ -101,6 +102,41 @@ def _(spark, sf):
     return density.dbscan(p, p.df, eps=0.3).select("event_type", "ts", "flag_dbscan")
 
 
+NEAR = "sqrt((p.x - q.x) ** 2 + (p.u - q.u) ** 2 + (p.v - q.v) ** 2) <= 0.3"
+
+
+@query("a7_dbscan_grid_clusters", f"""WITH RECURSIVE {HOURLY}, s AS (SELECT event_type, stddev_pop(y) a, stddev_pop(cnt) b, stddev_pop(users) c FROM hourly GROUP BY 1),
+  z AS (SELECT h.event_type, ts, y / a AS x, cnt / b AS u, users / c AS v FROM hourly h JOIN s USING (event_type)),
+  nb AS (SELECT p.event_type, p.ts, q.ts AS other FROM z p JOIN z q ON p.event_type = q.event_type AND {NEAR}),
+  co AS (SELECT event_type, ts, count(*) >= 5 AS core FROM nb GROUP BY 1, 2),
+  id AS (SELECT event_type, ts, row_number() OVER (ORDER BY event_type, x, u, v, ts) AS n FROM z JOIN co USING (event_type, ts) WHERE core),
+  e AS MATERIALIZED (SELECT a.n AS a, b.n AS b FROM nb JOIN id a ON nb.event_type = a.event_type AND nb.ts = a.ts JOIN id b ON nb.event_type = b.event_type AND nb.other = b.ts),
+  l(n, c) USING KEY (n) AS (SELECT a, a FROM e GROUP BY 1 UNION
+    SELECT e.b, min(l.c) FROM l JOIN e ON l.n = e.a JOIN recurring.l AS r ON r.n = e.b WHERE l.c < r.c GROUP BY 1),
+  named AS (SELECT event_type, ts, dense_rank() OVER (PARTITION BY event_type ORDER BY c) - 1 AS k FROM id JOIN l USING (n)),
+  own AS (SELECT nb.event_type, nb.ts, min(k) AS touched FROM nb JOIN named ON nb.event_type = named.event_type AND nb.other = named.ts GROUP BY 1, 2)
+  SELECT event_type, ts, core, coalesce(k, touched)::BIGINT AS cluster FROM co LEFT JOIN named USING (event_type, ts) LEFT JOIN own USING (event_type, ts)""")
+def _(spark, sf):
+    p = hourly(spark, sf, True)
+    found = clusters.cluster_points(p, eps=0.3)
+    return key_join(p.df, found, ["event_type", "y", "cnt", "users"]).select("event_type", "ts", "core", "cluster")
+
+
+@query("a7_grid_cluster_counts", f"""WITH RECURSIVE {SHIPPED}, s AS (SELECT l_returnflag, stddev_pop(y) a, stddev_pop(price) b FROM shipped GROUP BY 1),
+  z AS (SELECT h.l_returnflag AS f, ts, y / a AS x, price / b AS u, 0 AS v FROM shipped h JOIN s USING (l_returnflag)),
+  nb AS (SELECT p.f, p.ts, q.ts AS other FROM z p JOIN z q ON p.f = q.f AND {NEAR.replace('0.3', '0.1')}),
+  co AS (SELECT f, ts, count(*) >= 5 AS core FROM nb GROUP BY 1, 2),
+  id AS (SELECT f, ts, row_number() OVER (ORDER BY f, ts) AS n FROM co WHERE core),
+  e AS MATERIALIZED (SELECT a.n AS a, b.n AS b FROM nb JOIN id a ON nb.f = a.f AND nb.ts = a.ts JOIN id b ON nb.f = b.f AND nb.other = b.ts),
+  l(n, c) USING KEY (n) AS (SELECT a, a FROM e GROUP BY 1 UNION
+    SELECT e.b, min(l.c) FROM l JOIN e ON l.n = e.a JOIN recurring.l AS r ON r.n = e.b WHERE l.c < r.c GROUP BY 1),
+  noise AS (SELECT nb.f, nb.ts, NOT bool_or(co.core) AS noise FROM nb JOIN co ON nb.f = co.f AND nb.other = co.ts GROUP BY 1, 2)
+  SELECT f AS l_returnflag, count(*) FILTER (core) AS n_core, count(*) FILTER (noise) AS n_noise, count(DISTINCT c) AS n_clusters
+  FROM co JOIN noise USING (f, ts) LEFT JOIN id USING (f, ts) LEFT JOIN l USING (n) GROUP BY 1""")
+def _(spark, sf):
+    return clusters.cluster_summary(shipped(spark, sf), ["y", "price"], eps=0.1)
+
+
 @query("a8_vote", f"WITH {DET} SELECT event_type, ts, round(y, 6) + 0.0 AS y, flag_zscore, flag_mad, flag_rolling, flag_iqr, flag_zscore::BIGINT + flag_mad::BIGINT + flag_rolling::BIGINT + flag_iqr::BIGINT AS votes FROM det "
        "WHERE flag_zscore::INT + flag_mad::INT + flag_rolling::INT + flag_iqr::INT >= 2")
 def _(spark, sf):
