@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..shared import key_join, stage
+from ..shared import as_micros, from_micros, key_join, stage
 from .panel import Panel
 from .quantiles import interpolate, order_statistics
 
@@ -189,8 +189,8 @@ def stl(p: Panel, period: int, robust_passes: int = ROBUST_PASSES) -> DataFrame:
     """
     if p.longest > p.spec.block_rows:
         return _stl_blocks(p, period, robust_passes)
-    target = p.spec.target
-    ready = p.indexed()
+    target, rows = p.spec.target, p.indexed()
+    ready = as_micros(rows)
     added = [T.StructField(c, T.DoubleType()) for c in ("trend", "seasonal", "resid")]
 
     def run(table: pa.Table) -> pa.Table:
@@ -205,7 +205,7 @@ def stl(p: Panel, period: int, robust_passes: int = ROBUST_PASSES) -> DataFrame:
             table = table.append_column(field.name, col)
         return table
 
-    return ready.groupBy(*p.keys).applyInArrow(run, T.StructType([*ready.schema.fields, *added]))
+    return from_micros(ready.groupBy(*p.keys).applyInArrow(run, T.StructType([*ready.schema.fields, *added])), rows)
 
 
 def block_reach(period: int) -> int:
@@ -220,7 +220,8 @@ def _stl_blocks(p: Panel, period: int, robust_passes: int) -> DataFrame:
     y = p.y.cast("double")
     whole = ready.groupBy(*p.keys).agg(F.when(F.every(y.isNotNull() & ~F.isnan(y)), F.max("n")).otherwise(F.lit(0)).alias("__len"))
     reach = block_reach(period)
-    schema = T.StructType([*[ready.schema[k] for k in p.keys], T.StructField("pos", T.LongType()), T.StructField("__len", T.LongType()),
+    kind = as_micros(ready.select(*p.keys)).schema
+    schema = T.StructType([*kind.fields, T.StructField("pos", T.LongType()), T.StructField("__len", T.LongType()),
                            *[T.StructField(c, T.DoubleType()) for c in ("__y", "trend", "seasonal", "resid")]])
     state = p.attach(ready, whole).select(*p.keys, F.col("idx").alias("pos"), "__len", y.alias("__y"), F.lit(0.0).alias("trend"), F.lit(1.0).alias("__w"))
     keys = p.keys
@@ -242,7 +243,8 @@ def _stl_blocks(p: Panel, period: int, robust_passes: int) -> DataFrame:
     q = p.derive(state, time="pos", tie=(), target="__y")
     for k in range(robust_passes + 1):
         blocks, _ = q.blocked(reach, reach, df=state)
-        parts = stage(blocks.drop("idx", "n").groupBy(*keys, "__block").applyInArrow(run, schema), "stl-pass")
+        passed = as_micros(blocks.drop("idx", "n")).groupBy(*keys, "__block").applyInArrow(run, schema)
+        parts = stage(from_micros(passed, ready.select(*keys)), "stl-pass")
         if k < robust_passes:
             sized = parts.withColumn("__r", F.abs("resid"))
             mid = order_statistics(q, "__r", {"m": 0.5}, sized).select(*keys, (6 * interpolate("m")).alias("__s"))

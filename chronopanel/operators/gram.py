@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..shared import as_micros, from_micros
 from .panel import Panel
 
 
@@ -23,7 +24,7 @@ def block_sums(p: Panel, df: DataFrame, fn: Callable[[dict[str, np.ndarray]], np
     rows included, with ``idx``, ``n`` and ``core``) and returns the vector of that block."""
     blocks, _ = p.blocked(before, 0, df=df)
     keys = p.keys
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("cells", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*as_micros(df.select(*keys)).schema.fields, T.StructField("cells", T.ArrayType(T.DoubleType()))])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("idx")
@@ -32,7 +33,7 @@ def block_sums(p: Panel, df: DataFrame, fn: Callable[[dict[str, np.ndarray]], np
         return table.select(keys).slice(0, 1).append_column("cells", arr) if keys else pa.table({"cells": arr})
 
     need = [c for c in blocks.columns if c not in (p.spec.time, *p.spec.tie)]
-    parts = blocks.select(*need).groupBy(*keys, "__block").applyInArrow(run, schema)
+    parts = from_micros(as_micros(blocks.select(*need)).groupBy(*keys, "__block").applyInArrow(run, schema), df.select(*keys))
     cells = parts.select(*keys, F.posexplode("cells").alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
     packed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda r: r["v"])
     return cells.groupBy(*keys).agg(packed.alias("sums"))

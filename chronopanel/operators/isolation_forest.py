@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..shared import key_join, stage
+from ..shared import as_micros, from_micros, stage
 from .panel import Panel
 from .quantiles import quantiles
 
@@ -69,8 +69,8 @@ def fit_forest(p: Panel, columns, n_trees: int = TREES, sample: int = SAMPLE) ->
     """One row per (series, tree) with the node arrays.
 
     Every tree draws about twice its sample by hash and keeps ``sample`` rows of it.  In how many trees a
-    row is, one hash says (inverse binomial, the same rule at every length); in which, a second one.  The
-    hash covers the row's place in the table, so equal rows are drawn like any others."""
+    row is, one hash says (inverse binomial, the same rule at every length); in which, a second one.  Rows equal
+    in time and values are numbered, so they are drawn like any others and the forest depends on the rows only."""
     size = p.aggregate(F.count(F.lit(1)).alias("__n"))
     chances = T.StructType([*size.schema.fields, T.StructField("__chances", T.ArrayType(T.DoubleType()))])
 
@@ -80,7 +80,8 @@ def fit_forest(p: Panel, columns, n_trees: int = TREES, sample: int = SAMPLE) ->
 
     xs = [f"__x{i}" for i in range(len(columns))]
     rows = p.df.select(*p.keys, p.spec.time, *p.spec.tie, *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs)])
-    rows = rows.withColumn("__h", F.xxhash64(F.monotonically_increasing_id(), p.spec.time, *p.spec.tie, *xs))
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+    rows = rows.withColumn("__h", F.xxhash64("__copy", p.spec.time, *p.spec.tie, *xs)).drop("__copies", "__copy")
     rows = p.attach(rows, size.mapInPandas(spread, chances), cells=n_trees + 1)
     unit = F.pmod(F.xxhash64("__h", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     times = F.size(F.filter("__chances", lambda c: c <= F.col("__u")))
@@ -89,7 +90,7 @@ def fit_forest(p: Panel, columns, n_trees: int = TREES, sample: int = SAMPLE) ->
     rows = rows.withColumn("__u", unit).where(F.col("__u") >= F.col("__chances")[0]).withColumn("__times", times)
     drawn = rows.select(*p.keys, *xs, "__n", "__h", F.explode(which).alias("tree"))
     ints, reals = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
-    schema = T.StructType([*[drawn.schema[k] for k in p.keys], T.StructField("tree", T.IntegerType()), T.StructField("psi", T.IntegerType()),
+    schema = T.StructType([*as_micros(drawn.select(*p.keys)).schema.fields, T.StructField("tree", T.IntegerType()), T.StructField("psi", T.IntegerType()),
                            T.StructField("feature", ints), T.StructField("threshold", reals), T.StructField("left", ints),
                            T.StructField("right", ints), T.StructField("depth", reals)])
     keys, width = p.keys, len(columns)
@@ -107,7 +108,7 @@ def fit_forest(p: Panel, columns, n_trees: int = TREES, sample: int = SAMPLE) ->
             out = out.append_column(name, pa.array([col], pa.list_(kind)))
         return out
 
-    return drawn.groupBy(*p.keys, "tree").applyInArrow(run, schema)
+    return from_micros(as_micros(drawn).groupBy(*p.keys, "tree").applyInArrow(run, schema), drawn.select(*p.keys))
 
 
 def isolation_forest(p: Panel, df: DataFrame, contamination: float = CONTAMINATION, n_trees: int = TREES, columns=None) -> DataFrame:
@@ -117,9 +118,9 @@ def isolation_forest(p: Panel, df: DataFrame, contamination: float = CONTAMINATI
     n = F.count(F.lit(1))
     size = p.aggregate(F.ceil(n / F.greatest(F.lit(GROUP_ROWS[0]), F.least(F.lit(GROUP_ROWS[1]), n / 4096))).cast("int").alias("__groups"))
     spread = F.pmod(F.xxhash64(p.spec.time, *p.spec.tie), F.col("__groups")).cast("int")
-    rows = p.attach(df, size).withColumn("__group", spread).drop("__groups")
-    copies = p.attach(forest, size).withColumn("__group", F.explode(F.sequence(F.lit(0), F.col("__groups") - 1))).drop("__groups")
-    schema = T.StructType([*df.schema.fields, T.StructField("score_iforest", T.DoubleType())])
+    rows = as_micros(p.attach(df, size).withColumn("__group", spread).drop("__groups"))
+    copies = as_micros(p.attach(forest, size)).withColumn("__group", F.explode(F.sequence(F.lit(0), F.col("__groups") - 1))).drop("__groups")
+    schema = T.StructType([*as_micros(df).schema.fields, T.StructField("score_iforest", T.DoubleType())])
     names = df.columns
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -144,7 +145,7 @@ def isolation_forest(p: Panel, df: DataFrame, contamination: float = CONTAMINATI
         return left.select(names).append_column("score_iforest", pa.array(score))
 
     by = [*p.keys, "__group"]
-    scored = stage(rows.groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(run, schema), "iforest")
+    scored = stage(from_micros(rows.groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(run, schema), df), "iforest")
     cut = quantiles(p, "score_iforest", {"__cut": 1 - contamination}, scored)
     out = p.attach(scored, cut)
     return out.withColumn("flag_iforest", F.col("score_iforest") > F.col("__cut")).drop("__cut")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: tables proven to hold at most this many rows / values are broadcast; larger ones are joined
 BROADCAST_ROWS = 200_000
@@ -32,6 +32,17 @@ def key_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> Dat
     return left.join(right, cond, how).drop(*names.values())
 
 
+def as_micros(df: DataFrame) -> DataFrame:
+    """Time stamps with a zone as microseconds.  Arrow functions hand them on in the session's zone while a
+    result is expected in UTC, so tables go through them in this form."""
+    return df.withColumns({f.name: F.unix_micros(F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)})
+
+
+def from_micros(df: DataFrame, like: DataFrame) -> DataFrame:
+    """Back to the time stamps of ``like``."""
+    return df.withColumns({f.name: F.timestamp_micros(F.col(f.name)) for f in like.schema.fields if isinstance(f.dataType, T.TimestampType)})
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; a fresh temporary
     folder only where that is unset and the session runs on this machine alone."""
