@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import components, star_links
-from ..shared import stage
+from ..shared import BROADCAST_ROWS, stage
 from .common import chunks, ragged, utf8
 
 GRAM, LEAST = 4, 85
 #: segment keys of a bucket, and elements of the sets of a tile
 BUCKET_KEYS, TILE_ELEMENTS = 300_000, 2_000_000
-#: cells of a signature matrix built at once
-CELLS = 1 << 25
+#: cells of a signature matrix built at once, and bytes of text hashed at once
+CELLS, TEXT_BYTES = 1 << 25, 1_500_000
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -100,15 +100,17 @@ def set_names(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Bands:
-    """Bands of set sizes: linked sets lie in one band or in two neighbouring ones."""
+    """Bands of set sizes: linked sets lie in one band or in two neighbouring ones. Segments are cut such that sets
+    of similarity ``sure`` or more always share one; with ``sure`` above ``least`` the others share one unless the
+    elements in which they differ hit, by the chance of their hashes, every segment that says enough."""
 
-    def __init__(self, least: int, largest: int):
+    def __init__(self, least: int, largest: int, sure: int | None = None):
         self.least = least
         top = [0, 1]
         while top[-1] < largest:
             top.append(max(top[-1] * 100 // least, top[-1] + 1))
         self.top = np.array(top)
-        self.parts, self.spare, self.light = (np.array(x) for x in zip(*(self._cut(least, t) for t in top)))
+        self.parts, self.spare, self.light = (np.array(x) for x in zip(*(self._cut(sure or least, t) for t in top)))
 
     @staticmethod
     def _cut(least: int, top: int) -> tuple[int, int, int]:
@@ -246,16 +248,16 @@ def _text(c: str):
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str, gram: int, least: int) -> DataFrame:
+def _sets(docs: DataFrame, doc_id: str, text: str, gram: int, least: int, sure: int) -> DataFrame:
     """Rows of three kinds: a row of ``docs`` (doc_id, text_hash, n, name); a bucket's segment keys and the names of
     their sets; candidate links found inside a chunk (bucket -1)."""
     longest, size = docs.agg(F.max(F.octet_length(_text(text))), F.sum(F.octet_length(_text(text)))).first()
-    bands = Bands(least, (longest or 0) // 2 + 1)
+    bands = Bands(least, (longest or 0) // 2 + 1, sure)
     # about a third of a key for each element and an element for each six bytes
-    buckets = max(1, round((size or 0) / 6 * 0.4 * (100 - least) / 15 / BUCKET_KEYS))
+    buckets = max(1, round((size or 0) / 6 * 0.4 * (100 - sure) / 15 / BUCKET_KEYS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", TEXT_BYTES):
             h, ends = gram_sets(*utf8(batch.column("text")), gram)
             names, n = set_names(h, ends), ends[1:] - ends[:-1]
             _, one = np.unique(names, return_index=True)  # copies in the chunk count once
@@ -268,7 +270,9 @@ def _sets(docs: DataFrame, doc_id: str, text: str, gram: int, least: int) -> Dat
             bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)  # keys ascend, and so do buckets
             cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, np.int64)
             stop = np.append(cut[1:], len(keys))
-            blobs = [(-1, u.tobytes(), v.tobytes())] + [(int(bucket[a]), keys[a:b].tobytes(), owner[a:b].tobytes()) for a, b in zip(cut, stop)]
+            # within a bucket 32 bits name a key: the few that share them by chance only make a group larger
+            low = keys.astype(np.uint32)
+            blobs = [(-1, u.tobytes(), v.tobytes())] + [(int(bucket[a]), low[a:b].tobytes(), owner[a:b].tobytes()) for a, b in zip(cut, stop)]
             k, rows = len(blobs), batch.num_rows
             none = pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays([
@@ -290,7 +294,7 @@ def _candidates(parts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def across(table: pa.Table) -> pa.Table:
-        keys, sets = (np.frombuffer(utf8(table.column(c))[0].tobytes(), _U) for c in ("keys", "sets"))
+        keys, sets = (np.frombuffer(utf8(table.column(c))[0].tobytes(), kind) for c, kind in (("keys", np.uint32), ("sets", _U)))
         u, v, _ = _runs(keys, sets)
         u, v = star_links(u.view(np.int64), v.view(np.int64)) if len(u) else (np.zeros(0, np.int64),) * 2
         return pa.table({"u": u, "v": v})
@@ -328,9 +332,11 @@ def _tiles(members: DataFrame, bands: Bands, tile: int) -> DataFrame:
     return small.union(spread)
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, least: int = LEAST, tile: int = TILE_ELEMENTS) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, text_hash, n, name of its set), and (name, root, component_id) of every nonempty set."""
-    parts = stage(_sets(docs, doc_id, text, gram, least), "sets")
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, least: int = LEAST, tile: int = TILE_ELEMENTS,
+            sure: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_hash, n, name of its set), and (name, root, component_id) of every nonempty set. ``sure``:
+    the similarity from which candidates are certain (see ``Bands``), ``least`` if it is not given."""
+    parts = stage(_sets(docs, doc_id, text, gram, least, sure or least), "sets")
     rows = parts.where("bucket IS NULL").select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("name")).alias("name"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     sets = stage(rows.where("name IS NOT NULL").groupBy("name").agg(first, F.min("n").alias("n")), "distinct")
@@ -351,6 +357,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: i
         return pa.table({"u": name[one][u], "v": name[one][v]})
 
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.xxhash64(_text(text)).alias("__hash"), _text(text).alias("text"))
+    if members.count() <= BROADCAST_ROWS and (placed := stage(tiles, "tiles")).count() <= BROADCAST_ROWS:
+        tiles = F.broadcast(placed)  # few sets have a candidate: the texts need not be exchanged to find theirs
     met = texts.join(tiles, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("text_hash")))
     met = met.select("name", "tile", "text", F.pmod("tile", F.lit(tasks)).alias("task"))
     found = components(met.groupBy("task").applyInArrow(join, "u long, v long"), "u", "v")

@@ -516,3 +516,11 @@ def test_perfect_hash_is_minimal():
     table = byte_bpe.PerfectHash(keys, list(range(2_000)))
     assert sorted(table.keys) == sorted(keys) and [table.get(k) for k in keys] == list(range(2_000)) and table.get(b"no") is None
     assert byte_bpe.PerfectHash([], []).get(b"x") is None
+
+
+def test_groups_without_broadcasts(docs, monkeypatch):
+    """What is exchanged where much goes is the same."""
+    want = tally(simhash.one_per_group(docs), ["doc_id", "text"])
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(simhash.jaccard_join, "BROADCAST_ROWS", -1)
+    assert tally(simhash.one_per_group(docs), ["doc_id", "text"]) == want
