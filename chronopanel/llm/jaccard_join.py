@@ -351,7 +351,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: i
     def join(table: pa.Table) -> pa.Table:
         name, where = table.column("name").to_numpy(), table.column("tile").to_numpy()
         _, one = np.unique(np.stack([where, name]), axis=1, return_index=True)  # a repeated row counts once
-        h, ends = gram_sets(*utf8(table.column("text").take(pa.array(one))), gram)
+        texts = pa.RecordBatch.from_arrays([table.column("text").take(pa.array(one)).combine_chunks()], names=["text"])
+        parts = [gram_sets(*utf8(part.column("text")), gram) for part in chunks([texts], "text", TEXT_BYTES)]
+        h, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([np.diff(p[1]) for p in parts])
+        ends = np.append(0, np.cumsum(sizes))
         _, group = np.unique(where[one], return_inverse=True)
         u, v = linked(h, ends, group, least)
         return pa.table({"u": name[one][u], "v": name[one][v]})
