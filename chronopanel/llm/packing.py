@@ -9,7 +9,6 @@ A group holds about ``GROUP_DOCS`` documents at any size of the input, and only
 from __future__ import annotations
 
 import os
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from .common import chunks
 
@@ -33,39 +33,78 @@ PIECES = "doc_id long, text_hash long, start long, length long, doc_tokens long,
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class WordIds(dict):
-    """Ids of a word (bytes, without white space) as bytes of little-endian unsigned 32-bit integers.
+class WordIds:
+    """Ids of words (bytes, without white space) as bytes of little-endian unsigned 32-bit integers.
 
     The library's own pipeline takes most of its time to normalize and split. For words of Latin letters
-    that is done here (lower case, split, bytes as characters), each part is encoded once by the library's
-    model; any other word goes through the library as a whole. Both give the library's ids."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer, self.model, self.parts = tokenizer, tokenizer.model, {}
-        self.split = regex.compile(_SPLIT).findall
+    that is done here for all new words of a chunk at once (lower case, split, bytes as characters); the
+    library's model then encodes their parts in one call, and its tokens that close a part tell where each
+    word ends. Any other word goes through the library as a whole. Both give the library's ids.
+
+    Words are kept in two halves: when the newer one is full it becomes the older one, so what is met again
+    in time stays known."""
+
+    def __init__(self, tokenizer: Tokenizer, remembered: int = REMEMBERED):
+        self.tokenizer, self.half, self.new, self.old = tokenizer, max(1, remembered // 2), {}, {}
+        self.parts = {}
+        self.plain = Tokenizer(tokenizer.model)  # the model alone, on parts between blanks
+        self.plain.pre_tokenizer = WhitespaceSplit()
+        self.split = regex.compile(_SPLIT + r"|\n").findall
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        hidden = [b for b in range(256) if b not in shown]
-        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        text = word.decode("utf-8")
-        if (text.isascii() or max(text) < "\u0250") and text.isprintable() and "<|" not in text:
-            ids = b"".join([self.parts.get(x) or self.part(x) for x in self.split(text.lower())])
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
-
-    def part(self, text: str) -> bytes:
-        if len(self.parts) >= REMEMBERED:
+        hidden = [b for b in range(256) if b not in shown and b != 32]
+        self.shown = np.arange(256, dtype="<u4")  # character of a byte; the blank stays the separator
+        self.shown[hidden] = 256 + np.searchsorted(sorted([*hidden, 32]), hidden)
+        self.closes = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        self.closes[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def of(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of each text, a list of words."""
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        known = self.new
+        missing = list(set().union(*texts).difference(known))
+        if self.old:
+            found = [(w, self.old[w]) for w in missing if w in self.old]
+            known.update(found)
+            missing = [w for w in missing if w not in known] if found else missing
+        if missing:
+            self.learn(missing)
+        return [b"".join(map(known.__getitem__, words)) for words in texts]
+
+    def learn(self, words: list[bytes]) -> None:
+        shown = [w.decode("utf-8") for w in words]
+        latin = [(t.isascii() or max(t) < "\u0250") and t.isprintable() and "<|" not in t for t in shown]
+        other = [t for t, own in zip(shown, latin) if not own]
+        if other:
+            ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(other, add_special_tokens=False)]
+            self.new.update(zip([w for w, own in zip(words, latin) if not own], ids))
+            words, shown = [w for w, own in zip(words, latin) if own], [t for t, own in zip(shown, latin) if own]
+        if words:
+            parts = self.split("\n".join(shown).lower())
+            self.learn_parts(parts)
+            ids, at = list(map(self.parts.__getitem__, parts)), 0
+            for w in words:
+                end = parts.index("\n", at)
+                self.new[w] = ids[at] if end == at + 1 else b"".join(ids[at:end])
+                at = end + 1
+
+    def learn_parts(self, parts: list[str]) -> None:
+        """Ids of all ``parts`` under ``self.parts``; a line end closes the parts of the last word too."""
+        parts.append("\n")
+        if len(self.parts) >= 2 * self.half:
             self.parts.clear()
-        raw = text if text.isascii() else "".join(map(self.shown.__getitem__, text.encode("utf-8")))
-        found = [t.id for t in self.model.tokenize(raw)]
-        ids = self.parts[text] = struct.pack(f"<{len(found)}I", *found)
-        return ids
+        self.parts["\n"] = b""
+        missing = list(set(parts).difference(self.parts))
+        if missing:
+            raw = " ".join(missing)
+            if not raw.isascii():
+                raw = self.shown[np.frombuffer(raw.encode("utf-8"), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.plain.encode_batch_fast([raw], add_special_tokens=False)[0].ids, "<u4")
+            stop = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            ids, at = ids.tobytes(), 0
+            for part, end in zip(missing, stop.tolist(), strict=True):
+                self.parts[part] = ids[at:end]
+                at = end
 
 
 def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -81,12 +120,12 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         known = WordIds(Tokenizer.from_str(model))
+        tail = np.array([end_id], "<u4").tobytes()
         for batch in chunks(batches, "text", 1_000_000):
-            texts = [t.as_py().encode("utf-8").split() for t in batch.column("text")]
-            tail = np.array([end_id], "<u4").tobytes()
+            texts = [t.split() for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
             cols = [[], [], [], [], [], []]
-            for d, h, words in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts):
-                ids = b"".join(map(known.__getitem__, words)) + tail
+            for d, h, ids in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), known.of(texts)):
+                ids += tail
                 for at in range(0, len(ids), 4 * length):
                     piece = ids[at:at + 4 * length]
                     for c, x in zip(cols, (d, h, at // 4, len(piece) // 4, len(ids) // 4, piece)):
