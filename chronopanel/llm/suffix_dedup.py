@@ -4,9 +4,9 @@ Texts are dealt to buckets by minimiser (``superwindows``), so equal strings mee
 pieces form shards; each shard has its suffixes sorted once, and only its transform (the symbol before each
 suffix) goes on. The shards are merged by refining an interleave: starting from the shards one after the
 other, each round deals the entries by their preceding symbol, after h rounds the interleave is the order
-of all suffixes by their first h symbols. A border that appears in round h + 1 marks a common prefix of h
-symbols; intervals without a border after the last round are the repeated strings. No suffix of the union
-is sorted again.
+of all suffixes by their first h symbols. An entry that borders cut off in round h + 1 has a common prefix of
+h symbols with its neighbour and leaves the interleave; intervals without a border after the last round are
+the repeated strings. No suffix of the union is sorted again.
 
 A symbol is four bytes: each text is read in its four phases as strings of four-byte symbols, so 100 bytes
 take 25 rounds.
@@ -46,41 +46,53 @@ def _suffix_order(code: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
     n, have, rank = len(code), SYMBOL, code.astype(np.int64)
     here = np.arange(n)
     while True:
-        step = min(have, width - have)
-        far = here + step
-        follow = np.where(far < end, rank[np.minimum(far, n - 1)] + 1, 0)
-        key = rank * (max(n, int(rank.max(initial=0)) + 1) + 2) + follow
-        have += step
+        radix = max(n, int(rank.max(initial=0)) + 1) + 2
+        key, reach = rank, have
+        for _ in range(2 if radix ** 3 < 1 << 63 else 1):  # three ranks in a key if they fit
+            far = here + min(reach, width - have)
+            key = key * radix + np.where(far < end, rank[np.minimum(far, n - 1)] + 1, 0)
+            reach = min(reach + have, width)
+        have = reach
         if have >= width:
             return np.argsort(key)
         rank = _ranks(key)
 
 
 def merge_transforms(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' sorted suffixes after ``rounds`` rounds. Gives, for each entry in shard
-    order, its place in the merged order, and for each place the symbols it shares with the one before
-    (``rounds`` where no border appeared)."""
-    sizes, n = [len(t) for t in transforms], sum(map(len, transforms))
+    """Interleave of the shards' sorted suffixes, refined for ``rounds`` rounds. Gives, for each entry in
+    shard order, its interval of equal suffixes (a negative number of its own: it stands alone), and the symbols that it has in common
+    with its nearest neighbour (at most ``rounds``).
+
+    In a shard the entries with one symbol before them keep their order when that symbol is put in front, so
+    ``step`` (where an entry goes then) comes from the transform alone. What stands alone after h rounds makes
+    the entry it goes to stand alone after h + 1, so it leaves the interleave and only the rest is dealt."""
     before = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8 if len(sizes) <= 256 else np.uint32), sizes)
-    block, common = np.zeros(n, np.int32), np.full(n, rounds, np.int32)
-    symbol, border, known = np.empty_like(before), np.ones(n, bool), np.zeros(n, bool)
+    n, at = len(before), 0
+    step = np.empty(n, np.int32)
+    for t in transforms:
+        step[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
+        at += len(t)
+    entry, block, common = np.arange(n, dtype=np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
     for h in range(rounds):
-        symbol[np.argsort(shard, kind="stable")] = before
+        symbol = before[entry]
         order = np.argsort(symbol, kind="stable")
-        shard, moved, dealt = shard[order], block[order], symbol[order]
-        np.not_equal(dealt[1:], dealt[:-1], out=border[1:])
-        border[1:] |= moved[1:] != moved[:-1]
-        common[border & ~known] = h  # a border stays where it has appeared
-        known[:] = border
-        np.cumsum(border, out=block)
-        if block[-1] == n:  # every suffix stands alone
+        entry, block, symbol = step[entry[order]], block[order], symbol[order]
+        border = np.ones(len(order) + 1, bool)
+        np.not_equal(symbol[1:], symbol[:-1], out=border[1:-1])
+        border[1:-1] |= block[1:] != block[:-1]
+        shared = np.flatnonzero(~(border[1:] & border[:-1]))
+        entry, block = entry[shared], np.cumsum(border[:-1], dtype=np.int32)[shared]
+        common[entry] = h + 1
+        if not len(entry):  # every suffix stands alone
             break
-    return np.argsort(shard, kind="stable"), common
+    interval = -1 - np.arange(n)
+    interval[entry] = block
+    return interval, common
 
 
 def equal_windows(text: list[bytes], count: np.ndarray, width: int, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
-    """Group number of every window of the pieces, end to end: equal windows, equal numbers."""
+    """Group number of every window of the pieces, end to end: equal windows, equal numbers;
+    a negative number: no other window equals it."""
     size = np.array([len(t) for t in text], np.int64)
     room = size + SYMBOL                       # each phase of a piece ends in a terminator of its own
     base = np.cumsum(room) - room
@@ -103,11 +115,8 @@ def equal_windows(text: list[bytes], count: np.ndarray, width: int, shard_bytes:
         previous = order - SYMBOL
         transforms.append(np.where(previous >= first[order], code[np.maximum(previous, 0)], 0).astype(kind))
         places.append(order)
-    rounds = width // SYMBOL
-    merged, common = merge_transforms(transforms, rounds)
-    interval = np.cumsum(common < rounds)
     group = np.empty(n, np.int64)
-    group[np.concatenate(places)] = interval[merged]
+    group[np.concatenate(places)] = merge_transforms(transforms, width // SYMBOL)[0]
     return group[ragged(base, count)]
 
 
@@ -137,12 +146,14 @@ def settle_bytes(width: int):
                 continue
             count = part.count[use]
             group = equal_windows([part.text[i] for i in use.tolist()], count, width)
-            row = np.repeat(use, count)
-            start = part.start[row] + ragged(np.zeros(len(use), np.int64), count)
-            order = np.lexsort((start, part.text_hash[row], part.doc_id[row], group))
+            several = np.flatnonzero(group >= 0)
+            if not len(several):
+                continue
+            row, start = np.repeat(use, count), np.repeat(part.start[use], count) + ragged(np.zeros(len(use), np.int64), count)
+            order = several[np.lexsort((start[several], part.text_hash[row[several]], part.doc_id[row[several]], group[several]))]
             new = np.append(True, group[order][1:] != group[order][:-1])
             first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-            again = np.zeros(len(order), bool)
+            again = np.zeros(len(row), bool)
             again[order] = (part.doc_id[row[order]] != part.doc_id[row[first]]) | (part.text_hash[row[order]] != part.text_hash[row[first]]) | (start[order] != start[first])
             near = row[1:] == row[:-1]
             opens = again & ~np.append(False, again[:-1] & near)
