@@ -4,9 +4,9 @@ Texts are dealt to buckets by minimiser (``superwindows``), so equal strings mee
 pieces form shards; each shard has its suffixes sorted once, and only its transform (the symbol before each
 suffix) goes on. The shards are merged by refining an interleave: starting from the shards one after the
 other, each round deals the entries by their preceding symbol, after h rounds the interleave is the order
-of all suffixes by their first h symbols. An entry that borders cut off in round h + 1 has a common prefix of
-h symbols with its neighbour and leaves the interleave; intervals without a border after the last round are
-the repeated strings. No suffix of the union is sorted again.
+of all suffixes by their first h symbols. An entry that borders cut off in round
+h + 1 has a common prefix of h symbols with its neighbour and keeps its place; intervals without a border
+after the last round are the repeated strings. No suffix of the union is sorted again.
 
 A symbol is four bytes: each text is read in its four phases as strings of four-byte symbols, so 100 bytes
 take 25 rounds.
@@ -60,39 +60,47 @@ def _suffix_order(code: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
 
 def merge_transforms(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the shards' sorted suffixes, refined for ``rounds`` rounds. Gives, for each entry in
-    shard order, its interval of equal suffixes (a negative number of its own: it stands alone), and the symbols that it has in common
-    with its nearest neighbour (at most ``rounds``).
+    shard order, its place in the merged order (equal suffixes: the first place of their interval), and the
+    symbols that it has in common with its nearest neighbour (at most ``rounds``).
 
-    In a shard the entries with one symbol before them keep their order when that symbol is put in front, so
-    ``step`` (where an entry goes then) comes from the transform alone. What stands alone after h rounds makes
-    the entry it goes to stand alone after h + 1, so it leaves the interleave and only the rest is dealt."""
+    In a shard the entries with one symbol before them keep their order when that symbol is put in front; so
+    ``step``, the entry that begins with it, comes from the transform alone. A round deals only the entries
+    whose step still shares its interval; one that stands alone has found its place."""
     before = np.concatenate(transforms)
     n, at = len(before), 0
     step = np.empty(n, np.int32)
     for t in transforms:
         step[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
         at += len(t)
-    entry, block, common = np.arange(n, dtype=np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+    common, place, alone = np.full(n, rounds, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
+    entry = np.arange(n, dtype=np.int32)
     for h in range(rounds):
+        after = step[entry]
+        dealt = np.flatnonzero(~alone[after])
+        entry, after = entry[dealt], after[dealt]
         symbol = before[entry]
         order = np.argsort(symbol, kind="stable")
-        entry, block, symbol = step[entry[order]], block[order], symbol[order]
-        border = np.ones(len(order) + 1, bool)
-        np.not_equal(symbol[1:], symbol[:-1], out=border[1:-1])
-        border[1:-1] |= block[1:] != block[:-1]
-        shared = np.flatnonzero(~(border[1:] & border[:-1]))
-        entry, block = entry[shared], np.cumsum(border[:-1], dtype=np.int32)[shared]
-        common[entry] = h + 1
-        if not len(entry):  # every suffix stands alone
+        # from the second round on an interval has one first symbol, and places tell more than symbols
+        key = (place[entry] if h else symbol)[order]
+        entry = after[order]
+        mine = place[entry]
+        old, new = np.ones(len(entry), bool), np.ones(len(entry) + 1, bool)
+        np.not_equal(mine[1:], mine[:-1], out=old[1:])
+        np.not_equal(key[1:], key[:-1], out=new[1:-1])
+        new[1:-1] |= old[1:]
+        first, opened = np.flatnonzero(new[:-1]), np.flatnonzero(old)
+        moved = first - opened[np.cumsum(old[first]) - 1]  # every old interval opens a new one
+        place[entry] = np.repeat((mine[first] + moved).astype(np.int32), np.diff(np.append(first, len(entry))))
+        cut = entry[np.flatnonzero(new[1:] & new[:-1])]
+        alone[cut], common[cut] = True, h
+        if len(cut) == len(entry):  # every suffix stands alone
             break
-    interval = -1 - np.arange(n)
-    interval[entry] = block
-    return interval, common
+    return place, common
 
 
 def equal_windows(text: list[bytes], count: np.ndarray, width: int, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
-    """Group number of every window of the pieces, end to end: equal windows, equal numbers;
-    a negative number: no other window equals it."""
+    """Group number of every window of the pieces, end to end: equal windows, equal numbers,
+    in the order of the windows."""
     size = np.array([len(t) for t in text], np.int64)
     room = size + SYMBOL                       # each phase of a piece ends in a terminator of its own
     base = np.cumsum(room) - room
@@ -115,7 +123,7 @@ def equal_windows(text: list[bytes], count: np.ndarray, width: int, shard_bytes:
         previous = order - SYMBOL
         transforms.append(np.where(previous >= first[order], code[np.maximum(previous, 0)], 0).astype(kind))
         places.append(order)
-    group = np.empty(n, np.int64)
+    group = np.empty(n, np.int32)
     group[np.concatenate(places)] = merge_transforms(transforms, width // SYMBOL)[0]
     return group[ragged(base, count)]
 
@@ -146,7 +154,7 @@ def settle_bytes(width: int):
                 continue
             count = part.count[use]
             group = equal_windows([part.text[i] for i in use.tolist()], count, width)
-            several = np.flatnonzero(group >= 0)
+            several = np.flatnonzero(np.bincount(group)[group] > 1)
             if not len(several):
                 continue
             row, start = np.repeat(use, count), np.repeat(part.start[use], count) + ragged(np.zeros(len(use), np.int64), count)
