@@ -430,6 +430,18 @@ def test_codewords():
 
 # --- packing
 
+def test_word_ids_are_the_library_s_when_words_are_forgotten():
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    known, rng = packing.WordIds(library, remembered=400), np.random.default_rng(3)
+    signs = [chr(c) for c in [*range(33, 127), *range(0xA0, 0x250), *range(0x300, 0x310), 0x4E2D, 0x3C3, 0x1F600, 0x200B, 0x2028, 0x85, 0xFB01]]
+    signs += ["<|endoftext|>", "<|", "'s", "'ll"]
+    for _ in range(60):
+        text = [" ".join("".join(rng.choice(signs, rng.integers(1, 9))) for _ in range(rng.integers(0, 12))) for _ in range(8)]
+        for t, ids in zip(text, known.of([t.encode().split() for t in text])):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert known.old
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack(packing.token_pieces(docs, path), docs.count(), group_docs=8).toPandas()
