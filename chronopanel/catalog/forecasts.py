@@ -268,6 +268,18 @@ def _(spark, sf):
     return rounded(validation.score(pairs, ["event_type", "model"]))
 
 
+@query("v7_arima_at_origins", f"""WITH {ORIGINS}, x AS (SELECT *, lag(y) OVER (PARTITION BY event_type ORDER BY ts) AS z FROM ix),
+  t AS (SELECT x.event_type, origin, idx, y, z FROM x JOIN orig ON x.event_type = orig.event_type AND x.idx >= 13 AND x.idx < origin),
+  g AS (SELECT event_type, origin, count(*) AS m, regr_slope(y, z) AS b, regr_intercept(y, z) AS a, avg(y) AS mu, var_pop(y) * count(*) AS rss0 FROM t GROUP BY 1, 2),
+  e AS (SELECT event_type, origin, m, a, b, mu, rss0, sum((y - a - b * z) ** 2) AS rss1 FROM t JOIN g USING (event_type, origin) GROUP BY ALL),
+  c AS (SELECT *, abs(b) < 0.999 AND m * ln(rss1 / m) + 6 < m * ln(rss0 / m) + 4 AS ar FROM e)
+  SELECT c.event_type, origin, h::BIGINT AS h, round(CASE WHEN ar THEN a * (1 - b ** h) / (1 - b) + b ** h * ix.y ELSE mu END, 6) + 0.0 AS yhat
+  FROM c JOIN ix ON ix.event_type = c.event_type AND ix.idx = c.origin - 1 CROSS JOIN range(1, 7) h(h)""")
+def _(spark, sf):
+    p = hourly(spark, sf)
+    return rounded(arima.arima_at(p, validation.evaluation_origins(p, 6, 0.8, 10), 6, 10, 1, 0, 0).drop("fallback"))
+
+
 @query("v8_leaderboard", f"WITH {ROLLING} SELECT horizon, model, round(avg(mae), 6) + 0.0 AS mae, round(avg(rmse), 6) + 0.0 AS rmse, round(avg(smape), 6) + 0.0 AS smape FROM res GROUP BY 1, 2")
 def _(spark, sf):
     return rounded(validation.leaderboard(_results(spark, sf), metrics=("mae", "rmse", "smape")))

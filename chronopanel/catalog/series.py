@@ -259,6 +259,17 @@ def _(spark, sf):
     return rounded(stationarity.adf(hourly(spark, sf), 0).select("event_type", "adf_statistic", "adf_lags"))
 
 
+@query("t4_adf_order", f"""WITH {IX}, d AS (SELECT event_type, idx, y - lag(y) OVER ({K}) AS dy, lag(y) OVER ({K}) AS y1, lag(y) OVER ({K}) - lag(y, 2) OVER ({K}) AS d1 FROM ix),
+  s AS (SELECT event_type, count(*) AS m, var_pop(y1) AS yy, var_pop(d1) AS dd, covar_pop(y1, d1) AS yd, covar_pop(y1, dy) AS cy, covar_pop(d1, dy) AS cd, var_pop(dy) AS t FROM d WHERE idx >= 2 GROUP BY 1),
+  r AS (SELECT *, yy * dd - yd * yd AS det, (dd * cy - yd * cd) / (yy * dd - yd * yd) AS b, (yy * cd - yd * cy) / (yy * dd - yd * yd) AS c FROM s),
+  o AS (SELECT *, t - b * cy - c * cd AS v1, m * ln(t - cy * cy / yy) + 4 <= m * ln(t - b * cy - c * cd) + 6 AS zero FROM r),
+  z AS (SELECT event_type, count(*) AS m, var_pop(y1) AS yy, covar_pop(y1, dy) AS cy, var_pop(dy) AS t FROM d WHERE idx >= 1 GROUP BY 1)
+  SELECT o.event_type, CASE WHEN zero THEN 0 ELSE 1 END::BIGINT AS adf_lags, round(CASE WHEN zero THEN z.cy / z.yy / sqrt((z.t - z.cy * z.cy / z.yy) / (z.m - 2) / z.yy)
+    ELSE b / sqrt(v1 / (o.m - 3) * dd / det) END, 6) + 0.0 AS adf_statistic FROM o JOIN z USING (event_type)""")
+def _(spark, sf):
+    return rounded(stationarity.adf(hourly(spark, sf), most=1).select("event_type", "adf_lags", "adf_statistic"))
+
+
 @query("t5_kpss", f"""WITH {IX}, m AS (SELECT event_type, avg(y) a FROM ix GROUP BY 1),
   e AS (SELECT event_type, idx, n, y - a AS e, sum(y - a) OVER (PARTITION BY event_type ORDER BY idx) AS s FROM ix JOIN m USING (event_type)),
   b AS (SELECT event_type, min(n) AS n, sum(e * e) AS c0, sum(s * s) AS eta, floor(4 * pow(min(n) / 100.0, 0.25)) AS lags FROM e GROUP BY 1),

@@ -1,8 +1,10 @@
-"""ARIMA by Hannan-Rissanen regressions on summed cross products (see ``gram``).
+"""ARIMA by Hannan-Rissanen regressions on lagged products (see ``lagged``).
 
-Differencing order by repeated level-stationarity tests, residuals of a long autoregression in
-one ordered pass, then every (p, q) order is solved from the same cross products and the lowest
-AIC wins.  The history is used whole, however long a series is."""
+Differencing order by repeated level-stationarity tests, a long autoregression, and every
+(p, q) order from one matrix of cross products; the lowest AIC wins.  The residuals of the long
+autoregression are linear in the lags, so their cross products follow from those of the series:
+no pass computes residuals, and all origins of a series are fitted from one pass over its rows.
+The history is used whole, however long a series is."""
 
 from __future__ import annotations
 
@@ -12,108 +14,110 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..shared import stage
-from .gram import gram, solve
-from .naive import naive
+from ..functions.scalar import is_finite
+from .gram import solve
+from .lagged import lagged_gram, level_sums, prefix_sums
+from .naive import steps
 from .panel import Panel
-from .stationarity import kpss
+from .stationarity import KPSS_POINTS
 
 MAX_P, MAX_D, MAX_Q = 5, 2, 5
 LONG_AR = 12
 LEVEL = 0.05
+# residuals below this share of the series' squares are rounding, not shocks
+SHOCK = 1e-11
 
 
-def differencing(p: Panel) -> DataFrame:
-    """``d`` per series: difference until the level test no longer rejects, at most twice."""
-    once = _differenced(p, F.lit(1)).staged("arima-diff")
-    t0 = kpss(p, "short").select(*p.keys, F.col("kpss_pvalue").alias("__p0"))
-    t1 = kpss(once, "short").select(*p.keys, F.col("kpss_pvalue").alias("__p1"))
-    d = F.when(F.coalesce("__p0", F.lit(1.0)) >= LEVEL, 0).when(F.coalesce("__p1", F.lit(1.0)) >= LEVEL, 1).otherwise(MAX_D)
-    return p.attach(t0, t1, "left").select(*p.keys, d.cast("int").alias("d"))
-
-
-def _differenced(p: Panel, d) -> Panel:
-    v = p.y.cast("double")
-    z = lambda w: F.when(d == 0, v).when(d == 1, v - F.lag(v).over(w)).otherwise(v - 2 * F.lag(v).over(w) + F.lag(v, 2).over(w))
-    keep = [*p.keys, p.spec.time, *p.spec.tie]
-    rows = p.over(lambda w: {"__z": z(w)}, before=2).where(F.col("__z").isNotNull()).select(*keep, "__z")
-    return p.derive(rows, target="__z", features=())
-
-
-def fit_arima(p: Panel, max_p: int = MAX_P, max_q: int = MAX_Q, d: int | None = None) -> DataFrame:
-    """One row per series: p, d, q, aic, coefficients and the tails needed to forecast."""
-    # each stage feeds several ordered passes: written once, not recomputed per pass
-    order = p.aggregate(F.lit(d).cast("int").alias("d")) if d is not None else stage(differencing(p), "arima-d")
-    rows = p.attach(p.df.select(*p.keys, p.spec.time, *p.spec.tie, p.spec.target), order)
-    z = _differenced(p.derive(rows), F.col("d")).staged("arima-z")
-    long_ar = stage(_long_ar(z), "arima-ar")
-    both = z.attach(z.df, long_ar, cells=LONG_AR + 1)
-    e = F.col("__z") - F.get("__phi", F.lit(0))
-    resid = lambda w: {"__e": sum((-F.get("__phi", F.lit(k)) * F.coalesce(F.lag("__z", k).over(w), F.lit(0.0))
-                                   for k in range(1, LONG_AR + 1)), e)}
-    scored = z.over(resid, before=LONG_AR, df=both)
-    scored = scored.select(*p.keys, p.spec.time, *p.spec.tie, "__z", F.when(F.col("idx") >= LONG_AR, F.col("__e")).otherwise(0.0).alias("__e"))
-    scored = stage(scored, "arima-resid")
+def fit_arima(p: Panel, max_p: int = MAX_P, max_q: int = MAX_Q, d: int | None = None, origins: DataFrame | None = None,
+              n_origins: int = 1) -> DataFrame:
+    """One row per series and origin: fit_rows (the origin), p, d, q, aic, coefficients and the tails needed to forecast.
+
+    ``origins``: (keys, origin), at most ``n_origins`` a series; a fit sees the rows before its
+    origin.  None: one fit on all rows that have a target.  p is null where no order can be fitted
+    (too few rows, or a value before the origin that is not finite)."""
     reach = max(max_p, max_q)
-    width = 2 + max_p + max_q
-
-    def design(c):
-        zz, ee, idx = c["z"], c["e"], c["idx"]
-        take = np.flatnonzero(c["core"] & (idx >= LONG_AR + reach))
-        x = np.zeros((len(take), width))
-        if len(take):
-            x[:, 0], x[:, 1] = zz[take], 1.0
-            for k in range(1, max_p + 1):
-                x[:, 1 + k] = zz[take - k]
-            for k in range(1, max_q + 1):
-                x[:, 1 + max_p + k] = ee[take - k]
-        return x
-
-    g = gram(z, scored, design, width, reach)
-    tails = z.tail(max(reach, 1), scored).groupBy(*p.keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "__z", "__e"))), lambda r: F.struct(r["__z"].alias("z"), r["__e"].alias("e"))).alias("tail"))
-    ends = p.tail(2).groupBy(*p.keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", p.y.cast("double").alias("v")))), lambda r: r["v"]).alias("ends"))
-    ready = z.attach(z.attach(z.attach(order, g, cells=width * width), tails, cells=2 * reach + 2), ends)
-    ready = ready.select(*p.keys, "d", "gram", F.transform("tail", lambda r: r["z"]).alias("z_tail"),
-                         F.transform("tail", lambda r: r["e"]).alias("e_tail"), "ends")
+    lags = (max(LONG_AR + max_q, max_p, _short_lags(p.longest)),) * (MAX_D + 1)
+    # the ends must hold the rows that the regressions leave out
+    lags = tuple(max(k, LONG_AR + reach) for k in lags)
+    points = prefix_sums(p.derive(p.df.where(p.y.isNotNull())), lags, origins, n_origins)
+    if origins is not None:
+        points = points.repartition(*p.keys, "fit_rows")
     arr = T.ArrayType(T.DoubleType())
-    schema = T.StructType([*[ready.schema[k] for k in p.keys], T.StructField("p", T.IntegerType()), T.StructField("d", T.IntegerType()),
-                           T.StructField("q", T.IntegerType()), T.StructField("aic", T.DoubleType()), T.StructField("beta", arr),
-                           T.StructField("z_tail", arr), T.StructField("e_tail", arr), T.StructField("ends", arr)])
+    schema = T.StructType([*[points.schema[k] for k in p.keys], T.StructField("fit_rows", T.LongType()), T.StructField("p", T.IntegerType()),
+                           T.StructField("d", T.IntegerType()), T.StructField("q", T.IntegerType()), T.StructField("aic", T.DoubleType()),
+                           T.StructField("beta", arr), T.StructField("z_tail", arr), T.StructField("e_tail", arr), T.StructField("ends", arr)])
     keys = p.keys
 
     def run(batches):
         for b in batches:
-            picks = [_pick_order(np.asarray(r.gram, float).reshape(width, width), int(r.d), max_p, max_q) for r in b.itertuples()]
-            out = b[[*keys, "d", "z_tail", "e_tail", "ends"]].reset_index(drop=True)
-            extra = pd.DataFrame(picks, columns=["p", "q", "aic", "beta"])
-            extra[["p", "q"]] = extra[["p", "q"]].astype("Int32")
-            yield pd.concat([out, extra], axis=1)[[f.name for f in schema.fields]]
-
-    return ready.mapInPandas(run, schema)
-
-
-def _long_ar(z: Panel) -> DataFrame:
-    width = LONG_AR + 2
-
-    def design(c):
-        v, idx = c["z"], c["idx"]
-        take = np.flatnonzero(c["core"] & (idx >= LONG_AR))
-        x = np.zeros((len(take), width))
-        if len(take):
-            x[:, 0], x[:, 1] = v[take], 1.0
-            for k in range(1, LONG_AR + 1):
-                x[:, 1 + k] = v[take - k]
-        return x
-
-    g = gram(z, z.df, design, width, LONG_AR)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def phi(cells: pd.Series) -> pd.Series:
-        return cells.map(lambda c: solve(np.asarray(c, float).reshape(width, width), 0, list(range(1, width)))[0].tolist())
-
-    return g.select(*z.keys, phi("gram").alias("__phi"))
+            fits = pd.DataFrame([_fit(r, lags, max_p, max_q, d) for r in b.itertuples()],
+                                columns=["p", "d", "q", "aic", "beta", "z_tail", "e_tail", "ends"])
+            fits[["p", "d", "q"]] = fits[["p", "d", "q"]].astype("Int32")
+            yield pd.concat([b[[*keys, "fit_rows"]].reset_index(drop=True), fits], axis=1)[[f.name for f in schema.fields]]
+
+    return points.mapInPandas(run, schema)
+
+
+def _short_lags(n: int) -> int:
+    return int(4 * (n / 100) ** 0.25)
+
+
+def _level_pvalue(cells, lags, d: int, head: np.ndarray, tail: np.ndarray, n: int) -> float:
+    """Level-stationarity test with short Bartlett lags of the first ``n`` values; 1 where they do not vary."""
+    if n < 1:
+        return 1.0
+    c, total, v, vv, wv = level_sums(cells, lags, d)
+    m, most = total / n, min(_short_lags(n), n - 1)
+    k = np.arange(most + 1)
+    left = total - np.concatenate([[0.0], np.cumsum(head)])[k]
+    right = total - np.concatenate([[0.0], np.cumsum(tail[::-1])])[k]
+    cov = c[:most + 1] - m * (left + right) + (n - k) * m * m
+    if cov[0] <= 1e-12 * c[0]:
+        return 1.0
+    # running sums of the centred values: V[t] - (t + 1) m
+    eta = vv - 2 * m * wv + m * m * n * (n + 1) * (2 * n + 1) / 6
+    spread = cov[0] + 2 * ((1 - k[1:] / (_short_lags(n) + 1)) * cov[1:]).sum()
+    if spread == 0:
+        return 1.0
+    return float(np.interp(eta / n / spread, *zip(*KPSS_POINTS)))
+
+
+def _fit(r, lags: tuple[int, ...], max_p: int, max_q: int, d: int | None):
+    raw_head, raw_tail, cells = (np.asarray(x, float) for x in (r.head, r.tail, r.cells))
+    ends, nothing = raw_tail[-2:].tolist(), (None, None, None, None, None, None, None, raw_tail[-2:].tolist())
+    if not np.isfinite(cells).all():
+        return nothing
+    std = r.std if r.std > 0 else 1.0
+    head, tail = (raw_head - r.mean) / std, (raw_tail - r.mean) / std
+    if d is None:
+        p0 = _level_pvalue(cells, lags, 0, head, tail, r.fit_rows)
+        d = 0 if p0 >= LEVEL else 1 if _level_pvalue(cells, lags, 1, np.diff(head), np.diff(tail), r.fit_rows - 1) >= LEVEL else MAX_D
+    head, tail, n = np.diff(head, d), np.diff(tail, d), int(r.fit_rows) - d
+    reach, most = max(max_p, max_q), max(LONG_AR + max_q, max_p)
+    if n - LONG_AR - reach <= 4:
+        return nothing
+    c, total, *_ = level_sums(cells, lags, d)
+    phi = solve(lagged_gram(c, total, head, tail, n, LONG_AR, LONG_AR), 0, list(range(1, LONG_AR + 2)))[0]
+    g = lagged_gram(c, total, head, tail, n, most, LONG_AR + reach)
+    # rows of (z, 1, z lags, e lags) in terms of (z, 1, z lags)
+    rows = np.zeros((2 + max_p + max_q, most + 2))
+    rows[np.arange(2 + max_p), np.arange(2 + max_p)] = 1.0
+    for k in range(1, max_q + 1):
+        at = rows[1 + max_p + k]
+        at[1 + k], at[1] = 1.0, -phi[0]
+        at[2 + k:2 + k + LONG_AR] -= phi[1:]
+    design = rows @ g @ rows.T
+    rounding = np.diag(design) <= SHOCK * max(g[0, 0], 0.0)
+    rounding[:2 + max_p] = False
+    design[rounding], design[:, rounding] = 0.0, 0.0
+    p, q, aic, beta = _pick_order(design, d, max_p, max_q)
+    if p is None:
+        return nothing
+    mean = r.mean if d == 0 else 0.0
+    beta = [std * beta[0] + mean * (1 - sum(beta[1:1 + p])), *beta[1:]] if d <= 1 else beta
+    z = tail[-max(reach, 1):]
+    e = [tail[t] - phi[0] - phi[1:] @ tail[t - LONG_AR:t][::-1] for t in range(len(tail) - len(z), len(tail))]
+    return p, d, q, aic + 2 * g[1, 1] * math.log(std), beta, (std * z + mean).tolist(), (std * np.asarray(e)).tolist(), ends
 
 
 def _stable(coef: np.ndarray) -> bool:
@@ -151,21 +155,31 @@ def _pick_order(g: np.ndarray, d: int, max_p: int, max_q: int):
 def arima(p: Panel, horizon: int, max_p: int = MAX_P, max_q: int = MAX_Q, d: int | None = None) -> DataFrame:
     """M3: forecasts of the chosen order; a series too short for any order repeats its last
     value (``fallback``)."""
-    fit = fit_arima(p, max_p, max_q, d).where(F.col("p").isNotNull())
-    keys = p.keys
-    schema = T.StructType([*[fit.schema[k] for k in keys], T.StructField("path", T.ArrayType(T.DoubleType()))])
+    return _forecast(p, fit_arima(p, max_p, max_q, d), horizon).drop("fit_rows")
+
+
+def arima_at(p: Panel, origins: DataFrame, horizon: int, n_origins: int, max_p: int = MAX_P, max_q: int = MAX_Q, d: int | None = None) -> DataFrame:
+    """M3 refitted at every origin, from one pass over the rows: (keys, origin, h, yhat, fallback).
+    Every row has a target (origins count rows)."""
+    return _forecast(p, fit_arima(p, max_p, max_q, d, origins, n_origins), horizon).withColumnRenamed("fit_rows", "origin")
+
+
+arima.at_origins = arima_at
+
+
+def _forecast(p: Panel, fit: DataFrame, horizon: int) -> DataFrame:
+    keys = [*p.keys, "fit_rows"]
+    schema = T.StructType([*[fit.schema[k] for k in keys], T.StructField("last", T.DoubleType()), T.StructField("path", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for b in batches:
-            out = b[keys].reset_index(drop=True)
-            yield out.assign(path=[_path(r, horizon) for r in b.itertuples()])
+            made = [_path(r, horizon) if pd.notna(r.p) else None for r in b.itertuples()]
+            yield b[keys].reset_index(drop=True).assign(last=[r.ends[-1] for r in b.itertuples()], path=made)
 
-    paths = fit.mapInPandas(run, schema)
-    base = naive(p, horizon)
-    out = p.attach(base, paths, "left", cells=horizon)
     got = F.get("path", F.col("h") - 1)
-    ok = got.isNotNull() & ~F.isnan(got)
-    return out.select(*keys, "h", F.when(ok, got).otherwise(F.col("yhat")).alias("yhat"), (~ok).alias("fallback"))
+    ok = is_finite(got)
+    out = steps(fit.mapInPandas(run, schema), horizon)
+    return out.select(*keys, "h", F.when(ok, got).otherwise(F.col("last")).alias("yhat"), (~ok).alias("fallback"))
 
 
 def _path(r, horizon: int) -> list[float]:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..shared import stage
-from .gram import gram, lag_sums, solve
+from .gram import lag_sums, solve
+from .lagged import lagged_gram, level_sums, nested_rss, prefix_sums
 from .panel import Panel
 
 # MacKinnon (1994) response surface of the unit-root test with a constant.
@@ -34,71 +35,70 @@ def unit_root_pvalue(t: float) -> float:
     return 0.5 * (1 + math.erf(z / math.sqrt(2)))
 
 
-def adf(p: Panel, fixed_lags: int | None = None) -> DataFrame:
+def adf(p: Panel, fixed_lags: int | None = None, most: int | None = None) -> DataFrame:
     """T4: augmented Dickey-Fuller test with a constant; the lag order minimizes AIC on the
     common sample and the statistic uses all rows that order allows.  ``fixed_lags`` sets the
-    order instead."""
-    limit = (lambda n: max_lag(n)) if fixed_lags is None else (lambda n: min(fixed_lags, max_lag(n)))
-    top = limit(p.longest)
-    width = top + 3  # dy, 1, y[t-1], dy[t-1..t-top]
-    y = p.y.cast("double")
-    scale = p.aggregate(F.avg(y).alias("__mean"), F.stddev_pop(y).alias("__std"))
-    base = p.attach(p.df.select(*p.keys, p.spec.time, *p.spec.tie, y.alias("__v")), scale)
-    base = base.select(*p.keys, p.spec.time, *p.spec.tie,
-                       F.when(F.col("__std") > 0, (F.col("__v") - F.col("__mean")) / F.col("__std")).otherwise(0.0).alias("__y"))
-
-    def design(c):
-        v, idx, n = c["y"], c["idx"], int(c["n"][0])
-        lags = limit(n)
-        take = np.flatnonzero(c["core"] & (idx >= lags + 1))
-        z = np.zeros((len(take), width))
-        if n < 4 or not len(take):
-            return z
-        step = np.diff(v, prepend=v[0])
-        z[:, 0], z[:, 1], z[:, 2] = step[take], 1.0, v[take - 1]
-        for k in range(1, lags + 1):
-            z[:, 2 + k] = step[take - k]
-        return z
-
-    g = gram(p, base, design, width, top + 1)
-    d, w = p.blocked(df=base)
-    head = d.where((F.col("idx") <= top + 1) & F.col("__core")).groupBy(*p.keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "__y"))), lambda r: r["__y"]).alias("head"),
-        F.min("n").alias("n"))
-    ready = p.attach(g, head, cells=top + 3)
-    fields = T.StructType([*[ready.schema[k] for k in p.keys], T.StructField("adf_statistic", T.DoubleType()),
+    order instead, ``most`` lowers the greatest order tried.
+
+    All regressions come from the lagged products of the differences and the values at both ends
+    (see ``lagged``): numbers linear in the lags leave a block, and the nested orders share one
+    elimination.  Rows without a target are left out; a series that does not change on the
+    common sample, is shorter than 4 or holds a value that is not finite has no result."""
+    choose = fixed_lags is None
+    bound = fixed_lags if not choose else most
+    limit = lambda n: max_lag(n) if bound is None else min(bound, max_lag(n))
+    lags = (0, limit(p.longest))
+    points = prefix_sums(p.derive(p.df.where(p.y.isNotNull())), lags)
+    fields = T.StructType([*[points.schema[k] for k in p.keys], T.StructField("adf_statistic", T.DoubleType()),
                            T.StructField("adf_pvalue", T.DoubleType()), T.StructField("adf_lags", T.LongType())])
     keys = p.keys
 
     def run(batches):
         for b in batches:
-            rows = [_adf_row(np.asarray(r.gram, float).reshape(width, width), np.asarray(r.head, float), int(r.n), limit(int(r.n)), fixed_lags is None) for r in b.itertuples()]
+            rows = [_adf_row(r, lags, limit(int(r.fit_rows)), choose) for r in b.itertuples()]
             out = b[keys].reset_index(drop=True)
             yield pd.concat([out, pd.DataFrame(rows, columns=["adf_statistic", "adf_pvalue", "adf_lags"])], axis=1)
 
-    return ready.mapInPandas(run, fields)
-
-
-def _adf_row(g: np.ndarray, head: np.ndarray, n: int, lags: int, choose: bool):
-    if n < 4 or g[0, 0] <= 0:
+    return points.mapInPandas(run, fields)
+
+
+def _adf_gram(r, lags: tuple[int, ...], k: int) -> np.ndarray:
+    """Cross products of (dy[t], 1, y[t-1], dy[t-1], .., dy[t-k]) over all rows that k lags allow."""
+    n, cells, start = int(r.fit_rows), np.asarray(r.cells, float), k + 1
+    head, tail = ((np.asarray(x, float) - r.mean) / r.std for x in (r.head, r.tail))
+    c, total, *_ = level_sums(cells, lags, 1)
+    steps = lagged_gram(c, total, np.diff(head), np.diff(tail), n - 1, k, k)
+    squares, whole = level_sums(cells, lags, 0)[:2]
+    g = np.zeros((k + 3, k + 3))
+    order = [0, 1, *range(3, k + 3)]
+    g[np.ix_(order, order)] = steps
+    g[1, 2] = g[2, 1] = whole - head[:start - 1].sum() - tail[-1]
+    g[2, 2] = squares[0] - (head[:start - 1] ** 2).sum() - tail[-1] ** 2
+    # y[t-1] dy[t-j]: half a difference of squares, carried from y[t-j] to y[t-1] by the steps between
+    s = steps[np.ix_([0, *range(2, k + 2)], [0, *range(2, k + 2)])]
+    for j in range(k + 1):
+        edge = tail[-1 - j] ** 2 - head[start - 1 - j] ** 2
+        at = order[j] if j == 0 else 2 + j
+        g[2, at] = g[at, 2] = (edge + (s[j, j] if j else -s[0, 0])) / 2 + s[1:j, j].sum()
+    return g
+
+
+def _adf_row(r, lags: tuple[int, ...], top: int, choose: bool):
+    n = int(r.fit_rows)
+    if n < 4 or not r.std > 0:
+        return None, None, None
+    best = top
+    g = _adf_gram(r, lags, top)
+    moves = level_sums(np.asarray(r.cells, float), lags, 1)[0][0]
+    if not np.isfinite(g).all() or g[0, 0] <= 1e-13 * moves:
         return None, None, None
-    rows = n - 1 - lags
-    aic = []
-    for k in range(lags + 1):
-        _, rss, _ = solve(g, 0, list(range(1, 3 + k)))
-        aic.append(rows * math.log(max(rss, 1e-300) / rows) + 2 * (2 + k))
-    best = int(np.argmin(aic)) if choose else lags
-    step = np.diff(head, prepend=head[:1])
-    extra = []
-    for t in range(best + 1, lags + 1):
-        extra.append([step[t], 1.0, head[t - 1], *[step[t - k] for k in range(1, best + 1)]])
-    sub = g[:3 + best, :3 + best]
-    if extra:
-        e = np.asarray(extra)
-        sub = sub + e.T @ e
-    used = n - 1 - best
-    beta, rss, inv = solve(sub, 0, list(range(1, 3 + best)))
-    freedom = used - (2 + best)
+    if choose:
+        rows = n - 1 - top
+        rss = nested_rss(g, 0, list(range(1, top + 3)))[1:]
+        best = int(np.argmin(rows * np.log(np.maximum(rss, 1e-300) / rows) + 2 * (2 + np.arange(top + 1))))
+        g = _adf_gram(r, lags, best)
+    beta, rss, inv = solve(g, 0, list(range(1, 3 + best)))
+    freedom = n - 1 - best - (2 + best)
     if freedom <= 0 or rss <= 0:
         return None, None, None
     t = float(beta[1] / math.sqrt(rss / freedom * inv[1, 1]))

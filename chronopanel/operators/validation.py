@@ -74,6 +74,16 @@ def origin_panel(p: Panel, origins: DataFrame, context: int | None = None, n_ori
     return Panel(rows, spec, (p.n_series * n_origins, longest))
 
 
+def at_origins(p: Panel, fn, origins: DataFrame, horizon: int, params: dict, context: int | None, n_origins: int) -> DataFrame:
+    """Forecasts (keys, origin, h, yhat, ...) refitted at every origin.  A forecaster on whole
+    histories that has an ``at_origins`` of its own fits all origins from one pass over the rows;
+    any other gets one series per origin.  So do series with missing targets, whose rows it would leave out."""
+    own = getattr(fn, "at_origins", None)
+    if own is not None and context is None and n_origins is not None and p.df.where(p.y.isNull()).isEmpty():
+        return own(p, origins, horizon, n_origins, **params)
+    return fn(origin_panel(p, origins, context, n_origins), horizon, **params)
+
+
 def with_actuals(p: Panel, forecasts: DataFrame) -> DataFrame:
     """Forecasts (keys, origin, h, yhat, ...) beside the observed value ``y`` of row
     origin + h - 1; steps past the end drop out.  Equi-join on (keys, idx)."""
@@ -116,7 +126,7 @@ def cross_validate(p: Panel, forecaster, horizon: int, params: dict | None = Non
                    context: int | None = None, short: bool = True, align: str = "start") -> DataFrame:
     """Score one parameter set on every fold: (keys, fold, mape, ...)."""
     f = folds(p, horizon, n_folds, short, align)
-    made = forecaster(origin_panel(p, f, context, n_folds), horizon, **(params or {}))
+    made = at_origins(p, forecaster, f, horizon, params or {}, context, n_folds)
     made = key_join(made, _bounded(p, f, n_folds), [*p.keys, "origin"]).where(F.col("h") <= F.col("fold_h"))
     return score(with_actuals(p, made), [*p.keys, "fold"])
 
@@ -141,7 +151,7 @@ def rolling_origin(p: Panel, forecasters: dict, horizon: int, fraction: float =
     origins = evaluation_origins(p, horizon, fraction, max_windows)
     parts = []
     for name, (fn, params, context) in forecasters.items():
-        made = fn(origin_panel(p, origins, context, max_windows), horizon, **params)
+        made = at_origins(p, fn, origins, horizon, params, context, max_windows)
         parts.append(made.select(*p.keys, F.lit(name).alias("model"), "origin", "h", "yhat"))
     return with_actuals(p, reduce(DataFrame.unionByName, parts))
 

@@ -33,7 +33,7 @@ def test_rows_only_queries_run(spark, name):
 
 def test_refits_see_the_whole_history_at_all_windows(spark, monkeypatch):
     from chronopanel.catalog import forecasts
-    real, seen = forecasts.validation.origin_panel, []
-    monkeypatch.setattr(forecasts.validation, "origin_panel", lambda p, origins, context, n: seen.append((context, n)) or real(p, origins, context, n))
+    real, seen = forecasts.validation.at_origins, []
+    monkeypatch.setattr(forecasts.validation, "at_origins", lambda p, fn, origins, h, q, context, n: seen.append((context, n)) or real(p, fn, origins, h, q, context, n))
     entry.queries()["v7_rolling_origin_refit"](spark, SF)
     assert seen == [(None, 50)] * 2
