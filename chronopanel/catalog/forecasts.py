@@ -219,7 +219,7 @@ def _(spark, sf):
 @query("v5_v6_forest_search")
 def _(spark, sf):
     p = hourly(spark, sf)
-    got = registry.train_and_forecast(p, "RandomForest", H, params=[{"n_estimators": 5, "max_depth": 4, "n_lags": 6}], n_folds=2)
+    got = registry.train_and_forecast(p, "RandomForest", H)
     return rounded(p.attach(got["forecasts"], got["scores"].drop("model")))
 
 
@@ -421,7 +421,7 @@ def _(spark, sf):
 
 def _tree(spark, sf):
     p = shipped(spark, sf)
-    return p, trees.fit_feature_trees(p, "forest", n_estimators=10, max_depth=4)
+    return p, trees.fit_feature_trees(p, "forest")
 
 
 @query("e4_k3_importance")
@@ -480,6 +480,37 @@ def _(spark, sf):
     return whatif.impact(d, [], 12.0).select("scenario", "mean_impact", "max_impact", "status")
 
 
+_SCENARIOS = {"unchanged": {"price": 0.0}, "same price": {"price": ("multiply", 1.0)}, "unknown": {"weather": 3.0}, "no discount": {"discount": ("set", 0.0)}}
+
+
+@query("x1_forward_impact", """SELECT DISTINCT l_returnflag, s AS scenario, 0.0::DOUBLE AS mean_impact, 0.0::DOUBLE AS max_impact, 'warning' AS status
+  FROM lineitem, (VALUES ('unchanged'), ('same price'), ('unknown')) v(s)""")
+def _(spark, sf):
+    """A scenario that changes nothing has no impact; one that changes a feature is a row of its own in ``x1_scenarios``."""
+    p, m = _tree(spark, sf)
+    got = whatif.impact(whatif.forward(p, m, _SCENARIOS, H), p.keys, 12.0)
+    return got.where("scenario != 'no discount'").select(*p.keys, "scenario", "mean_impact", "max_impact", "status")
+
+
+@query("x1_scenarios")
+def _(spark, sf):
+    p, m = _tree(spark, sf)
+    return whatif.impact(whatif.forward(p, m, _SCENARIOS, H), p.keys, 12.0).drop("warnings")
+
+
+@query("e6_reconciled_forest", f"""WITH {_CORR} SELECT l_returnflag, feature, {r('correlation')}, true AS importance_whole, true AS shares_whole, true AS ordered FROM c""")
+def _(spark, sf):
+    """Importance and Shapley shares of a fitted forest beside the correlations: both add up to 100 over
+    the features (of the model, of each series) but for rounding, and no share is negative."""
+    p, m = _tree(spark, sf)
+    corr = explain.feature_correlations(p)
+    rows = explain.reconcile(trees.importance_table(spark, m, "RandomForest"), trees.shap_summary(p, m), corr, p.keys)
+    total = rows.groupBy(*p.keys).agg(F.sum("importance_pct").alias("i"), F.sum("shap_pct").alias("s"), F.least(F.min("importance_pct"), F.min("shap_pct")).alias("low"))
+    whole = lambda c: F.abs(F.col(c) - 100) < 0.25
+    return rounded(rows.join(total, p.keys).select(*p.keys, "feature", "correlation", whole("i").alias("importance_whole"), whole("s").alias("shares_whole"),
+                                                   (F.col("low") >= 0).alias("ordered")))
+
+
 @query("x2_inverse")
 def _(spark, sf):
     p, m = _tree(spark, sf)

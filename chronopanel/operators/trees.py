@@ -27,12 +27,15 @@ SEED = 42
 FOREST_DEFAULTS = {"n_estimators": 100, "max_depth": 10}
 BOOSTED_DEFAULTS = {"num_leaves": 31, "learning_rate": 0.1, "n_estimators": 100}
 LAGS = 12
+CELLS = 2_000_000  # numbers of one intermediate table inside a task
 
 
 @dataclass
 class NodeTable:
-    """All trees as padded arrays (trees x nodes); its size is set by the tree parameters."""
+    """The nodes of all trees, one tree after the other (as many entries as there are nodes): children are
+    positions in these arrays, -1 for a leaf.  The size is set by the tree parameters."""
 
+    root: np.ndarray
     feature: np.ndarray
     threshold: np.ndarray
     left: np.ndarray
@@ -42,16 +45,25 @@ class NodeTable:
     weight: np.ndarray
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        trees = np.arange(len(self.feature))[None, :]
-        at = np.zeros((len(x), len(self.feature)), dtype=np.int64)
-        rows = np.arange(len(x))[:, None]
-        while True:
-            child = self.left[trees, at]
-            inner = child >= 0
-            if not inner.any():
-                return self.value[trees, at] @ self.weight
-            go_left = x[rows, np.maximum(self.feature[trees, at], 0)] <= self.threshold[trees, at]
-            at = np.where(inner, np.where(go_left, child, self.right[trees, at]), at)
+        return np.concatenate([self._predict(part) for part in pieces(x, len(self.root))])
+
+    def _predict(self, x: np.ndarray) -> np.ndarray:
+        at = np.repeat(self.root[None, :], len(x), axis=0)
+        row, tree = np.nonzero(self.left[at] >= 0)
+        while len(row):  # only the pairs of row and tree that have not reached a leaf
+            here = at[row, tree]
+            low = x[row, self.feature[here]] <= self.threshold[here]
+            step = np.where(low, self.left[here], self.right[here])
+            at[row, tree] = step
+            inner = self.left[step] >= 0
+            row, tree = row[inner], tree[inner]
+        return self.value[at] @ self.weight
+
+
+def pieces(x: np.ndarray, width: int) -> list[np.ndarray]:
+    """The rows of ``x`` in chunks whose tables of ``width`` columns stay small; at least one."""
+    size = max(1, CELLS // max(1, width))
+    return [x[i:i + size] for i in range(0, max(1, len(x)), size)]
 
 
 @dataclass
@@ -102,19 +114,15 @@ def _read_nodes(spark, path: str, ml) -> NodeTable:
         "treeID", n["id"].alias("id"), n["prediction"].alias("value"), n["leftChild"].alias("left"), n["rightChild"].alias("right"),
         n["split"]["featureIndex"].alias("feature"), F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
         n["rawCount"].alias("cover")).toPandas()
-    trees, size = int(pdf["treeID"].max()) + 1, int(pdf["id"].max()) + 1
-    t, i = pdf["treeID"].to_numpy(), pdf["id"].to_numpy()
-    put = lambda col, dtype, fill: _grid(trees, size, t, i, pdf[col].fillna(fill).to_numpy(), dtype, fill)
+    pdf = pdf.sort_values(["treeID", "id"], ignore_index=True)
+    trees, first, size = np.unique(pdf["treeID"].to_numpy(), return_index=True, return_counts=True)
+    shift = np.repeat(first, size)
+    # ids of a tree run from 0 without gaps
+    child = lambda c: np.where(pdf[c] >= 0, pdf[c] + shift, -1).astype(np.int32)
     forest = isinstance(ml, RandomForestRegressionModel)
-    weight = np.full(trees, 1.0 / trees) if forest else np.asarray(ml.treeWeights, float)
-    return NodeTable(put("feature", np.int64, -1), put("threshold", float, 0.0), put("left", np.int64, -1), put("right", np.int64, -1),
-                     put("value", float, 0.0), put("cover", float, 0.0), weight)
-
-
-def _grid(trees, size, t, i, v, dtype, fill):
-    out = np.full((trees, size), fill, dtype=dtype)
-    out[t, i] = v
-    return out
+    weight = np.full(len(trees), 1.0 / len(trees)) if forest else np.asarray(ml.treeWeights, float)
+    return NodeTable(first.astype(np.int32), pdf["feature"].fillna(-1).to_numpy(np.int32), pdf["threshold"].fillna(0.0).to_numpy(float),
+                     child("left"), child("right"), pdf["value"].to_numpy(float), pdf["cover"].to_numpy(float), weight)
 
 
 def _estimator(kind: str, params: dict):
@@ -223,51 +231,95 @@ def importance_table(spark, model: TreeModel, name: str = "") -> DataFrame:
 
 # ---- Shapley values ------------------------------------------------------------------------
 
-def _leaf_paths(nodes: NodeTable, t: int):
-    """Per leaf: value and, per feature on the path, interval and cover fraction."""
-    stack = [(0, {})]
-    while stack:
-        at, path = stack.pop()
-        if nodes.left[t, at] < 0:
-            yield nodes.value[t, at], path
-            continue
-        f, thr = int(nodes.feature[t, at]), nodes.threshold[t, at]
-        for child, low_side in ((int(nodes.left[t, at]), True), (int(nodes.right[t, at]), False)):
-            lo, hi, frac = path.get(f, (-np.inf, np.inf, 1.0))
-            frac *= nodes.cover[t, child] / nodes.cover[t, at]
-            stack.append((child, {**path, f: (lo, min(hi, thr), frac) if low_side else (max(lo, thr), hi, frac)}))
+def leaf_groups(nodes: NodeTable, t: int, columns: int):
+    """Leaves of one tree, grouped by the number m of features on their path: (features, low, high,
+    cover fraction: leaves x m, value).  All nodes of a level go down together."""
+    at, found = nodes.root[t:t + 1], []
+    low, high = np.full((1, columns), -np.inf), np.full((1, columns), np.inf)
+    share, used = np.ones((1, columns)), np.zeros((1, columns), bool)
+    while len(at):
+        leaf = nodes.left[at] < 0
+        found.append((low[leaf], high[leaf], share[leaf], used[leaf], nodes.value[at[leaf]]))
+        at, low, high, share, used = at[~leaf], low[~leaf], high[~leaf], share[~leaf], used[~leaf]
+        n, f, cut = len(at), nodes.feature[at], nodes.threshold[at]
+        child = np.concatenate([nodes.left[at], nodes.right[at]])
+        low, high, share, used = (np.concatenate([a, a]) for a in (low, high, share, used))
+        one, two, both = np.arange(n), np.arange(n, 2 * n), np.arange(2 * n)
+        high[one, f] = np.minimum(high[one, f], cut)
+        low[two, f] = np.maximum(low[two, f], cut)
+        split = np.concatenate([f, f])
+        share[both, split] *= nodes.cover[child] / nodes.cover[np.concatenate([at, at])]
+        used[both, split] = True
+        at = child
+    low, high, share, used, value = (np.concatenate(a) for a in zip(*found))
+    size = used.sum(axis=1)
+    for m in np.unique(size):
+        i = np.flatnonzero(size == m)
+        feats = np.argsort(~used[i], axis=1, kind="stable")[:, :m]
+        pick = lambda a: np.take_along_axis(a[i], feats, axis=1)
+        yield feats, pick(low), pick(high), pick(share), value[i]
+
+
+def path_shares(one: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """Shapley values of product games: ``one`` (.. x m, the factor of a known feature) and ``zero`` (of an
+    unknown one).  Player i gets (one - zero)[i] times the mean over s in 0..1 of the product of the
+    other factors at (1 - s) zero + s one, a polynomial of degree m - 1 in s: Gauss points give it exactly."""
+    m = zero.shape[-1]
+    points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+    out = np.zeros(np.broadcast_shapes(one.shape, zero.shape))
+    for s, w in zip((points + 1) / 2, weights / 2):
+        factor = (1 - s) * zero + s * one
+        ahead, behind = np.ones_like(factor), np.ones_like(factor)
+        np.cumprod(factor[..., :-1], axis=-1, out=ahead[..., 1:])
+        behind[..., :-1] = np.cumprod(factor[..., :0:-1], axis=-1)[..., ::-1]
+        out += w * ahead * behind
+    return (one - zero) * out
 
 
 def shapley(nodes: NodeTable, x: np.ndarray):
     """Path-dependent Shapley values (rows x columns) and the base value.
 
-    A leaf's share for a feature is the Shapley value of a product game over the features of
-    its path: each is either known (inside its interval or not) or weighted by its cover."""
+    A leaf's share for a feature is the Shapley value of a product game over the m features of
+    its path: each is either known (inside its interval or not) or weighted by its cover.  What a
+    leaf gives depends on which of the m intervals hold the row: where these 2^m cases are fewer
+    than the rows, each is worked out once and looked up."""
     out, base = np.zeros(x.shape), 0.0
     for t in range(len(nodes.weight)):
-        for value, path in _leaf_paths(nodes, t):
-            v = value * nodes.weight[t]
-            feats = list(path)
-            zero = np.array([path[f][2] for f in feats])
-            base += v * np.prod(zero) if feats else v
-            if not feats:
+        for feats, low, high, zero, value in leaf_groups(nodes, t, x.shape[1]):
+            leaves, m = feats.shape
+            value = value * nodes.weight[t]
+            base += float(value @ zero.prod(axis=1))
+            if not m or not len(x):
                 continue
-            one = np.stack([(x[:, f] > path[f][0]) & (x[:, f] <= path[f][1]) for f in feats]).astype(float)
-            m = len(feats)
-            size_weight = np.array([math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)])
-            for i, f in enumerate(feats):
-                poly = np.zeros((m, len(x)))
-                poly[0] = 1.0
-                deg = 0
-                for j in range(m):
-                    if j != i:
-                        shifted = np.vstack([np.zeros((1, len(x))), poly[:-1] * one[j]])
-                        poly = poly * zero[j] + shifted
-                        deg += 1
-                out[:, f] += v * (one[i] - zero[i]) * (size_weight @ poly)
+            size = max(1, CELLS // (m << min(m, 8)))
+            for i in range(0, leaves, size):
+                out += _group_shares(x, *(a[i:i + size] for a in (feats, low, high, zero, value)))
     return out, base
 
 
+def _group_shares(x, feats, low, high, zero, value) -> np.ndarray:
+    (leaves, m), out = feats.shape, np.zeros(x.shape)
+    place = np.zeros((m, leaves, x.shape[1]))  # each leaf's share goes to its feature's column
+    np.put_along_axis(place, feats.T[:, :, None], 1.0, axis=2)
+    inside = lambda rows, j: (rows[:, feats[:, j]] > low[:, j]) & (rows[:, feats[:, j]] <= high[:, j])
+    cases = 1 << m if m <= 8 else 0
+    if 0 < cases < len(x):
+        known = (np.arange(cases)[:, None] >> np.arange(m) & 1).astype(float)
+        table = path_shares(known[None], zero[:, None]) * value[:, None, None]  # leaves x cases x m
+        flat, start = np.ascontiguousarray(table.reshape(leaves * cases, m).T), np.arange(leaves) * cases
+    done = 0
+    for rows in pieces(x, leaves * m):
+        if 0 < cases < len(x):
+            at = start + sum(inside(rows, j).astype(np.int64) << j for j in range(m))
+            shares = [flat[j][at] for j in range(m)]
+        else:
+            known = np.stack([inside(rows, j) for j in range(m)], axis=2).astype(float)
+            shares = np.moveaxis(path_shares(known, zero[None]) * value[None, :, None], 2, 0)
+        out[done:done + len(rows)] = sum(s @ place[j] for j, s in enumerate(shares))
+        done += len(rows)
+    return out
+
+
 def shap_values(model: TreeModel, rows: DataFrame, keep=()) -> DataFrame:
     """E5: one row per input row and feature: (keep..., feature, shap, base)."""
     nodes = send(rows.sparkSession, model.nodes)

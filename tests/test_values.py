@@ -200,16 +200,16 @@ def test_trees_shapley_and_recursion(panel_of):
 
 def test_shapley_is_the_average_over_orders():
     from itertools import permutations
-    nodes = trees.NodeTable(np.array([[0, 1, -1, -1, -1]]), np.array([[0.0, 0.0, 0, 0, 0]]), np.array([[1, 3, -1, -1, -1]]), np.array([[2, 4, -1, -1, -1]]),
-                            np.array([[0.0, 0, 10, 1, 5]]), np.array([[10.0, 6, 4, 2, 4]]), np.array([1.0]))
+    nodes = trees.NodeTable(np.array([0]), np.array([0, 1, -1, -1, -1]), np.array([0.0, 0.0, 0, 0, 0]), np.array([1, 3, -1, -1, -1]), np.array([2, 4, -1, -1, -1]),
+                            np.array([0.0, 0, 10, 1, 5]), np.array([10.0, 6, 4, 2, 4]), np.array([1.0]))
 
     def expect(x, known, at=0):
-        if nodes.left[0, at] < 0:
-            return nodes.value[0, at]
-        f, l, r = nodes.feature[0, at], nodes.left[0, at], nodes.right[0, at]
+        if nodes.left[at] < 0:
+            return nodes.value[at]
+        f, l, r = nodes.feature[at], nodes.left[at], nodes.right[at]
         if f in known:
-            return expect(x, known, l if x[f] <= nodes.threshold[0, at] else r)
-        return (nodes.cover[0, l] * expect(x, known, l) + nodes.cover[0, r] * expect(x, known, r)) / nodes.cover[0, at]
+            return expect(x, known, l if x[f] <= nodes.threshold[at] else r)
+        return (nodes.cover[l] * expect(x, known, l) + nodes.cover[r] * expect(x, known, r)) / nodes.cover[at]
 
     for x in ([-1, -1], [-1, 1], [1, 1]):
         phi, base = trees.shapley(nodes, np.array([x], float))
