@@ -74,6 +74,14 @@ def kept(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]
     return _staged[key]
 
 
+def fitted(spark: SparkSession, sf: str, name: str, build: Callable[[], object]):
+    """A model several queries share, fitted once per session."""
+    key = (spark.sparkContext.applicationId, sf, _version(spark, sf), "model", name)
+    if key not in _staged:
+        _staged[key] = build()
+    return _staged[key]
+
+
 HOUR = "make_timestamp_ntz(year(ts), month(ts), day(ts), hour(ts), 0, 0)"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import arima, blend, explain, mlp, naive, registry, smoothing, stacking, trees, validation, whatif
 from ..operators.panel import Panel
-from .data import DIX, HOURLY, IX, daily, hourly, kept, query, r, rounded, shipped
+from .data import DIX, HOURLY, IX, daily, fitted, hourly, kept, query, r, rounded, shipped
 
 H = 24
 FRAME = f"range(1, {H + 1}) h(h)"
@@ -116,7 +116,7 @@ def _(spark, sf):
 @query("m7_forest_features")
 def _(spark, sf):
     p = shipped(spark, sf)
-    m = trees.fit_feature_trees(p, "forest")
+    m = fitted(spark, sf, "forest", lambda: trees.fit_feature_trees(p, "forest"))
     return rounded(trees.predict_features(m, p.df).select("l_returnflag", "ts", "yhat"))
 
 
@@ -421,7 +421,7 @@ def _(spark, sf):
 
 def _tree(spark, sf):
     p = shipped(spark, sf)
-    return p, trees.fit_feature_trees(p, "forest")
+    return p, fitted(spark, sf, "forest", lambda: trees.fit_feature_trees(p, "forest"))
 
 
 @query("e4_k3_importance")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import decompose, isolation_forest, prep, registry, smoothing, stationarity, trees, validation
 from ..sources import files
-from .data import HOURLY, IX, SHIPPED, hourly, query, rounded, shipped, table
+from .data import HOURLY, IX, SHIPPED, fitted, hourly, query, rounded, shipped, table
 from .forecasts import _MODELS, FRAME, H, SCORES
 from .series import _COLS
 
@@ -94,7 +94,7 @@ def _(spark, sf):
 @query("e5_additivity", f"WITH {SHIPPED} SELECT l_returnflag, count(*) AS n, true AS adds_up FROM shipped GROUP BY 1")
 def _(spark, sf):
     p = shipped(spark, sf)
-    model = trees.fit_feature_trees(p, "forest")
+    model = fitted(spark, sf, "forest", lambda: trees.fit_feature_trees(p, "forest"))
     parts = trees.shap_values(model, p.df, ("l_returnflag", "ts")).groupBy("l_returnflag", "ts").agg((F.sum("shap") + F.max("base")).alias("total"))
     both = trees.predict_features(model, p.df).select("l_returnflag", "ts", "yhat").join(parts, ["l_returnflag", "ts"])
     return both.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.every(F.abs(F.col("total") - F.col("yhat")) < 1e-6).alias("adds_up"))
